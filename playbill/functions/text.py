@@ -34,6 +34,8 @@ LOOSE_YEAR_SUFFIX = r"\s*[\(\[]?\s*(?:19|20)\d{2}\s*[\)\]]?\s*$"
 BRACKETED_YEAR_SUFFIX = r"\s*[\(\[]\s*(?:19|20)\d{2}\s*[\)\]]\s*$"
 EDGE_PUNCTUATION = " .,;:!?-–—"
 MAX_STACKED_SUFFIXES = 3
+# Verified alternative titles: (form seen in a source, form to show).
+TITLE_ALIASES = [("CARS - MOTORI RUGGENTI - 20MO ANNIVERSARIO", "Cars – 20esimo anniversario")]
 TRUNCATED_TAIL = r"(\.{3}|…)\s*$"
 
 # ---------------------------------------------------------------------------------------
@@ -81,9 +83,9 @@ def is_numbered_sequel(key_a: Column, key_b: Column) -> Column:
     return (key_a != "") & (key_b != "") & (stem_a == stem_b) & ((stem_a != key_a) | (stem_b != key_b))
 
 
-def typo_budget(key: Column) -> Column:
-    """Tolerated edits: one per four characters of the earlier key, never fewer than two."""
-    return F.greatest(F.lit(2), F.floor(F.length(key) / 4).cast("int"))
+def typo_budget(length: Column) -> Column:
+    """Tolerated edits for a key length: one per four characters, never fewer than two."""
+    return F.greatest(F.lit(2), F.floor(length / 4).cast("int"))
 
 
 def within_distance(a: Column, b: Column, budget: Column) -> Column:
@@ -96,7 +98,7 @@ def fuzzy_keys(key_a: Column, key_b: Column) -> Column:
     near = (
         F.contains(key_a, key_b)
         | F.contains(key_b, key_a)
-        | within_distance(key_a, key_b, typo_budget(key_a))
+        | within_distance(key_a, key_b, typo_budget(F.length(key_a)))
     )
     return (key_a == key_b) | (~is_numbered_sequel(key_a, key_b) & near)
 

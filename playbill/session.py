@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Settings the jobs rely on. AQE splits skewed shuffle partitions, coalesces small ones and
 # turns a sort-merge join into a broadcast only after it has measured the smaller side.
@@ -40,13 +40,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, *metrics: Column) -> DataFrame | tuple[DataFrame, dict]:
     """Cut the lineage by writing a table and reading it back.
 
     A table survives the loss of executors, and unlike an RDD checkpoint its size is known to
-    the planner, so later joins choose broadcast or shuffle from a measured size.
+    the planner, so later joins choose broadcast or shuffle from a measured size. With aggregate
+    ``metrics`` their values are observed during the write and returned as well.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/playbill/{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    watch = Observation()
+    source = df.observe(watch, *metrics) if metrics else df
+    source.write.mode("errorifexists").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    return (table, watch.get) if metrics else table
