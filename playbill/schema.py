@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-STRINGS = "array<string>"
+# Order numbers of rows inside a source: wide enough to pack page, element and item.
+SEQ = "decimal(38,0)"
 
 SHOWING_STRUCT = (
     "struct<cinema:string,cinema_slug:string,date:string,times:array<string>,screen:string,"
@@ -21,7 +22,7 @@ FILM_RECORD = (
 )
 # Flat showings of those films, linked by ``arrival_seq``.
 SHOWING_RECORD = (
-    "arrival_seq bigint, showing_seq bigint, cinema string, cinema_slug string, date string, "
+    "arrival_seq bigint, showing_seq decimal(38,0), cinema string, cinema_slug string, date string, "
     "times array<string>, screen string, source_url string, language string, session_attributes array<string>"
 )
 
@@ -68,8 +69,8 @@ CINEMAS_ENVELOPE = f"generated_at string, cinemas array<{CINEMA_ITEM}>"
 FILMS_ENVELOPE = f"generated_at string, films array<{FILM_ITEM}>"
 SHOWINGS_ENVELOPE = f"generated_at string, date_from string, date_to string, showings array<{SHOWING_ITEM}>"
 
-# Landed payloads: what a fetcher wrote, one row per response body.
-PAYLOADS = "source_slug string, url string, run_date date, target_date string, body string"
+# Landed payloads: what a fetcher wrote, one row per response body, numbered in landing order.
+PAYLOADS = "landed_seq bigint, source_slug string, url string, run_date date, target_date string, body string"
 
 
 def struct_type(ddl: str) -> T.StructType:
