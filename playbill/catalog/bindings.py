@@ -73,10 +73,13 @@ class Data:
 
     @cached_property
     def showings(self) -> DataFrame:
+        # An order and line are not unique in the generated table: twenty more bits tell them apart.
+        part_bits = F.pmod(F.col("l_partkey") * 131 + F.col("l_suppkey"), F.lit(2**20))
+        showing_id = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * F.lit(2**20) + part_bits
         clock = F.concat_ws(":", F.lpad((F.col("l_linenumber") + 14).cast("string"), 2, "0"), F.lpad(F.col("l_quantity").cast("int").cast("string"), 2, "0"))
         return conform(
             self.table("lineitem").select(
-                (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
+                showing_id.alias("id"),
                 F.col("l_partkey").alias("film_id"),
                 F.concat(F.lit("s"), "l_suppkey").alias("cinema_slug"),
                 F.to_date("l_shipdate").alias("date"),

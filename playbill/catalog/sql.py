@@ -12,7 +12,7 @@ CINEMAS = """cinemas AS (SELECT 's' || s_suppkey AS slug, s_name AS name, n_name
  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 CLOCK = "lpad(CAST(l_linenumber + 14 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(l_quantity AS INT) AS VARCHAR), 2, '0')"
-SHOWINGS = f"""showings AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS film_id, 's' || l_suppkey AS cinema_slug, CAST(l_shipdate AS DATE) AS date,
+SHOWINGS = f"""showings AS (SELECT (l_orderkey * 8 + l_linenumber) * 1048576 + (l_partkey * 131 + l_suppkey) % 1048576 AS id, l_partkey AS film_id, 's' || l_suppkey AS cinema_slug, CAST(l_shipdate AS DATE) AS date,
  {CLOCK} AS clock, l_returnflag AS language, l_linestatus AS screen, CASE WHEN l_tax < 0.04 THEN 'http://buy/' || l_orderkey END AS buy_url,
  CAST(l_shipdate AS DATE) - l_linenumber AS scraped_on, CASE WHEN l_tax >= 0.08 THEN DATE '1999-01-01' END AS removed_at FROM lineitem)"""
 
