@@ -72,33 +72,47 @@ class _Tokeniser(HTMLParser):
         return self.rows
 
 
-def _element_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for page_id, body in zip(batch["page_id"], batch["body"]):
-            if not body:
-                continue
-            tokens = _Tokeniser()
-            tokens.feed(body)
-            rows = [
-                (
-                    page_id, r["eid"], r["end"], r["parent"], r["tag"], r["attrs"].get("class", "").split(), r["attrs"], r["scope"], r["movie"],
-                    ("".join(r["parts"]) if r["tag"] == "script" else "".join(p.strip() for p in r["parts"])) if r["keeps"] else None,
-                    " ".join(filter(None, (p.strip() for p in r["parts"]))) if r["keeps"] else None,
-                )
-                for r in tokens.finish()
-            ]
+def _is_marked(row: dict) -> bool:
+    attrs = row["attrs"]
+    return "itemprop" in attrs or "itemtype" in attrs or (row["tag"] == "script" and "json" in attrs.get("type", ""))
+
+
+def _element_rows(marked_only: bool):
+    """Tokenising function over batches of pages."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page_id, body in zip(batch["page_id"], batch["body"]):
+                tokens = _Tokeniser()
+                tokens.feed(body or "")
+                rows += [(page_id, *_columns(r)) for r in tokens.finish() if not marked_only or _is_marked(r)]
             frame = pd.DataFrame(rows, columns=["page_id", "eid", "end", "parent", "tag", "classes", "attrs", "scope", "movie", "text", "spaced"])
             yield frame.astype({"parent": "Int32", "scope": "Int32", "movie": "Int32"})
 
+    return read
 
-def elements(pages: DataFrame, page_id: str = "url", body: str = "body") -> DataFrame:
-    """One row per element: (page_id, eid, end, parent, tag, classes, attrs, scope,
-    movie, text, spaced).
+
+def _columns(row: dict) -> tuple:
+    text = spaced = None
+    if row["keeps"]:
+        pieces = [p.strip() for p in row["parts"]]
+        text = "".join(row["parts"] if row["tag"] == "script" else pieces)
+        spaced = " ".join(filter(None, pieces))
+    classes = row["attrs"].get("class", "").split()
+    return (row["eid"], row["end"], row["parent"], row["tag"], classes, row["attrs"], row["scope"], row["movie"], text, spaced)
+
+
+def elements(pages: DataFrame, page_id: str = "url", body: str = "body", marked_only: bool = False) -> DataFrame:
+    """One row per element: (page_id, eid, end, parent, tag, classes, attrs, scope, movie, text,
+    spaced).
 
     ``eid`` to ``end`` spans the element and its descendants; ``scope`` is the nearest enclosing
-    ``itemscope``, ``movie`` the nearest enclosing item of that type.
+    ``itemscope``, ``movie`` the nearest enclosing item of that type. ``marked_only`` keeps the
+    elements that carry structured data.
     """
-    return pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(body).alias("body")).mapInPandas(_element_rows, ELEMENTS)
+    source = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(body).alias("body"))
+    return source.mapInPandas(_element_rows(marked_only), ELEMENTS)
 
 
 def attr(name: str) -> Column:

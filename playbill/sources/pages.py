@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from playbill.functions import text as tx, values as vl
 from playbill.operators import grouping as gr
 from playbill.schema import blank, filled
+from playbill.session import materialise
 from playbill.sources import markup as mk
 from playbill.sources.payloads import FILM_FIELDS, SHOWING_FIELDS, position
 
@@ -26,17 +27,23 @@ def _types(item: Column) -> Column:
     return F.coalesce(many, F.array(F.try_variant_get(item, "$['@type']", "string")))
 
 
-def _plain(value: Column) -> Column:
-    """Text of a value that may be a text, a list or an object with a name or a link."""
+def _texts(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Adds the text of each value, which may be a text, a list or an object with a name or link.
 
-    def of(v: Column) -> Column:
-        named = F.coalesce(filled(F.try_variant_get(v, "$.name", "string")), filled(F.try_variant_get(v, "$.url", "string")))
-        is_object = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
-        return F.when(is_object, named).otherwise(F.try_variant_get(v, "$", "string"))
+    Done in steps over named columns: nested in one expression, every step would be repeated for
+    each use of the one before.
+    """
+    listed = rows.withColumns({f"_l_{n}": F.try_variant_get(v, "$", "array<variant>") for n, v in values.items()} | {f"_v_{n}": v for n, v in values.items()})
+    single = listed.withColumns({f"_v_{n}": F.when(F.col(f"_l_{n}").isNull(), F.col(f"_v_{n}")).otherwise(F.try_element_at(f"_l_{n}", F.lit(1))) for n in values})
+
+    def spoken(name: str) -> Column:
+        value = F.col(f"_v_{name}")
+        field = lambda f: filled(F.try_variant_get(value, f"$.{f}", "string"))
+        is_object = F.schema_of_variant(value).startswith("OBJECT")
+        return F.when(is_object, F.coalesce(field("name"), field("url"))).otherwise(F.try_variant_get(value, "$", "string"))
 
-    first = F.try_element_at(F.try_variant_get(value, "$", "array<variant>"), F.lit(1))
-    is_list = F.try_variant_get(value, "$", "array<variant>").isNotNull()
-    return filled(tx.decode_entities(tx.strip(F.when(is_list, of(first)).otherwise(of(value)))))
+    said = single.withColumns({n: tx.strip(spoken(n)) for n in values}).drop(*[f"_{k}_{n}" for k in "lv" for n in values])
+    return said.withColumns({n: filled(tx.decode_entities(F.col(n))) for n in values})
 
 
 def extract_jsonld(nodes: DataFrame) -> DataFrame:
@@ -59,18 +66,7 @@ def extract_jsonld(nodes: DataFrame) -> DataFrame:
     return exploded.select("page_id", seq.alias("seq"), "item", _types(F.col("item")).alias("types"))
 
 
-def _movie(item: Column, base: Column) -> list[Column]:
-    get = lambda *names: F.coalesce(*[_plain(F.try_variant_get(item, f"$['{n}']", "variant")) for n in names])
-    return [
-        get("name").alias("title"),
-        vl.absolute_url(get("@id", "url"), base).alias("source_url"),
-        vl.absolute_url(get("image"), base).alias("poster"),
-        get("description").alias("description"),
-        get("director").alias("director"),
-        get("duration").alias("duration"),
-        vl.parse_year(get("dateCreated", "datePublished")).alias("year"),
-        vl.variant_genres(F.try_variant_get(item, "$.genre", "variant")).alias("genres"),
-    ]
+_FILM_KEYS = ("name", "@id", "url", "image", "description", "director", "duration", "dateCreated", "datePublished")
 
 
 def jsonld_events(items: DataFrame, bases: DataFrame) -> DataFrame:
@@ -79,23 +75,28 @@ def jsonld_events(items: DataFrame, bases: DataFrame) -> DataFrame:
     ``bases`` is (page_id, base_url). The title falls back to the presented work, then to the
     name of the event; events without a readable start are skipped.
     """
+    get = lambda value, key, kind="variant": F.try_variant_get(value, f"$['{key}']", kind)
     item = F.col("item")
-    film = items.filter(F.array_contains("types", "Movie")).withColumn("work_id", F.try_variant_get(item, "$['@id']", "string"))
-    films = film.filter("work_id is not null").groupBy("page_id", "work_id").agg(F.max_by(F.struct("item"), "seq")["item"].alias("film"))
-    work = F.try_variant_get(item, "$.workPresented", "variant")
-    inline = F.try_variant_get(work, "$", "map<string,variant>").isNotNull()
-    start = F.try_variant_get(item, "$.startDate", "string")
+    film = items.filter(F.array_contains("types", "Movie")).withColumn("work_id", get(item, "@id", "string")).filter("work_id is not null")
+    films = film.groupBy("page_id", "work_id").agg(F.max_by(F.struct("item"), "seq")["item"].alias("film"))
     events = items.filter(F.array_contains("types", "ScreeningEvent")).select(
-        "page_id", "seq", work.alias("work"), inline.alias("inline"), F.when(inline, F.try_variant_get(work, "$['@id']", "string")).alias("work_id"),
-        _plain(F.try_variant_get(item, "$.name", "variant")).alias("event_name"),
-        F.when(F.try_variant_get(item, "$.location", "map<string,variant>").isNotNull(), _plain(F.try_variant_get(item, "$.location.name", "variant"))).alias("location_name"),
-        vl.start_date(start).alias("date"), vl.start_time(start).alias("time"),
-    ).filter("date is not null")
+        "page_id", "seq", get(item, "workPresented").alias("work"), get(item, "name").alias("event_name"), get(item, "location").alias("place"), get(item, "startDate", "string").alias("start")
+    )
+    is_object = lambda c: F.coalesce(F.schema_of_variant(c).startswith("OBJECT"), F.lit(False))
+    events = events.withColumns({"date": vl.start_date(F.col("start")), "time": vl.start_time(F.col("start")), "inline": is_object("work")}).filter("date is not null")
+    events = events.withColumn("work_id", F.when(F.col("inline"), get(F.col("work"), "@id", "string")))
     joined = events.join(films, ["page_id", "work_id"], "left").join(bases, "page_id", "left")
     shown = joined.withColumn("shown", F.coalesce("film", F.when(F.col("inline"), F.col("work"))))
-    read = shown.select("page_id", "seq", "event_name", "location_name", "date", "time", "work", "inline", *_movie(F.col("shown"), F.col("base_url")))
-    title = F.coalesce(filled(F.col("title")), F.when(~F.coalesce("inline", F.lit(False)), _plain(F.col("work"))), F.col("event_name"))
-    return read.withColumn("title", title).select(*EVENT_FIELDS)
+    values = {f"f_{key}": get(F.col("shown"), key) for key in _FILM_KEYS}
+    values |= {"work_text": F.when(~F.col("inline"), F.col("work")), "event_text": F.col("event_name"), "location_name": F.when(is_object("place"), get(F.col("place"), "name"))}
+    read = _texts(shown.withColumn("genre", get(F.col("shown"), "genre")), values)
+    text = {key: F.col(f"`f_{key}`") for key in _FILM_KEYS}
+    return read.select(
+        "page_id", "seq", F.coalesce(text["name"], "work_text", "event_text").alias("title"),
+        vl.absolute_url(F.coalesce(text["@id"], text["url"]), F.col("base_url")).alias("source_url"), vl.absolute_url(text["image"], F.col("base_url")).alias("poster"),
+        text["description"].alias("description"), text["director"].alias("director"), text["duration"].alias("duration"),
+        vl.parse_year(F.coalesce(text["dateCreated"], text["datePublished"])).alias("year"), vl.variant_genres(F.col("genre")).alias("genres"), "location_name", "date", "time",
+    )
 
 
 # ---- microdata ------------------------------------------------------------------------
@@ -219,14 +220,19 @@ def extract_screenings(pages: DataFrame, base_url: Column | None = None) -> Data
     """
     numbered = pages.withColumn("page_id", F.col("landed_seq").cast("string"))
     bases = numbered.select("page_id", (F.col("url") if base_url is None else base_url).alias("base_url"))
-    nodes = mk.elements(numbered, "page_id")
+    # Several steps below read the elements: pages are tokenised once, and only the elements that
+    # carry structured data are kept.
+    nodes = materialise(mk.elements(numbered, "page_id", marked_only=True))
     linked = extract_jsonld(nodes)
     linked_pages = linked.select("page_id").distinct()
     plain = microdata_events(nodes.join(linked_pages, "page_id", "left_anti"), bases)
     events = jsonld_events(linked, bases).unionByName(plain)
     origin = numbered.select("page_id", "source_slug", "landed_seq", "url")
     joined = events.join(origin, "page_id")
-    return joined.withColumn("seq", position((F.col("landed_seq"), 0), (F.col("seq"), 56)))
+    numbered_events = joined.withColumn("seq", position((F.col("landed_seq"), 0), (F.col("seq"), 56)))
+    # Films and showings are both derived from the events; parsing again would cost more than a
+    # table that is small next to the pages.
+    return materialise(numbered_events)
 
 
 def build_entities(events: DataFrame, cinema: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -210,8 +210,11 @@ def _day_status(spark: SparkSession, day: str, status: str, path: str) -> None:
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:
     """Logged errors of every day that is not marked clean."""
-    days = spark.read.parquet(f"{path}/days").filter("status = 'clean'").select(F.col("day").cast("date").alias("day"))
-    return spark.read.parquet(f"{path}/errors").withColumn("day", F.col("day").cast("date")).join(days, "day", "left_anti")
+    log, days = _read_if_present(spark, f"{path}/errors"), _read_if_present(spark, f"{path}/days")
+    if log is None or days is None:
+        return spark.createDataFrame([], f"{ERROR_RECORD}, day date")
+    clean = days.filter("status = 'clean'").select(F.col("day").cast("date").alias("day"))
+    return log.withColumn("day", F.col("day").cast("date")).join(clean, "day", "left_anti")
 
 
 def error_summary(spark: SparkSession, path: str) -> DataFrame:
