@@ -100,7 +100,7 @@ _SLOTS = """m AS (SELECT film_id, cinema_slug, date, min(id) AS id, string_agg(D
 
 
 @query("upsert_showings", f"""{sql.STORE}, {_SLOTS.format("WHERE screen = 'O'").replace('m AS', 'old AS', 1)}, {_SLOTS.format("WHERE language <> 'N'").replace('m AS', 'new AS', 1)}
- SELECT coalesce(o.film_id, n.film_id) AS film_id, coalesce(o.cinema_slug, n.cinema_slug) AS cinema_slug, CAST(coalesce(o.date, n.date) AS VARCHAR) AS date, o.id,
+ SELECT coalesce(o.film_id, n.film_id) AS film_id, coalesce(o.cinema_slug, n.cinema_slug) AS cinema_slug, CAST(coalesce(o.date, n.date) AS VARCHAR) AS date, CAST(o.id AS VARCHAR) AS id,
  coalesce(n.times, o.times) AS times, CASE WHEN n.film_id IS NULL THEN o.screen ELSE n.screen END AS screen, CAST(coalesce(o.scraped_on, DATE '{NOW}') AS VARCHAR) AS scraped
  FROM old o FULL OUTER JOIN new n ON n.film_id = o.film_id AND n.cinema_slug = o.cinema_slug AND n.date = o.date""")
 def _(d: Data) -> DataFrame:
@@ -111,7 +111,7 @@ def _(d: Data) -> DataFrame:
 
     state = conform(slots(d.showings.filter("screen = 'O'")), SHOWINGS)
     done = jn.upsert_showings(state, slots(d.showings.filter("language <> 'N'")), _now())
-    return done.select("film_id", "cinema_slug", F.col("date").cast("string").alias("date"), "id", F.array_join("times", ",").alias("times"), "screen", F.to_date("scraped_at").cast("string").alias("scraped"))
+    return done.select("film_id", "cinema_slug", F.col("date").cast("string").alias("date"), F.col("id").cast("string").alias("id"), F.array_join("times", ",").alias("times"), "screen", F.to_date("scraped_at").cast("string").alias("scraped"))
 
 
 @query("resolve_keys", f"""{sql.STORE} SELECT (SELECT count(*) FROM showings s JOIN films f ON f.id = s.film_id AND f.year IS NOT NULL) AS resolved,

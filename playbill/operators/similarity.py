@@ -91,8 +91,11 @@ def near_pairs(keys: DataFrame, budget=tx.typo_budget) -> DataFrame:
     # Each key visits the segments of every length that can reach it, all within its own row.
     m = F.col("m")
     lengths = F.sequence(F.greatest(F.lit(0), F.floor(m * 0.75).cast("int") - 2), F.ceil((m + 2) * 4 / 3).cast("int"))
-    visits = base.select(F.col("key").alias("b"), m, F.explode(lengths).alias("n")).withColumn("t", budget(F.col("n")))
-    visits = visits.filter(F.abs(m - F.col("n")) <= F.col("t"))
+    # Only lengths that occur are worth a visit; there are no more of them than characters in the
+    # longest key.
+    present = [r.m for r in base.select("m").distinct().collect()]
+    visited = F.filter(lengths, lambda n: (F.abs(m - n) <= budget(n)) & n.isin(present))
+    visits = base.select(F.col("key").alias("b"), m, F.explode(visited).alias("n")).withColumn("t", budget(F.col("n")))
     visits = visits.select("b", m, "n", "t", F.explode(_segments(F.col("n"), F.col("t"))).alias("s"))
     # Multi-match-aware range of the places where segment i can have moved.
     gap, i, start, size = m - F.col("n"), F.col("s.i"), F.col("s.start"), F.col("s.size")

@@ -10,7 +10,7 @@ from playbill.functions import text as tx, values as vl
 from playbill.operators import grouping as gr, joins as jn
 from playbill.operators.ranking import assign_ids
 from playbill.operators.upsert import upsert_films
-from playbill.schema import CINEMAS, FILMS, SHOWINGS, blank, conform, filled
+from playbill.schema import CINEMAS, FILMS, SHOWINGS, blank, conform, ensure_columns, filled
 from playbill.session import materialise
 
 DEFAULT_REGION = "Umbria"
@@ -61,7 +61,9 @@ def cinema_rows(cinemas: DataFrame) -> DataFrame:
 
 
 def film_rows(films: DataFrame) -> DataFrame:
-    """Snapshot films as store fields; both spellings of a field are accepted."""
+    """Snapshot films as store fields; both spellings of a field are accepted, neither is required."""
+    optional = ["id", "original_title", "duration", "runtime_minutes", "director", "poster", "poster_url", "synopsis", "description", "wikidata_id"]
+    films = ensure_columns(films, dict.fromkeys(optional, "string") | {"year": "int", "genres": "array<string>"})
     return films.select(
         "seq",
         F.coalesce(filled(F.col("id")), F.col("title")).alias("json_key"),
@@ -114,7 +116,8 @@ def load_snapshot(
     named = films_in.select("seq", "json_key", "wikidata_id").join(records, "seq")
     lookup = materialise(named.groupBy("json_key").agg(F.max_by("id", "seq").alias("id")))
 
-    raw = snapshot.showings.withColumns({"json_key": F.col("film_id"), "day": F.col("date").cast("string").try_cast("date")}).drop("film_id", "date")
+    listed = ensure_columns(snapshot.showings, dict.fromkeys(["screen", "language", "source_url", "buy_url"], "string") | {"times": "array<string>"})
+    raw = listed.withColumns({"json_key": F.col("film_id"), "day": F.col("date").cast("string").try_cast("date")}).drop("film_id", "date")
     bad = raw.filter("day is null or cinema_slug is null").select(F.lit("showing without date or location").alias("reason"), "seq")
     good = raw.filter("day is not null and cinema_slug is not null").withColumnRenamed("day", "date")
     resolved, orphans = jn.resolve_key(good, lookup.select("json_key", F.col("id").alias("film_id")), "json_key", "film_id")

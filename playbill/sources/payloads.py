@@ -53,35 +53,45 @@ def _site_url(url: Column, base_url: str) -> Column:
 
 def flatten_session_api(payloads: DataFrame, base_url: str, cinema_url: str) -> tuple[DataFrame, DataFrame]:
     """Films → groups by date → sessions → attributes. One showing per session with a time."""
-    root = F.try_parse_json("body")
+    # Intermediate values get columns of their own, so that each is computed once per row.
+    parsed = payloads.select("source_slug", "landed_seq", F.try_parse_json("body").alias("root"))
+    root = F.col("root")
     films = F.coalesce(_list(root, "result"), _list(root, "films"), *[_list(root, f"{a}.{b}") for a in ("result", "films") for b in ("films", "items")])
-    rows = payloads.select("source_slug", "landed_seq", F.posexplode(films).alias("i", "film"))
+    rows = parsed.select("source_slug", "landed_seq", films.alias("films")).select("source_slug", "landed_seq", F.posexplode("films").alias("i", "film"))
     film = F.col("film")
     url = _text(film, "filmUrl")
     film_id = _text(film, "filmId")
     fallback = F.when(film_id.isNotNull(), F.concat(F.lit(f"{base_url}/film/"), film_id)).otherwise(F.lit(cinema_url))
     minutes = _text(film, "runningTime")
     unknown = F.coalesce(F.try_variant_get(film, "$.isDurationUnknown", "boolean"), F.lit(False))
-    poster = _site_url(_text(film, "posterImageSrc", "panelImageUrl"), base_url)
     rows = rows.select(
         "source_slug",
         position((F.col("landed_seq"), 0), (F.col("i"), 24)).alias("seq"),
         _text(film, "filmTitle", "title").alias("title"),
-        F.coalesce(_site_url(url, base_url), fallback).alias("url"),
-        poster.alias("poster"),
+        url.alias("link"),
+        fallback.alias("fallback"),
+        _text(film, "posterImageSrc", "panelImageUrl").alias("image"),
         _text(film, "synopsisShort", "synopsis").alias("description"),
         F.when((minutes != "0") & ~unknown, F.concat(minutes, F.lit(" min"))).alias("duration"),
         vl.variant_genres(F.try_variant_get(film, "$.genres", "variant")).alias("genres"),
         filled(tx.strip(_text(film, "director"))).alias("director"),
         _list(film, "showingGroups").alias("groups"),
-    ).filter("title is not null").withColumn("title_normalized", tx.normalize_title(F.col("title")))
+    ).filter("title is not null")
+    rows = rows.withColumns(
+        {
+            "title_normalized": tx.normalize_title(F.col("title")),
+            "url": F.coalesce(_site_url(F.col("link"), base_url), "fallback"),
+            "poster": _site_url(F.col("image"), base_url),
+        }
+    )
     films_out = rows.withColumns({"source_poster": F.col("poster"), "year": F.lit(None).cast("int")}).select(*FILM_FIELDS)
 
     groups = rows.select("source_slug", "seq", "url", F.posexplode("groups").alias("g", "group"))
-    groups = groups.withColumn("date", vl.start_date(_text(F.col("group"), "date"))).filter("date is not null")
+    groups = groups.withColumn("day", _text(F.col("group"), "date")).withColumn("date", vl.start_date(F.col("day"))).filter("date is not null")
     sessions = groups.select("source_slug", "seq", "url", "g", "date", F.posexplode(_list(F.col("group"), "sessions")).alias("k", "session"))
     session = F.col("session")
-    start = _text(session, "startTime", "showTime")
+    sessions = sessions.withColumn("start", _text(session, "startTime", "showTime"))
+    start = F.col("start")
     plain = F.when(start.rlike(r"^\d{1,2}:\d{2}"), F.substring(start, 1, 5))
     attributes = F.transform(
         F.filter(F.coalesce(_list(session, "attributes"), F.array().cast("array<variant>")), _is_object),
@@ -109,8 +119,9 @@ def flatten_programming_api(payloads: DataFrame, base_url: str) -> tuple[DataFra
     Films flagged as not shown that day, or left without variants, are dropped; a variant whose
     performances all fall on other days stays as a showing without times.
     """
-    movies = _list(F.try_parse_json("body"), "data")
-    rows = payloads.select("source_slug", "landed_seq", "target_date", F.posexplode(movies).alias("i", "film"))
+    parsed = payloads.select("source_slug", "landed_seq", "target_date", F.try_parse_json("body").alias("root"))
+    listed = parsed.withColumn("movies", F.try_variant_get("root", "$.data", "array<variant>"))
+    rows = listed.select("source_slug", "landed_seq", "target_date", F.posexplode("movies").alias("i", "film"))
     film = F.col("film")
     absent = F.coalesce(F.try_variant_get(film, "$.not_today", "boolean"), F.lit(False))
     slug = _text(film, "slug")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from playbill.functions import text as tx, values as vl
 from playbill.operators.grouping import consolidate_showings
@@ -300,4 +300,5 @@ def write_json_lines(rows: DataFrame, folder: str, name: str) -> None:
 def read_json_lines(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Rows written by :func:`write_json_lines`, in the declared schema of their envelope."""
     item = {"films": FILM_ITEM, "showings": SHOWING_ITEM, "cinemas": CINEMA_ITEM}[name]
-    return spark.read.schema(f"seq bigint, {item[len('struct<'):-1]}").json(f"{folder}/{name}")
+    fields = struct_type(f"item {item}")["item"].dataType.fields
+    return spark.read.schema(T.StructType([T.StructField("seq", T.LongType()), *fields])).json(f"{folder}/{name}")
