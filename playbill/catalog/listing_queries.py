@@ -140,9 +140,11 @@ def _detail(rows: DataFrame) -> DataFrame:
     return rows.select("id", "title", F.array_join(text, "|").alias("showings"))
 
 
-@query("film_details", f"{sql.STORE} {_DETAIL.format('2001-01-01', '')}")
+@query("film_details", f"""{sql.STORE} SELECT f.id, f.title, CAST(s.date AS VARCHAR) AS date, s.cinema_slug, s.clock AS times FROM films f
+ LEFT JOIN showings s ON s.film_id = f.id AND s.removed_at IS NULL AND s.date >= DATE '2001-01-01' WHERE f.removed_at IS NULL""")
 def _(d: Data) -> DataFrame:
-    return _detail(d.listing.film_details(d.films, "2001-01-01"))
+    rows = d.listing.film_details(d.films, "2001-01-01")
+    return rows.select("id", "title", F.col("showing.date").cast("string").alias("date"), "showing.cinema_slug", F.array_join("showing.times", ",").alias("times"))
 
 
 @query("film_detail", f"{sql.STORE} {_DETAIL.format(DAY, 'AND f.id = 6')}")

@@ -9,6 +9,7 @@ from playbill.operators.components import connected_components
 from playbill.operators.grouping import first_filled, first_list, first_value
 from playbill.operators.similarity import alias_table, canonical_title, similarity_self_join
 from playbill.schema import blank
+from playbill.session import materialise
 
 FILL_TEXT = ("poster", "source_poster", "director", "duration", "original_title")
 ENRICHED_TEXT = ("poster", "description", "director", "duration", "original_title", "wikidata_id")
@@ -73,7 +74,7 @@ def fuse_by_title(
 def external_id_labels(films: DataFrame) -> DataFrame:
     """Films sharing an external id, labelled with the first arrival."""
     known = films.filter(~blank(F.col("wikidata_id")))
-    roots = known.groupBy("wikidata_id").agg(F.min("arrival_seq").alias("root"))
+    roots = materialise(known.groupBy("wikidata_id").agg(F.min("arrival_seq").alias("root")))
     return known.join(roots, "wikidata_id").select(F.col("arrival_seq").alias("node"), "root")
 
 

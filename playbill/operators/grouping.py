@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.schema import blank, filled
+from playbill.session import materialise
 
 
 
@@ -82,7 +83,9 @@ def linked_pairs(rows: DataFrame, group: str, row_id: str = "id") -> DataFrame:
     The pairs connect every group completely, and their number grows with the rows; listing each
     pair of a group would grow with the square of its size.
     """
-    lowest = rows.groupBy(group).agg(F.min(row_id).alias("a"), F.count("*").alias("n")).filter("n > 1")
+    # As a table the summary is a plain shuffle input, which lets AQE split a group that holds a
+    # large share of the rows.
+    lowest = materialise(rows.groupBy(group).agg(F.min(row_id).alias("a"), F.count("*").alias("n")).filter("n > 1"))
     pairs = lowest.join(rows.select(group, F.col(row_id).alias("b")), group).filter(F.col("b") > F.col("a"))
     return pairs.select(group, "a", "b", F.concat_ws(":", "a", "b").alias("pair"))
 
@@ -110,12 +113,11 @@ def latest_scraped_at(showings: DataFrame) -> DataFrame:
 
 def table_counts(**tables: DataFrame) -> DataFrame:
     """One row with the row count of each table, archived rows included."""
-    counts = [table.agg(F.count("*").alias(name)) for name, table in tables.items()]
-    row = counts[0]
+    counts = [table.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, table in tables.items()]
+    listed = counts[0]
     for other in counts[1:]:
-        # One row on either side.
-        row = row.join(other, how="cross")
-    return row
+        listed = listed.unionByName(other)
+    return listed.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in tables])
 
 
 def films_with_cinemas(showings: DataFrame, cinemas: DataFrame) -> DataFrame:
@@ -134,7 +136,7 @@ def showtimes_by_cinema(showings: DataFrame, cinemas: DataFrame) -> DataFrame:
         "film_id", "date", F.col("cinema_slug").alias("slug"), "screen", "language", "buy_url", F.explode("times").alias("time")
     )
     item = F.struct("time", "screen", "language", "buy_url")
-    grouped = entries.groupBy("film_id", "date", "slug").agg(F.array_sort(F.collect_list(item)).alias("entries"))
+    grouped = entries.groupBy("film_id", "date", "slug").agg(F.array_sort(F.collect_set(item)).alias("entries"))
     named = grouped.join(cinemas.select("slug", "name"), "slug", "left")
     return named.select("film_id", "date", "slug", F.coalesce("name", "slug").alias("name"), "entries")
 

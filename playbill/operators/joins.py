@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from playbill.session import materialise
+
 from playbill.schema import filled
 
 
@@ -49,7 +51,7 @@ def match_natural_key(incoming: DataFrame, films: DataFrame, seq: str = "seq") -
     year, is unknown. Two candidates are a doubt, and a doubt is no match. The candidates are
     summarised per key before the join, so a homonym shared by many films stays one row.
     """
-    exact_side = films.groupBy("title_normalized", "year").agg(F.min("id").alias("exact_id"))
+    exact_side = materialise(films.groupBy("title_normalized", "year").agg(F.min("id").alias("exact_id")))
     open_side = films.groupBy("title_normalized").agg(
         F.count("*").alias("all_n"),
         F.min("id").alias("all_id"),
@@ -62,7 +64,7 @@ def match_natural_key(incoming: DataFrame, films: DataFrame, seq: str = "seq") -
         (F.col("i.title_normalized") == F.col("e.title_normalized")) & F.col("i.year").eqNullSafe(F.col("e.year")),
         "left",
     ).select("i.*", "exact_id")
-    full = exact.join(open_side, "title_normalized", "left")
+    full = exact.join(materialise(open_side), "title_normalized", "left")
     lone = (
         F.when(F.col("year").isNull() & (F.col("all_n") == 1), F.col("all_id"))
         .when(F.col("year").isNotNull() & (F.col("open_n") == 1), F.col("open_id"))

@@ -95,12 +95,12 @@ def merge_lifecycle(
     )
     # Films carried over come after those of the run: their numbers move behind the last new one.
     shift = films.agg((F.coalesce(F.max("arrival_seq"), F.lit(-1)) + 1).alias("shift"))
-    moved = gone.join(shift, how="cross").withColumn("arrival_seq", F.col("arrival_seq") + F.col("shift"))
+    moved = gone.withColumn("arrival_seq", F.col("arrival_seq") + shift.scalar())
     state_films = present.unionByName(moved.select(*films.columns))
 
     kept = gone.filter("fate <> 'grace'").select("arrival_seq")
-    carried = prev_showings.join(kept, "arrival_seq", "left_semi").join(shift, how="cross")
-    carried = carried.withColumn("arrival_seq", F.col("arrival_seq") + F.col("shift")).select(*showings.columns)
+    carried = prev_showings.join(kept, "arrival_seq", "left_semi")
+    carried = carried.withColumn("arrival_seq", F.col("arrival_seq") + shift.scalar()).select(*showings.columns)
     return state_films, showings.unionByName(carried)
 
 

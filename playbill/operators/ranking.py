@@ -44,7 +44,7 @@ def resolve_slot_collisions(showings: DataFrame) -> DataFrame:
     slot = ["group", "cinema_slug", "date"]
     theirs = (F.col("film_id") != F.col("survivor_id")).cast("int")
     order = F.struct(F.col("scraped_at"), -theirs, -F.col("film_id"), -F.col("id"))
-    winners = showings.groupBy(*slot).agg(F.max_by("id", order).alias("kept_id"))
+    winners = materialise(showings.groupBy(*slot).agg(F.max_by("id", order).alias("kept_id")))
     joined = showings.join(winners, slot)
     won = F.col("id") == F.col("kept_id")
     outcome = F.when(~won, "discard").when(theirs == 1, "move").otherwise("keep")

@@ -143,8 +143,9 @@ def resolve_identities(state: DataFrame, incoming: DataFrame) -> tuple[DataFrame
     else:
         labels = connected_components(links)
 
-    exact = known.groupBy("title_normalized", "year").agg(F.min("id").alias("exact_id"))
-    owners = known.filter("wikidata_id is not null").groupBy("wikidata_id").agg(F.min("id").alias("owner_id"))
+    # Summaries are written as tables: next to a plain shuffle AQE can split a hot key.
+    exact = materialise(known.groupBy("title_normalized", "year").agg(F.min("id").alias("exact_id")))
+    owners = materialise(known.filter("wikidata_id is not null").groupBy("wikidata_id").agg(F.min("id").alias("owner_id")))
     joined = records.alias("r").join(
         exact.alias("e"),
         (F.col("r.title_normalized") == F.col("e.title_normalized")) & F.col("r.year").eqNullSafe(F.col("e.year")),
@@ -201,8 +202,8 @@ def upsert_films(state: DataFrame, incoming: DataFrame, now: Column) -> tuple[Da
 
     last = state.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id"))
     inserted = rows.filter("target_id is null").select(F.col("target_seq").alias("seq"))
-    numbered = assign_ids(inserted, "seq").join(last, how="cross")
-    numbered = materialise(numbered.select(F.col("seq").alias("target_seq"), (F.col("id") + F.col("last_id")).alias("new_id")))
+    numbered = assign_ids(inserted, "seq", last.scalar())
+    numbered = materialise(numbered.select(F.col("seq").alias("target_seq"), F.col("id").alias("new_id")))
 
     def with_id(df: DataFrame) -> DataFrame:
         return df.join(numbered, "target_seq", "left").withColumn("id", F.coalesce("target_id", "new_id"))

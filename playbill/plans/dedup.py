@@ -80,7 +80,7 @@ def _manual_groups(films: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _key_groups(films: DataFrame) -> DataFrame:
     """Members of groups by recomputed key; only sizes and distinct years travel per key."""
-    years = films.groupBy("new_key", "year").agg(F.count("*").alias("n"))
+    years = materialise(films.groupBy("new_key", "year").agg(F.count("*").alias("n")))
     shape = years.groupBy("new_key").agg(
         F.count("year").alias("known_years"),
         F.min("year").alias("only_year"),
@@ -88,7 +88,7 @@ def _key_groups(films: DataFrame) -> DataFrame:
     )
     rows = films.select("id", "new_key", "year").alias("f").join(
         years.alias("y"), (F.col("f.new_key") == F.col("y.new_key")) & F.col("f.year").eqNullSafe(F.col("y.year"))
-    ).select("f.*", "n").join(shape, "new_key")
+    ).select("f.*", "n").join(materialise(shape), "new_key")
     adopts = (F.col("unknown") > 0) & (F.col("known_years") == 1)
     year_text = F.coalesce(F.col("year").cast("string"), F.lit("none"))
     grouped = rows.filter(adopts | (F.col("n") > 1))
@@ -137,7 +137,7 @@ def build_plan(films: DataFrame, showings: DataFrame, approved: DataFrame | None
     judged = members.groupBy("group").agg(
         F.when(F.first("rule") != BY_HAND, _conflict()).alias("block_reason"), F.min(rk.survivor_rank())["id"].alias("survivor_id")
     )
-    members = materialise(members.drop("doubt").join(judged, "group"))
+    members = materialise(members.drop("doubt").join(materialise(judged), "group"))
     merged = members.filter("block_reason is null")
 
     seats = showings.join(merged.select(F.col("id").alias("film_id"), "group", "survivor_id"), "film_id")
@@ -196,5 +196,5 @@ def report(plan: DedupPlan) -> dict[str, DataFrame]:
         "conflicts": rk.fill_conflicts(merged, plan.fills),
         "keys": plan.keys,
         "candidates": plan.candidates,
-        "summary": totals.join(moves, how="cross"),
+        "summary": totals.withColumns({c: moves.select(c).scalar() for c in ("moved", "discarded")}),
     }

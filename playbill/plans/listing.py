@@ -66,22 +66,22 @@ class Listing:
         return jn.active_showings(inside, self.films)
 
     def film_details(self, film_ids: DataFrame, as_of) -> DataFrame:
-        """Active films of a key table with their coming showings as an ordered list.
+        """Active films of a key table with their coming showings, one row per showing.
 
-        A film without coming showings has an empty list; an unknown one has no row.
+        A film without coming showings has one row with a null ``showing``; an unknown film has
+        none. In bulk the showings stay rows, however many one film has.
         """
         found = jn.active_films(self.films).join(film_ids.select("id").distinct(), "id", "left_semi")
         coming = self.showings.filter((F.col("date") >= _date(as_of)) & F.col("removed_at").isNull())
         item = F.struct("date", F.col("id").alias("showing_id"), "cinema_slug", "times", "language", "screen", "buy_url")
-        listed = coming.groupBy(F.col("film_id").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("showings"))
-        joined = found.join(listed, "id", "left")
-        empty = F.array().cast(listed.schema["showings"].dataType)
-        return joined.withColumn("showings", F.coalesce("showings", empty))
+        return found.join(coming.select(F.col("film_id").alias("id"), item.alias("showing")), "id", "left")
 
     def film_detail(self, film_id: int, as_of) -> DataFrame:
-        """One film with its coming showings."""
+        """One film with its coming showings as a list in date order, empty if there are none."""
         one = Listing(self.films.filter(F.col("id") == film_id), self.showings.filter(F.col("film_id") == film_id), self.cinemas)
-        return _existing(one.film_details(one.films, as_of), f"film {film_id}")
+        rows = one.film_details(one.films, as_of)
+        listed = rows.groupBy(*one.films.columns).agg(F.array_sort(F.collect_list("showing")).alias("showings"))
+        return _existing(listed, f"film {film_id}")
 
     def film(self, film_id: int) -> DataFrame:
         return _existing(jn.active_films(self.films).filter(F.col("id") == film_id), f"film {film_id}")
@@ -159,13 +159,12 @@ class Listing:
         age = F.round((F.unix_micros(instant) - F.unix_micros("latest_scraped_at")) / 3_600_000_000, 2)
         aged = latest.withColumns({"age_hours": age, "stale_after_hours": F.lit(float(stale_after_hours))})
         stale = F.col("age_hours").isNull() | (F.col("age_hours") > stale_after_hours)
-        return aged.withColumn("is_stale", stale).join(gr.table_counts(cinemas=self.cinemas), how="cross")
+        return aged.withColumns({"is_stale": stale, "cinemas": gr.table_counts(cinemas=self.cinemas).scalar()})
 
     def dataset_counts(self) -> DataFrame:
         """One row with the table counts and the newest stamp."""
-        counts = gr.table_counts(cinemas=self.cinemas, films=self.films)
-        stamped = self.showings.agg(F.count("*").alias("showings"), F.max("scraped_at").alias("latest_scraped_at"))
-        return counts.join(stamped, how="cross")
+        counts = gr.table_counts(cinemas=self.cinemas, films=self.films, showings=self.showings)
+        return counts.withColumn("latest_scraped_at", gr.latest_scraped_at(self.showings).scalar())
 
 
 def _existing(rows: DataFrame, what: str) -> DataFrame:

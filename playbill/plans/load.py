@@ -151,5 +151,5 @@ def _number_showings(showings: DataFrame, merged: DataFrame) -> DataFrame:
     """Give ids to inserted showings, in arrival order after the highest known one."""
     last = showings.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id"))
     born = showings.filter("id is null").drop("id").join(merged.select(*jn.SLOT, "seq"), jn.SLOT)
-    numbered = assign_ids(born, "seq").join(last, how="cross").withColumn("id", F.col("id") + F.col("last_id"))
+    numbered = assign_ids(born, "seq", last.scalar())
     return showings.filter("id is not null").unionByName(numbered.select(*showings.columns))

@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Keep every core busy on small but costly inputs; large ones still aim at the advisory size.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+    # The JVM never compiles methods above 8000 bytes: long text and payload expressions are faster
+    # as split projections than fused into one such method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

@@ -272,7 +272,7 @@ def accumulate_by_key(films: DataFrame, showings: DataFrame, union: bool = False
     With ``union`` the times of one date, location and screen become one showing.
     """
     key = ["source_slug", "title_normalized"]
-    firsts = films.groupBy(*key).agg(F.min("seq").alias("first_seq"))
+    firsts = materialise(films.groupBy(*key).agg(F.min("seq").alias("first_seq")))
     owner = films.join(firsts, key).select("source_slug", F.col("seq").alias("film_seq"), "first_seq")
     kept = films.join(firsts.select("source_slug", F.col("first_seq").alias("seq")), ["source_slug", "seq"], "left_semi")
     moved = showings.join(owner, ["source_slug", "film_seq"]).withColumn("film_seq", F.col("first_seq")).drop("first_seq")

@@ -35,7 +35,9 @@ def position(*parts: tuple[Column, int]) -> Column:
 
 def _text(value: Column, *paths: str) -> Column:
     """First non-empty text among several spellings of a field."""
-    return F.coalesce(*[filled(F.try_variant_get(value, f"$.{p}", "string")) for p in paths])
+    # An empty text has no character to match: one evaluation per path, where a comparison with
+    # the empty string would take two.
+    return F.coalesce(*[F.regexp_substr(F.try_variant_get(value, f"$.{p}", "string"), F.lit("(?s)^.+$")) for p in paths])
 
 
 def _list(value: Column, path: str) -> Column:
@@ -44,7 +46,7 @@ def _list(value: Column, path: str) -> Column:
 
 
 def _is_object(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
 
 def _site_url(url: Column, base_url: str) -> Column:
@@ -75,7 +77,7 @@ def flatten_session_api(payloads: DataFrame, base_url: str, cinema_url: str) ->
         F.when((minutes != "0") & ~unknown, F.concat(minutes, F.lit(" min"))).alias("duration"),
         vl.variant_genres(F.try_variant_get(film, "$.genres", "variant")).alias("genres"),
         filled(tx.strip(_text(film, "director"))).alias("director"),
-        _list(film, "showingGroups").alias("groups"),
+        F.try_variant_get(film, "$.showingGroups", "array<variant>").alias("groups"),
     ).filter("title is not null")
     rows = rows.withColumns(
         {
@@ -88,13 +90,14 @@ def flatten_session_api(payloads: DataFrame, base_url: str, cinema_url: str) ->
 
     groups = rows.select("source_slug", "seq", "url", F.posexplode("groups").alias("g", "group"))
     groups = groups.withColumn("day", _text(F.col("group"), "date")).withColumn("date", vl.start_date(F.col("day"))).filter("date is not null")
-    sessions = groups.select("source_slug", "seq", "url", "g", "date", F.posexplode(_list(F.col("group"), "sessions")).alias("k", "session"))
+    sessions = groups.select("source_slug", "seq", "url", "g", "date", F.posexplode(F.try_variant_get("group", "$.sessions", "array<variant>")).alias("k", "session"))
     session = F.col("session")
     sessions = sessions.withColumn("start", _text(session, "startTime", "showTime"))
     start = F.col("start")
     plain = F.when(start.rlike(r"^\d{1,2}:\d{2}"), F.substring(start, 1, 5))
+    # Anything but an object has no name and is left out below.
     attributes = F.transform(
-        F.filter(F.coalesce(_list(session, "attributes"), F.array().cast("array<variant>")), _is_object),
+        F.coalesce(F.try_variant_get(session, "$.attributes", "array<variant>"), F.array().cast("array<variant>")),
         lambda a: F.struct(_text(a, "name", "value").alias("name"), _text(a, "attributeType").alias("kind")),
     )
     read = sessions.select(
@@ -146,8 +149,8 @@ def flatten_programming_api(payloads: DataFrame, base_url: str) -> tuple[DataFra
     screen_object = F.try_variant_get(variant, "$.screen", "map<string,variant>").isNotNull() | _text(variant, "screen").isNull()
     screen = F.when(screen_object, F.try_variant_get(variant, "$.screen.name", "string")).otherwise(F.col("format"))
     wanted = F.filter(
-        F.coalesce(_list(variant, "performances"), F.array().cast("array<variant>")),
-        lambda p: _is_object(p) & F.coalesce(_text(p, "day") == F.col("target_date"), F.lit(True)),
+        F.coalesce(F.try_variant_get(variant, "$.performances", "array<variant>"), F.array().cast("array<variant>")),
+        lambda p: F.coalesce(_text(p, "day") == F.col("target_date"), F.lit(True)),
     )
     starts = F.filter(F.transform(wanted, lambda p: _text(p, "actual_start_at")), lambda t: t.isNotNull())
     showings = variants.select(
