@@ -71,7 +71,7 @@ def test_venues(spark):
     for payload in (listed, {"a": listed[0], "b": listed[1]}):
         venues = pl.find_nodes_with_key(landed(spark, ("u", json.dumps(payload))), "cinemaId")
         sources = spark.createDataFrame(
-            [("t", "The Space Cinema Terni", "https://h/x", 1), ("k", "Nowhere", "https://h/cinema/corciano/al-cinema", 2), ("n", "None", "https://h/cinema/roma/x", 3)],
+            [("t", "Grand Cinema Terni", "https://h/x", 1), ("k", "Nowhere", "https://h/cinema/corciano/al-cinema", 2), ("n", "None", "https://h/cinema/roma/x", 3)],
             "source_slug string, name string, cinema_url string, venue_id bigint",
         )
         assert rows(pl.resolve_venues(sources, venues), "source_slug", "venue_id") == [("k", 1027), ("n", 3), ("t", 1006)]
@@ -79,7 +79,7 @@ def test_venues(spark):
 
 JSONLD = """<html><head><script type="application/ld+json">{"@graph":[
  {"@type":["Movie","X"],"@id":"/f/dune","name":"Dune &amp; co","image":{"url":"/i.jpg"},"duration":"PT2H35M","dateCreated":"2021-09-03","genre":["A",""],"director":[{"name":"Villeneuve"}]},
- {"@type":"ScreeningEvent","workPresented":{"@id":"/f/dune"},"startDate":"2026-09-25T21:00:00+02:00","location":{"name":"Zenith"}},
+ {"@type":"ScreeningEvent","workPresented":{"@id":"/f/dune"},"startDate":"2026-09-25T21:00:00+02:00","location":{"name":"Aurora"}},
  {"@type":"ScreeningEvent","workPresented":{"@id":"/f/dune"},"startDate":"2026-09-25T18:00:00+02:00"},
  {"@type":"ScreeningEvent","workPresented":{"name":"Inline"},"startDate":"2026-09-26T18:00"},
  {"@type":"ScreeningEvent","name":"By name","workPresented":"","startDate":"2026-09-27"},
@@ -89,7 +89,7 @@ JSONLD = """<html><head><script type="application/ld+json">{"@graph":[
 MICRODATA = """<div itemscope itemtype="https://schema.org/Movie"><h2 itemprop="name">Serpenti &amp; scale</h2>
  <meta itemprop="url" content="/films/serpenti/"><img itemprop="image" src="/s.jpg"><span itemprop="genre">Horror</span><span itemprop="genre">B</span>
  <div itemscope itemtype="https://schema.org/ScreeningEvent"><time itemprop="startDate" datetime="2026-09-25T18:30:00+02:00">x</time>
-   <div itemprop="location" itemscope><span itemprop="name">Metropolis</span></div></div>
+   <div itemprop="location" itemscope><span itemprop="name">Splendor</span></div></div>
  <div itemscope itemtype="http://schema.org/ScreeningEvent/"><div itemprop="startDate" content="2026-09-25T16:00"></div></div></div>
 <div itemscope itemtype="https://schema.org/ScreeningEvent"><span itemprop="startDate" content="2026-09-26T20:00"></span>
  <div itemprop="workPresented" itemscope itemtype="https://schema.org/Movie"><span itemprop="name">Nested</span><span itemprop="duration" content="PT90M"></span></div></div>
@@ -109,8 +109,8 @@ def test_screenings_of_pages(spark):
         ("Serpenti & scale", "Serpenti & scale", "https://m.it/s.jpg", None, None, ["Horror", "B"], None),
     ]
     assert rows(showings, "date", "times", "source_url", "cinema") == [
-        ("2026-09-25", ["16:00", "18:30"], "https://m.it/films/serpenti/", "Metropolis"),
-        ("2026-09-25", ["18:00", "21:00"], "https://z.it/f/dune", "Zenith"),
+        ("2026-09-25", ["16:00", "18:30"], "https://m.it/films/serpenti/", "Splendor"),
+        ("2026-09-25", ["18:00", "21:00"], "https://z.it/f/dune", "Aurora"),
         ("2026-09-26", ["18:00"], None, ""),
         ("2026-09-26", ["20:00"], None, ""),
         ("2026-09-26", ["22:00"], None, ""),
