@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from playbill.llm import line_dedup, near_dups, packing, sketches
+from playbill.llm import chunked_bpe, language, line_dedup, near_dups, packing, sketches, token_counts, token_files, top_k, wrappers
 from playbill.llm.tables import read, texts
+from playbill.session import checkpoint_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +35,50 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k.top_k(read(spark, folder, "embeddings"))
+
+
+ORACLES["op3_exact_top_k"] = """
+WITH given AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM given q JOIN given c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+
+@query
+def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return chunked_bpe.encoded(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
+@query
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    held = docs.withColumn("held_out", ~language.train_fold())
+    return language.identified(held, language.train(docs), "held_out")
+
+
+@query
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{checkpoint_root(spark)}/playbill/{uuid.uuid4().hex}"
+    token_files.write(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return token_files.index(token_files.read(spark, path))
+
+
+@query
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = token_counts.token_counts(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.main_texts(read(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = line_dedup.dedup_lines(texts(read(spark, folder, "documents")))
