@@ -199,12 +199,12 @@ def identified(docs: DataFrame, model: Model, *more: str) -> DataFrame:
     """(lang_pred, score) beside doc_id and the columns ``more``; ``und`` with score 0 without letters or languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by features and languages
     kept = docs.select("doc_id", *more, "text")
-    at_text = len(kept.columns) - 1
+    names = kept.columns[:-1]
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shared.value.predict(t) for t in batch.column(at_text).to_pylist()]
-        columns = [*batch.columns[:at_text], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-        return pa.record_batch(columns, names=[*kept.columns[:at_text], "lang_pred", "score"])
+        found = [shared.value.predict(t) for t in batch.column(len(names)).to_pylist()]
+        columns = [*batch.columns[: len(names)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+        return pa.record_batch(columns, names=[*names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:at_text])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return map_rows(kept, of, f"{schema}, lang_pred string, score double")

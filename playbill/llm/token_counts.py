@@ -138,7 +138,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     counted = materialise(count_pieces(words, path))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
-    def add_up(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def add_up(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         size = 1 + max((int(_unpacked(p.as_py(), "i4").max(initial=0)) for p in right["places"]), default=0)
         pieces = np.zeros(size, np.int64)
         for places, counts in zip(right["places"], right["pieces"], strict=True):
