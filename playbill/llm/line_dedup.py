@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.llm.tables import ascii_lower, partitions
+from playbill.session import materialise
 
 #: The white space that is stripped at both ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
@@ -43,11 +44,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     document count once and share its fate. Rows with the same doc_id are one document; a null doc_id comes last
     and is one document as well. Null and empty texts have one short line, which stays.
     """
-    rows = line_rows(docs, min_chars)
+    # Written first: dealing by ranges reads its input twice, and so does what follows.
+    rows = materialise(line_rows(docs, min_chars))
     dealt = rows.repartitionByRange(partitions(docs.sparkSession), "h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
     once = dealt.groupBy("h1", "h2", F.col("doc_id").alias("holder")).agg(F.min("pos").alias("pos"))
     shared = once.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("holder").alias("first")).filter(F.col("docs") >= min_docs)
-    gone = dealt.join(shared, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    # As a table of known size, and one whose join partitions can be split where a line is frequent.
+    gone = rows.join(materialise(shared), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
     bit = F.expr("shiftleft(1L, pos % 64)")
     words = gone.groupBy("doc_id", "version", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(bit).alias("gone"))
     pairs = F.collect_list(F.struct("word", F.bitwise_not("gone").alias("keep")))
