@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -25,12 +27,27 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings above to a running session and return it."""
+    """Apply the settings above to a running session, ship the package to its workers, and return it."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they need no common folder."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    if getattr(context, "_shipped", None) == str(package):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="playbill-")) / "playbill.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for module in sorted(package.rglob("*.py")):
+            out.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._shipped = str(package)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: the one the cluster names, never a machine-local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
