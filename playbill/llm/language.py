@@ -195,16 +195,19 @@ def train(docs: DataFrame, size: int = SAMPLE) -> Model:
     return fit(sample(rows, size), np.log((1 + total) / (1 + seen)) + 1)
 
 
-def identified(docs: DataFrame, model: Model, *more: str) -> DataFrame:
-    """(lang_pred, score) beside doc_id and the columns ``more``; ``und`` with score 0 without letters or languages."""
+def identified(docs: DataFrame, model: Model, *more: str, keep_text: bool = False) -> DataFrame:
+    """(lang_pred, score) beside doc_id and the columns ``more``; ``und`` with score 0 without letters or languages.
+
+    With ``keep_text`` the text comes along, null where it was.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by features and languages
     kept = docs.select("doc_id", *more, "text")
     names = kept.columns[:-1]
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shared.value.predict(t) for t in batch.column(len(names)).to_pylist()]
-        columns = [*batch.columns[: len(names)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-        return pa.record_batch(columns, names=[*names, "lang_pred", "score"])
+        columns = [*batch.columns[: len(names) + keep_text], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+        return pa.record_batch(columns, names=[*names, *["text"] * keep_text, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(names) + keep_text])
     return map_rows(kept, of, f"{schema}, lang_pred string, score double")

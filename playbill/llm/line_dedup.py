@@ -58,22 +58,22 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The documents with their kept lines as text, and n_lines and n_dropped. Other columns stay as they are."""
+    """The documents with their kept lines as text, and n_lines and n_dropped. Other columns stay as they are.
+
+    Columns of ``docs`` that are called n_lines or n_dropped give way to the new ones.
+    """
     # As an array up to the last word that is named, so that a line finds its word in one step.
     dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("words"))), lambda w: F.coalesce(F.element_at("words", w), F.lit(-1).cast("long")))
-    cut = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), dense.alias("_keep"))
-    given = _versioned(docs)
-    joined = given.join(cut, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("version") == F.col("_version")), "left")
-    word = lambda i: F.coalesce(F.get("_keep", F.expr("0") + (i / 64).cast("int")), F.lit(-1).cast("long"))
-    kept = F.filter("_lines", lambda line, i: F.getbit(word(i), i % 64) == 1)
-    out = joined.withColumn("_lines", _lines("text")).withColumn("_kept", F.when(F.col("_keep").isNull(), F.col("_lines")).otherwise(kept))
-    columns = [c for c in docs.columns if c != "text"]
-    return out.select(
-        *[F.col(c) for c in columns],
-        F.array_join("_kept", "\n").alias("text"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
-    )
+    cut = bitmaps.select(F.col("doc_id").alias("cut_doc"), F.col("version").alias("cut_version"), dense.alias("keep"))
+    others = [F.col(c).alias(f"given_{k}") for k, c in enumerate(docs.columns)]
+    given = _versioned(docs.select("doc_id", "text", *others))
+    joined = given.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_doc")) & (F.col("version") == F.col("cut_version")), "left")
+    word = lambda i: F.coalesce(F.get("keep", (i / 64).cast("int")), F.lit(-1).cast("long"))
+    kept = F.filter("lines", lambda line, i: F.getbit(word(i), i % 64) == 1)
+    out = joined.withColumn("lines", _lines("text")).withColumn("left", F.when(F.col("keep").isNull(), F.col("lines")).otherwise(kept))
+    text = F.array_join("left", "\n").alias("text")
+    columns = [text if c == "text" else F.col(f"given_{k}").alias(c) for k, c in enumerate(docs.columns) if c not in ("n_lines", "n_dropped")]
+    return out.select(*columns, F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ components is lost, and a large group of near copies stays linear in what it emi
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -161,88 +161,114 @@ class Links:
 
     def thin(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.a:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         a, b = forest(np.concatenate(self.a), np.concatenate(self.b))
         self.a, self.b = [a], [b]
         return a, b
 
 
-def compare(points: np.ndarray, queries: np.ndarray, bits: int, links: Links) -> None:
-    """All links between queries and points, by a tree over the points."""
-    todo = [(points, queries)]
+def compare(points: np.ndarray, queries: np.ndarray, bits: int, found: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """Tell ``found`` the places (of queries, of points) of all pairs within ``bits``, by a tree over the points."""
+    todo = [(np.arange(len(points)), np.arange(len(queries)))]
     while todo:
-        points, queries = todo.pop()
-        if not len(points) or not len(queries):
+        p, q = todo.pop()
+        if not len(p) or not len(q):
             continue
-        cut = _cut(points) if len(points) > LEAF else None
+        cut = _cut(points[p]) if len(p) > LEAF else None
         if cut is None:
-            step = max(1, BLOCK // len(points))
-            for k in range(0, len(queries), step):
-                some = queries[k : k + step]
-                q, p = np.nonzero(np.bitwise_count(some[:, None] ^ points[None, :]) <= bits)
-                differ = some[q] != points[p]
-                links.add(some[q[differ]], points[p[differ]])
+            step = max(1, BLOCK // len(p))
+            for k in range(0, len(q), step):
+                some = q[k : k + step]
+                at, of = np.nonzero(np.bitwise_count(queries[some][:, None] ^ points[p][None, :]) <= bits)
+                if len(at):
+                    found(some[at], p[of])
             continue
         vantage, radius = cut
-        d, inside = _distance(queries, vantage), _distance(points, vantage) <= radius
-        todo += [(points[inside], queries[d <= radius + bits]), (points[~inside], queries[d > radius - bits])]
+        d, inside = _distance(queries[q], vantage), _distance(points[p], vantage) <= radius
+        todo += [(p[inside], q[d <= radius + bits]), (p[~inside], q[d > radius - bits])]
+
+
+class Shards:
+    """A tree of shards made from a sample, and how rows are dealt to the tasks that work on them."""
+
+    def __init__(self, sample: np.ndarray, number: int, bits: int):
+        self.tree, self.bits = Tree(sample, number), bits
+        # Visitors that the sample speaks for are divided among several tasks, each with the shard's points.
+        visits = np.bincount(self.tree.route(sample, bits)[1], minlength=self.tree.shards)
+        share = visits * (number * SHARD / max(1, len(sample)))
+        self.tasks = np.maximum(1, np.ceil(share / VISITORS)).astype(np.int64)
+        self.base = np.concatenate([[0], np.cumsum(self.tasks)])
+
+    def deal(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the point, task, kind): kind 0 for points of a shard, in all its tasks; kind 1 for queries, in one."""
+        index, shard, home = self.tree.route(points, self.bits)
+        copies = self.tasks[shard[home]]
+        own = np.repeat(index[home], copies)
+        copy = np.arange(len(own)) - np.repeat(np.cumsum(copies) - copies, copies)
+        pick = (points[index] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % self.tasks[shard].astype(np.uint64)
+        task = np.concatenate([np.repeat(self.base[shard[home]], copies) + copy, self.base[shard] + pick.astype(np.int64)])
+        kind = np.concatenate([np.zeros(len(own), np.int8), np.ones(len(index), np.int8)])
+        return np.concatenate([own, index]), task, kind
+
+
+def sharded(batches: Iterable[pa.RecordBatch], work: Callable[[list[np.ndarray], list[np.ndarray], Links], None]) -> Iterator[pa.RecordBatch]:
+    """Links by task. Rows come as (task, kind, columns...), sorted by both: a task's points, then its queries."""
+    at, points, held, links = None, [], None, Links()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        a, b = links.thin()
+        if len(a):
+            yield pa.record_batch([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+
+    for batch in batches:
+        task, kind, *columns = (c.to_numpy() for c in batch.columns)
+        for part in np.split(np.arange(len(task)), np.flatnonzero((np.diff(task) != 0) | (np.diff(kind) != 0)) + 1):
+            if not len(part):
+                continue
+            if task[part[0]] != at:
+                yield from flush()
+                at, points, held, links = task[part[0]], [], None, Links()
+            own = [c[part] for c in columns]
+            if kind[part[0]] == 0:
+                points.append(own)
+            elif points:
+                held = held or [np.concatenate(c) for c in zip(*points, strict=True)]
+                work(held, own, links)
+    yield from flush()
+
+
+def drawn(values: DataFrame, number: int) -> np.ndarray:
+    """A bounded sample of distinct ``fp`` for a tree of so many shards."""
+    size = min(SAMPLE, PER_SHARD * number) if number > 1 else 0
+    sample = values.orderBy(F.xxhash64("fp"), "fp").limit(size).collect() if size else []
+    return np.array([r["fp"] for r in sample], np.int64).view(np.uint64)
 
 
 def links_of(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """A spanning forest (a, b) of the links within ``bits`` among distinct ``fp``; ``distinct`` is read three times."""
-    spark = distinct.sparkSession
-    shards = -(-distinct.count() // SHARD)
-    size = min(SAMPLE, PER_SHARD * max(shards, 1))
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(size) if shards > 1 else distinct.limit(0)
-    drawn = np.array([r["fp"] for r in sample.collect()], np.int64).view(np.uint64)
-    tree = Tree(drawn, shards)
-    # Visitors of a shard that the sample speaks for are divided among several tasks, each with the shard's points.
-    share = np.bincount(tree.route(drawn, bits)[1], minlength=tree.shards) * (shards * SHARD / max(1, len(drawn)))
-    tasks = np.maximum(1, np.ceil(share / VISITORS)).astype(np.int64)
-    base = np.concatenate([[0], np.cumsum(tasks)])[:-1]
+    number = max(1, -(-distinct.count() // SHARD))
+    shards = Shards(drawn(distinct, number), number, bits)
 
     def routed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        points = batch.column(0).to_numpy().view(np.uint64)
-        index, shard, home = tree.route(points, bits)
-        # Those that live in a shard go to all its tasks as points, and to one of them as queries like visitors.
-        own = np.repeat(index[home], tasks[shard[home]])
-        copy = np.concatenate([np.arange(n) for n in tasks[shard[home]]]) if home.any() else np.empty(0, np.int64)
-        of = np.repeat(base[shard[home]], tasks[shard[home]])
-        pick = points[index] % tasks[shard].astype(np.uint64)
-        task = np.concatenate([of + copy, base[shard] + pick.astype(np.int64)])
-        kind = np.concatenate([np.zeros(len(own), np.int8), np.ones(len(index), np.int8)])
-        return pa.record_batch([pa.array(task), pa.array(kind), pa.array(points[np.concatenate([own, index])].view(np.int64))], names=["task", "kind", "fp"])
-
-    def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tasks come one after the other, in each the points before the queries."""
-        at, points, held, links = None, [], None, Links()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            a, b = links.thin()
-            if len(a):
-                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        for batch in batches:
-            task, kind, fp = (c.to_numpy() for c in batch.columns)
-            for part in np.split(np.arange(len(task)), np.flatnonzero((np.diff(task) != 0) | (np.diff(kind) != 0)) + 1):
-                if not len(part):
-                    continue
-                if task[part[0]] != at:
-                    yield from flush()
-                    at, points, held, links = task[part[0]], [], None, Links()
-                own = fp[part].view(np.uint64)
-                if kind[part[0]] == 0:
-                    points.append(own)
-                else:
-                    held = np.concatenate(points) if held is None and points else held
-                    if held is not None:
-                        compare(held, own, bits, links)
-        yield from flush()
+        values = batch.column(0).to_numpy()
+        index, task, kind = shards.deal(values.view(np.uint64))
+        return pa.record_batch([pa.array(task), pa.array(kind), pa.array(values[index])], names=["task", "kind", "fp"])
+
+    def work(points: list[np.ndarray], queries: list[np.ndarray], links: Links) -> None:
+        p, q = points[0].view(np.uint64), queries[0].view(np.uint64)
+
+        def found(at: np.ndarray, of: np.ndarray) -> None:
+            differ = q[at] != p[of]
+            links.add(queries[0][at[differ]], points[0][of[differ]])
+
+        compare(p, q, bits, found)
 
     rows = map_rows(distinct.select("fp"), routed, "task long, kind byte, fp long")
-    many = min(int(base[-1] + tasks[-1]), partitions(spark))
-    dealt = rows.repartition(max(many, 1), "task").sortWithinPartitions("task", "kind")
-    return dealt.mapInArrow(linked, "a long, b long")
+    return by_task(rows, int(shards.base[-1])).mapInArrow(lambda batches: sharded(batches, work), "a long, b long")
+
+
+def by_task(rows: DataFrame, tasks: int) -> DataFrame:
+    return rows.repartition(max(1, min(tasks, partitions(rows.sparkSession))), "task").sortWithinPartitions("task", "kind")
 
 
 def components(prints: DataFrame, bits: int = BITS) -> DataFrame:

@@ -11,9 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BATCH_ROWS = "512"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches for rows with texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """One of the given tables, whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
