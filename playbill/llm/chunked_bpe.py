@@ -48,8 +48,9 @@ def cut_points(data: np.ndarray) -> np.ndarray:
 
 
 def chunks(data: bytes) -> list[tuple[int, int]]:
+    """(start, end) of each chunk; an empty text has none."""
     ends = cut_points(np.frombuffer(data, np.uint8)).tolist()
-    return list(zip([0, *ends[:-1]], ends, strict=True))
+    return list(zip([0, *ends], ends, strict=False))
 
 
 def split(chunk: str) -> tuple[str, str, str] | None:

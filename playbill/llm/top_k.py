@@ -74,7 +74,7 @@ def blocks(vectors: DataFrame, rows: int, number: int) -> DataFrame:
 
     given = vectors.filter("vec_id IS NOT NULL").select("vec_id", "embedding")
     # Numbered by partition: blocks of different tasks never share a number.
-    dealt = given.repartition(number, F.xxhash64("vec_id")).withColumn("part", F.spark_partition_id().cast("long"))
+    dealt = given.repartition(number).withColumn("part", F.spark_partition_id().cast("long"))
     return dealt.mapInArrow(pack, "block long, dims long, kind string, ids binary, data binary")
 
 
@@ -91,6 +91,7 @@ def search(queries: tuple[np.ndarray, np.ndarray], vectors: tuple[np.ndarray, np
         best = [_top(*f, k) for f in found]
         return tuple(np.concatenate(c) for c in zip(*best, strict=True))
     q, x = q.astype(np.float64), x.astype(np.float64)
+    want = k + len(ids) - len(np.unique(ids))  # rows that repeat an id may take places that count once
     # Runs with the largest mass come first, which tightens the bounds early.
     order = np.argsort(-np.einsum("ij,ij->i", x, x), kind="stable")
     q, x = q[order], x[order]
@@ -108,12 +109,12 @@ def search(queries: tuple[np.ndarray, np.ndarray], vectors: tuple[np.ndarray, np
         floor = -np.inf
         for step in range(1, len(cuts) - 1):
             reach = q_rest[step, c] * x_rest[step, alive]
-            if len(alive) > k:
+            if len(alive) > want:
                 if step == 1:  # the exact scores of the k most promising vectors are a floor for the k-th best
-                    seeds = alive[np.argpartition(score + 0.5 * reach, len(alive) - k)[-k:]]
+                    seeds = alive[np.argpartition(score + 0.5 * reach, len(alive) - want)[-want:]]
                     floor = (q[:, c] @ x[:, seeds]).min()
                 else:
-                    floor = max(floor, np.partition(score - reach, len(alive) - k)[len(alive) - k])
+                    floor = max(floor, np.partition(score - reach, len(alive) - want)[len(alive) - want])
                 # A little below, as the masses are rounded.
                 keep = score + reach * (1 + 1e-9) + 1e-6 >= floor
                 alive, score = alive[keep], score[keep]
@@ -128,6 +129,10 @@ def search(queries: tuple[np.ndarray, np.ndarray], vectors: tuple[np.ndarray, np
 def _top(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     other = ids != query
     query, ids, score = query[other], ids[other], score[other]
+    if len(np.unique(ids)) < len(ids):
+        order = np.lexsort((-score, ids))
+        first = order[np.append(True, np.diff(ids[order]) != 0)]
+        query, ids, score = query[first], ids[first], score[first]
     best = np.lexsort((ids, -score))[:k]
     return query[best], ids[best], score[best]
 
