@@ -124,7 +124,8 @@ def encoded(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame
     With ``digests``: SHA-256 of the ids and of the decoded text instead (ids_sha256, decoded_sha256). A null text is
     empty; rows may repeat.
     """
-    packed = _packed(docs)
+    # The filter is one that a join adds on one side; with it both joins read the same exchange of texts.
+    packed = _packed(docs).filter("key IS NOT NULL AND version IS NOT NULL")
     cuts = materialise(chunk_rows(docs))
     loans = cuts.select("h1", "h2", "key", "version", "pos").join(lent(packed, cuts, tokenizer), ["h1", "h2"])
     # A row that repeats asks twice for the same.
