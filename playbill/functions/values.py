@@ -136,11 +136,30 @@ def local_date(instant: Column, zone: str = "Europe/Rome") -> Column:
 # ---- URLs -----------------------------------------------------------------------------
 
 
+def without_dots(url: Column) -> Column:
+    """An absolute address with ``.`` and ``..`` segments of its path carried out.
+
+    Segments go onto a stack from left to right; a ``..`` takes the last one off again, and does nothing at the root.
+    """
+    parts = F.regexp_extract(url, r"^([^:]+://[^/?#]*)(/[^?#]*)?(.*)$", 1), F.regexp_extract(url, r"^([^:]+://[^/?#]*)(/[^?#]*)?(.*)$", 2), F.regexp_extract(url, r"(?s)^[^?#]*(.*)$", 1)
+    segments = F.split(F.substring(parts[1], 2, 2**31 - 1), "/", -1)
+    empty = F.array().cast("array<string>")
+
+    def step(stack: Column, segment: Column) -> Column:
+        up = F.when(F.size(stack) > 0, F.slice(stack, 1, F.size(stack) - 1)).otherwise(stack)
+        return F.when(segment == "..", up).when(segment == ".", stack).otherwise(F.array_append(stack, segment))
+
+    done = F.aggregate(segments, empty, step)
+    # A path that ends in a dot segment names a folder.
+    folder = F.when(F.element_at(segments, -1).isin(".", "..") & (F.size(done) > 0), F.lit("/")).otherwise(F.lit(""))
+    dotted = parts[1].rlike(r"/\.\.?(?:/|$)")
+    return F.when(dotted, F.concat(parts[0], F.lit("/"), F.array_join(done, "/"), folder, parts[2])).otherwise(url)
+
+
 def absolute_url(url: Column, base: Column) -> Column:
     """Resolve a link against its page: absolute, scheme-relative, rooted, query or relative.
 
-    Dot segments are removed by repeated contraction, which covers links as pages write them
-    (up to eight levels).
+    Dot segments are removed, however many there are.
     """
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
@@ -155,10 +174,7 @@ def absolute_url(url: Column, base: Column) -> Column:
         .when(url.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), url))
         .otherwise(F.concat(folder, url))
     )
-    joined = F.regexp_replace(joined, r"(?<!:/)/(?:\./)+", "/")
-    for _ in range(8):
-        joined = F.regexp_replace(joined, r"^([^:]+://[^/?#]+(?:/[^?#]*?)?)/(?!\.\./)[^/?#]+/\.\./", "$1/")
-    joined = F.regexp_replace(joined, r"^([^:]+://[^/?#]+)/(?:\.\./)+", "$1/")
+    joined = without_dots(joined)
     return (
         F.when(blank(url), None)
         .when(url.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), url)

@@ -80,8 +80,8 @@ def _slot(key: Column, length: Column, segment: Column, start: Column) -> Column
 def near_pairs(keys: DataFrame, budget=tx.typo_budget) -> DataFrame:
     """(a, b): ordered pairs of distinct keys with distance(a, b) <= budget(length of a).
 
-    ``budget`` maps the length of the *first* key of a pair to its tolerated edits; it may not
-    exceed ``max(2, length / 4)``, which bounds the lengths a probe has to visit.
+    ``budget`` maps the length of the *first* key of a pair to its tolerated edits. A length that another can reach
+    is found by asking the budget of each up to the longest key.
     """
     base = keys.select("key", F.length("key").alias("m"))
     left = base.select(F.col("key").alias("a"), F.col("m").alias("n"), budget(F.col("m")).alias("t"))
@@ -90,12 +90,11 @@ def near_pairs(keys: DataFrame, budget=tx.typo_budget) -> DataFrame:
 
     # Each key visits the segments of every length that can reach it, all within its own row.
     m = F.col("m")
-    lengths = F.sequence(F.greatest(F.lit(0), F.floor(m * 0.75).cast("int") - 2), F.ceil((m + 2) * 4 / 3).cast("int"))
-    # Only lengths that occur are worth a visit; there are no more of them than characters in the
-    # longest key.
-    present = [r.m for r in base.select("m").distinct().collect()]
-    visited = F.filter(lengths, lambda n: (F.abs(m - n) <= budget(n)) & n.isin(present))
-    visits = base.select(F.col("key").alias("b"), m, F.explode(visited).alias("n")).withColumn("t", budget(F.col("n")))
+    longest = base.agg(F.coalesce(F.max("m"), F.lit(0))).scalar()
+    visits = base.select(F.col("key").alias("b"), m, longest.alias("longest")).select("b", m, F.explode(F.sequence(F.lit(0), "longest")).alias("n"))
+    visits = visits.filter(F.abs(m - F.col("n")) <= budget(F.col("n")))
+    # Only lengths that occur are worth a visit; there are no more of them than characters in the longest key.
+    visits = visits.join(base.select(m.alias("n")).distinct(), "n", "left_semi").withColumn("t", budget(F.col("n")))
     visits = visits.select("b", m, "n", "t", F.explode(_segments(F.col("n"), F.col("t"))).alias("s"))
     # Multi-match-aware range of the places where segment i can have moved.
     gap, i, start, size = m - F.col("n"), F.col("s.i"), F.col("s.start"), F.col("s.size")

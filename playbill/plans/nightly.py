@@ -75,7 +75,7 @@ def run_nightly(
 
 def publish_run(result: NightlyResult, cinemas: DataFrame, window: list[str], state_root: str, snapshot_root: str, version: int, today: str) -> None:
     """Write the state, its dated copy, the snapshot and the errors of the day."""
-    tb.publish({"films": result.state_films, "showings": result.state_showings}, state_root, version)
+    tb.publish({"films": result.state_films, "showings": result.state_showings}, state_root, version, {"showings": "date"})
     tb.write_snapshot(result.films, result.showings, cinemas, window[0], window[-1], snapshot_root, version)
     tb.archive_snapshot(tb.nest_state(result.state_films, result.state_showings), today, f"{state_root}/history")
     tb.replace_errors_for_day(result.errors, today, f"{state_root}/log")

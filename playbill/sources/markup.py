@@ -7,17 +7,21 @@ event shows which film, is decided by joins on those rows.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 ELEMENTS = (
     "page_id string, eid int, end int, parent int, tag string, classes array<string>, attrs map<string,string>, scope int, movie int, "
-    "text string, spaced string"
+    "above array<int>, text string, spaced string"
 )
+#: Rows handed back to Spark at once, so that a worker never holds the elements of a whole batch of pages.
+ROWS = 5000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Tags whose start closes an open element of the same kind.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
@@ -45,7 +49,7 @@ class _Tokeniser(HTMLParser):
             "scope": None if parent is None else parent["eid"] if "itemscope" in parent["attrs"] else parent["scope"],
             "movie": None if parent is None else parent["eid"] if "Movie" in parent["types"] else parent["movie"],
             "keeps": tag in TEXT_TAGS or "itemprop" in known or any("title" in k or "time" in k or "synopsis" in k or "description" in k for k in (known.get("class", ""), known.get("data-test", ""))),
-            "parts": [],
+            "above": [open_["eid"] for open_ in self.open], "parts": [],
         }
         self.rows.append(row)
         if tag not in VOID:
@@ -74,23 +78,27 @@ class _Tokeniser(HTMLParser):
 
 def _is_marked(row: dict) -> bool:
     attrs = row["attrs"]
-    return "itemprop" in attrs or "itemtype" in attrs or (row["tag"] == "script" and "json" in attrs.get("type", ""))
+    return "itemprop" in attrs or "itemtype" in attrs or (row["tag"] == "script" and "json" in attrs.get("type", "").lower())
+
+
+def _in_frames(rows: Iterator[tuple], columns: list[str], kinds: dict[str, str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of bounded size."""
+    while held := list(islice(rows, ROWS)):
+        yield pd.DataFrame(held, columns=columns).astype(kinds)
 
 
 def _element_rows(marked_only: bool):
     """Tokenising function over batches of pages."""
+    columns = ["page_id", "eid", "end", "parent", "tag", "classes", "attrs", "scope", "movie", "above", "text", "spaced"]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
-            rows = []
             for page_id, body in zip(batch["page_id"], batch["body"]):
                 tokens = _Tokeniser()
                 tokens.feed(body or "")
-                rows += [(page_id, *_columns(r)) for r in tokens.finish() if not marked_only or _is_marked(r)]
-            frame = pd.DataFrame(rows, columns=["page_id", "eid", "end", "parent", "tag", "classes", "attrs", "scope", "movie", "text", "spaced"])
-            yield frame.astype({"parent": "Int32", "scope": "Int32", "movie": "Int32"})
+                yield from ((page_id, *_columns(r)) for r in tokens.finish() if not marked_only or _is_marked(r))
 
-    return read
+    return lambda batches: _in_frames(tokenised(batches), columns, dict.fromkeys(("parent", "scope", "movie"), "Int32"))
 
 
 def _columns(row: dict) -> tuple:
@@ -100,14 +108,14 @@ def _columns(row: dict) -> tuple:
         text = "".join(row["parts"] if row["tag"] == "script" else pieces)
         spaced = " ".join(filter(None, pieces))
     classes = row["attrs"].get("class", "").split()
-    return (row["eid"], row["end"], row["parent"], row["tag"], classes, row["attrs"], row["scope"], row["movie"], text, spaced)
+    return (row["eid"], row["end"], row["parent"], row["tag"], classes, row["attrs"], row["scope"], row["movie"], row["above"], text, spaced)
 
 
 def elements(pages: DataFrame, page_id: str = "url", body: str = "body", marked_only: bool = False) -> DataFrame:
-    """One row per element: (page_id, eid, end, parent, tag, classes, attrs, scope, movie, text,
-    spaced).
+    """One row per element: (page_id, eid, end, parent, tag, classes, attrs, scope, movie, above,
+    text, spaced).
 
-    ``eid`` to ``end`` spans the element and its descendants; ``scope`` is the nearest enclosing
+    ``eid`` to ``end`` spans the element and its descendants; ``above`` lists the elements around it; ``scope`` is the nearest enclosing
     ``itemscope``, ``movie`` the nearest enclosing item of that type. ``marked_only`` keeps the
     elements that carry structured data.
     """
@@ -131,54 +139,63 @@ def class_like(text: str) -> Column:
 def inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """Inner elements with each outer element of the same page that contains them.
 
-    ``outer`` columns are prefixed ``o_``; the join is on the page, the span is a residual test.
+    ``outer`` columns are prefixed ``o_``. Every element names those around it (``above``), so this is an equi-join.
     """
     around = outer.select(*[F.col(c).alias(c if c == "page_id" else f"o_{c}") for c in outer.columns])
-    joined = inner.join(around, "page_id")
-    return joined.filter((F.col("eid") > F.col("o_eid")) & (F.col("eid") <= F.col("o_end")))
+    named = inner.withColumn("o_eid", F.explode("above")).drop("above")
+    return named.join(around, ["page_id", "o_eid"])
 
 
-_PUSH = re.compile(r'self\.__next_f\.push\(\[1,"(.*?)"\]\)', re.DOTALL)
-_ENTRY = re.compile(r'\{"id":(\d+),"title":"([^"]+)","slug":"([^"]+)","permalink":"([^"]+)"')
-_CONTENT = re.compile(r'"content":"((?:[^"\\]|\\.)*)"')
+#: A call that pushes a text; the text is a JSON string.
+_PUSH = re.compile(r'self\.__next_f\.push\(\[\s*1\s*,\s*("(?:[^"\\]|\\.)*")\s*\]\)', re.DOTALL)
 PUSH_ENTRIES = "page_id string, seq int, id string, title string, slug string, permalink string, content string, details string, shows string"
-# How far from its entry a field may start, and how long it may be.
-REACH = {"content": 3000, "details": 3000, "shows": 5000}
-LENGTH = {"details": 5000, "shows": 20000}
-
-
-def _balanced(text: str, start: int, pair: str, limit: int) -> str:
-    depth = 0
-    for at in range(start, min(len(text), start + limit)):
-        depth += (text[at] == pair[0]) - (text[at] == pair[1])
-        if depth == 0:
-            return text[start : at + 1]
-    return ""
-
-
-def _field(text: str, start: int, name: str, pair: str) -> str | None:
-    at = text.find(f'"{name}":{pair[0]}', start)
-    if at < 0 or at - start > REACH[name]:
-        return None
-    return _balanced(text, at + len(name) + 3, pair, LENGTH[name]) or None
+_FILM = ("title", "slug", "permalink")
+
+
+def _objects(text: str) -> Iterator:
+    """The JSON objects of a text that is a mix of JSON and other things, outermost first."""
+    decode, at = json.JSONDecoder().raw_decode, text.find("{")
+    while at >= 0:
+        try:
+            value, at = decode(text, at)
+            yield value
+        except (ValueError, RecursionError):  # not an object, cut off, or too deep: what it holds is looked at by itself
+            at += 1
+        at = text.find("{", at)
+
+
+def _films(value) -> Iterator[dict]:
+    """Objects with the fields of a film, in order, at any depth."""
+    todo = [value]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, dict):
+            if "id" in node and all(isinstance(node.get(f), str) and node[f] for f in _FILM):
+                yield node
+            todo += reversed([v for v in node.values() if isinstance(v, (dict, list))])
+        elif isinstance(node, list):
+            todo += reversed(node)
 
 
 def _push_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for page_id, body in zip(batch["page_id"], batch["body"]):
-            chunks = _PUSH.findall(body or "")
-            text = max(chunks, key=len).replace('\\"', '"').replace("\\\\", "\\") if chunks else ""
-            for seq, entry in enumerate(_ENTRY.finditer(text)):
-                start = entry.start()
-                found = _CONTENT.search(text, start, start + REACH["content"])
-                following = text.find('{"id":', start + 1)
-                late = found is None or 0 <= following < found.start()
-                rows.append((page_id, seq, *entry.groups(), None if late else found[1], _field(text, start, "details", "{}"), _field(text, start, "shows", "[]")))
-        yield pd.DataFrame(rows, columns=["page_id", "seq", "id", "title", "slug", "permalink", "content", "details", "shows"]).astype({"seq": "int32"})
+    def entries() -> Iterator[tuple]:
+        for batch in batches:
+            for page_id, body in zip(batch["page_id"], batch["body"]):
+                pushed = max(_PUSH.findall(body or ""), key=len, default='""')
+                try:
+                    text = json.loads(pushed, strict=False)
+                except ValueError:
+                    continue
+                films = (film for value in _objects(text) for film in _films(value))
+                for seq, film in enumerate(films):
+                    content = film.get("content")
+                    details, shows = (json.dumps(film[f]) if isinstance(film.get(f), kind) else None for f, kind in (("details", dict), ("shows", list)))
+                    yield (page_id, seq, str(film["id"]), *(film[f] for f in _FILM), content if isinstance(content, str) else None, details, shows)
+
+    return _in_frames(entries(), [c.split()[0] for c in PUSH_ENTRIES.split(", ")], {"seq": "int32"})
 
 
 def push_entries(pages: DataFrame, page_id: str = "url", body: str = "body") -> DataFrame:
-    """Film entries inside the largest pushed script string of each page, fields as raw JSON."""
+    """Film entries inside the largest pushed script text of each page: texts as such, details and shows as JSON."""
     source = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(body).alias("body"))
     return source.mapInPandas(_push_rows, PUSH_ENTRIES)

@@ -295,9 +295,11 @@ def page_fallback(primary: DataFrame, secondary: DataFrame, key: str = "source_s
 def discover_links(nodes: DataFrame, base_url: str, path_pattern: str) -> DataFrame:
     """(page_id, link, rank): links of a page to detail pages of the same site, in order of
     appearance, marked-up links first; a closing slash makes no difference."""
-    marked = nodes.filter(mk.attr("itemprop") == "url").select("page_id", "eid", F.lit(0).alias("kind"), F.coalesce(mk.attr("content"), mk.attr("href")).alias("raw"))
-    anchors = nodes.filter((F.col("tag") == "a") & mk.attr("href").isNotNull()).select("page_id", "eid", F.lit(1).alias("kind"), mk.attr("href").alias("raw"))
-    found = marked.unionByName(anchors).withColumn("full", vl.absolute_url(tx.strip(F.col("raw")), F.lit(base_url + "/")))
+    # One pass over the elements: each is a marked-up link, an anchor, both or neither.
+    link = lambda kind, wanted, raw: F.when(wanted, F.struct(F.lit(kind).alias("kind"), raw.alias("raw")))
+    marked = link(0, mk.attr("itemprop") == "url", F.coalesce(mk.attr("content"), mk.attr("href")))
+    anchor = link(1, (F.col("tag") == "a") & mk.attr("href").isNotNull(), mk.attr("href"))
+    found = nodes.select("page_id", "eid", F.explode(F.array_compact(F.array(marked, anchor))).alias("l")).select("page_id", "eid", "l.*").withColumn("full", vl.absolute_url(tx.strip(F.col("raw")), F.lit(base_url + "/")))
     host = F.regexp_extract("full", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
     bare = F.regexp_replace("full", r"[?#].*$", "")
     path = F.regexp_replace(bare, r"^[^:]+://[^/]*", "")
@@ -321,8 +323,7 @@ def extract_push_payload(pages: DataFrame, page_id: str = "url") -> tuple[DataFr
     """
     raw = mk.push_entries(pages, page_id).filter(~F.contains("permalink", F.lit("/eventi/")))
     details = F.from_json("details", DETAILS)
-    text = F.coalesce(F.get_json_object(F.concat(F.lit('{"c":"'), F.col("content"), F.lit('"}')), "$.c"), F.col("content"))
-    read = raw.withColumns({"details": F.when(F.col("details") != "{}", details), "content": text, "shows": F.from_json("shows", SHOWS)})
+    read = raw.withColumns({"details": F.when(F.col("details") != "{}", details), "shows": F.from_json("shows", SHOWS)})
     key = ["page_id", "permalink"]
     shows = read.select(*key, "seq", F.posexplode("shows").alias("i", "show")).select(*key, "seq", "i", "show.*")
     shows = shows.groupBy(*key, "date", "orario").agg(F.min_by("opzioni", F.struct("seq", "i")).alias("opzioni"))
@@ -369,15 +370,16 @@ def detail_text(pages: DataFrame, nodes: DataFrame, page_id: str = "url") -> Dat
     of its article, else the meta description."""
     pushed = mk.push_entries(pages, page_id)
     own = F.regexp_extract(F.regexp_replace("page_id", "/+$", ""), r"([^/]+)$", 1)
-    text = F.coalesce(F.get_json_object(F.concat(F.lit('{"c":"'), F.col("content"), F.lit('"}')), "$.c"), F.col("content"))
-    synopsis = pushed.filter(F.col("slug") == own).groupBy("page_id").agg(F.min_by(text, "seq").alias("pushed"))
-    blocks = nodes.filter((F.col("tag") == "article") | mk.has_class("film-content") | mk.has_class("description")).select("page_id", "eid", "end")
-    inner = mk.inside(nodes.filter("tag = 'p'").select("page_id", "eid", "end", "text"), blocks)
+    synopsis = pushed.filter(F.col("slug") == own).groupBy("page_id").agg(F.min_by("content", "seq").alias("pushed"))
+    block = (F.col("tag") == "article") | mk.has_class("film-content") | mk.has_class("description")
+    mark = mk.class_like("synopsis") | mk.has_class("synopsis") | mk.has_class("film-description")
+    nodes = materialise(nodes.filter(block | mark | F.col("tag").isin("p", "meta")))
+    blocks = nodes.filter(block).select("page_id", "eid")
+    inner = mk.inside(nodes.filter("tag = 'p'").select("page_id", "eid", "above", "text"), blocks)
     paragraphs = inner.groupBy("page_id").agg(F.min_by("text", "eid").alias("paragraph"))
     metas = nodes.filter((F.col("tag") == "meta") & (mk.attr("name") == "description")).groupBy("page_id").agg(F.min_by(tx.strip(mk.attr("content")), "eid").alias("meta"))
-    marked = nodes.filter(mk.class_like("synopsis") | mk.has_class("synopsis") | mk.has_class("film-description"))
-    marked = marked.groupBy("page_id").agg(F.min_by("text", "eid").alias("marked"))
-    rows = pages.select(F.col(page_id).cast("string").alias("page_id"))
+    marked = nodes.filter(mark).groupBy("page_id").agg(F.min_by("text", "eid").alias("marked"))
+    rows = pages.select(F.col(page_id).cast("string").alias("page_id")).distinct()
     for part in (synopsis, marked, paragraphs, metas):
         rows = rows.join(part, "page_id", "left")
     best = F.coalesce(*[filled(F.col(c)) for c in ("pushed", "marked", "paragraph", "meta")])
@@ -389,12 +391,14 @@ def detail_text(pages: DataFrame, nodes: DataFrame, page_id: str = "url") -> Dat
 
 def _within(cards: DataFrame, parts: DataFrame, value: Column, name: str) -> DataFrame:
     """First value of some inner element per card."""
-    found = mk.inside(parts.withColumn("value", value), cards.select("page_id", "eid", "end"))
+    found = mk.inside(parts.select("page_id", "eid", "above", value.alias("value")), cards.select("page_id", "eid"))
     return found.groupBy("page_id", F.col("o_eid").alias("eid")).agg(F.min_by("value", "eid").alias(name))
 
 
 def page_cards(nodes: DataFrame) -> DataFrame:
     """Cards of a listing page, first per slug: (page_id, slug, poster, title, director, link)."""
+    # Pages are tokenised once: everything below reads the elements that cards are made of.
+    nodes = materialise(nodes.filter(F.col("tag").isin("ul", "li", "a", "img", "h2", "p")))
     boxes = nodes.filter((F.col("tag") == "ul") & mk.has_class("movie-container")).select("page_id", F.col("eid").alias("parent"))
     cards = nodes.filter((F.col("tag") == "li") & mk.has_class("movie-item")).join(boxes, ["page_id", "parent"], "left_semi")
     links = nodes.filter((F.col("tag") == "a") & F.contains(mk.attr("href"), F.lit("/films/")))
@@ -411,16 +415,20 @@ def page_cards(nodes: DataFrame) -> DataFrame:
 def rendered_listing_cards(nodes: DataFrame, base_url: str, page_url: str, day: str) -> DataFrame:
     """Cards of a rendered listing: (page_id, eid, title, source_url, poster, date, times) for the
     current day, with or without times."""
+    clock = mk.class_like("time") | mk.has_class("session-time") | mk.has_class("showtime")
+    title = F.col("tag").isin("h2", "h3") | mk.has_class("film-title") | mk.class_like("title")
+    card = mk.has_class("film-card") | mk.class_like("film")
+    nodes = materialise(nodes.filter(clock | title | card | mk.has_class("showing-listing__list") | F.col("tag").isin("li", "a", "img")))
     lists = nodes.filter(mk.has_class("showing-listing__list")).select("page_id", F.col("eid").alias("parent"))
     items = nodes.filter("tag = 'li'").join(lists, ["page_id", "parent"], "left_semi")
-    cards = items.unionByName(nodes.filter(mk.has_class("film-card") | mk.class_like("film"))).dropDuplicates(["page_id", "eid"])
-    titles = nodes.filter(F.col("tag").isin("h2", "h3") | mk.has_class("film-title") | mk.class_like("title"))
+    cards = items.unionByName(nodes.filter(card)).dropDuplicates(["page_id", "eid"])
+    titles = nodes.filter(title)
     links = nodes.filter((F.col("tag") == "a") & F.contains(mk.attr("href"), F.lit("/film/")))
     read = cards.select("page_id", "eid").join(_within(cards, titles, F.col("text"), "title"), ["page_id", "eid"]).filter(~blank(F.col("title")))
     read = read.join(_within(cards, links, mk.attr("href"), "href"), ["page_id", "eid"], "left")
     read = read.join(_within(cards, nodes.filter("tag = 'img'"), mk.attr("src"), "src"), ["page_id", "eid"], "left")
-    clocks = nodes.filter(mk.class_like("time") | mk.has_class("session-time") | mk.has_class("showtime")).filter(F.col("text").rlike(r"^\d{1,2}:\d{2}"))
-    shown = mk.inside(clocks.select("page_id", "eid", "end", "text"), cards.select("page_id", "eid", "end"))
+    clocks = nodes.filter(clock & F.col("text").rlike(r"^\d{1,2}:\d{2}"))
+    shown = mk.inside(clocks.select("page_id", "eid", "above", "text"), cards.select("page_id", "eid"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("eid", "text"))), lambda t: t["text"])
     times = shown.groupBy("page_id", F.col("o_eid").alias("eid")).agg(ordered.alias("times"))
     site = lambda c: F.when(c.startswith("http"), c).otherwise(vl.absolute_url(c, F.lit(base_url)))

@@ -63,7 +63,7 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
 def write_snapshot(films: DataFrame, showings: DataFrame, cinemas: DataFrame, date_from: str, date_to: str, root: str, version: int) -> None:
     """Publish exported tables and their window as one version."""
     window = films.sparkSession.createDataFrame([(date_from, date_to)], "date_from string, date_to string")
-    publish({"cinemas": cinemas, "films": films, "showings": showings, "window": window}, root, version)
+    publish({"cinemas": cinemas, "films": films, "showings": showings, "window": window}, root, version, {"showings": "date"})
 
 
 # ---- versioned publishing -------------------------------------------------------------
@@ -105,7 +105,13 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
 def read_table(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
     """One table of a version, the latest by default."""
     version = latest_version(spark, root) if version is None else version
-    return spark.read.parquet(f"{root}/{name}/version={version}")
+    # Partition values are kept as the text they were written from.
+    before = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    try:
+        return spark.read.parquet(f"{root}/{name}/version={version}")
+    finally:
+        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", before)
 
 
 def read_previous(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
