@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from playbill.catalog import sql
 from playbill.catalog.bindings import Data
 from playbill.catalog.registry import Registry
-from playbill.functions import text as tx
+from playbill.functions import text as tx, values as vl
 from playbill.operators import lifecycle as lc
 from playbill.plans import nightly as ny
 from playbill.schema import SHOWING_RECORD, conform, ensure_columns
@@ -86,14 +86,19 @@ def _(d: Data) -> DataFrame:
     return _flat(*pl.flatten_programming_api(payloads, "https://h.org")).select("title", "date", "times", "screen", "language", "session_attributes")
 
 
+def _block() -> Column:
+    """Ten suppliers to a body: bodies stay small however many there are."""
+    return F.floor(F.col("s_suppkey") / 10)
+
+
 def _venues(d: Data) -> DataFrame:
     venue = F.struct(F.col("s_suppkey").alias("cinemaId"), F.col("s_name").alias("cinemaName"), F.lit("/x").alias("whatsOnUrl"))
-    grouped = d.table("supplier").groupBy("s_nationkey").agg(F.collect_list(venue).alias("cinemas"))
+    grouped = d.table("supplier").groupBy(_block().alias("block")).agg(F.collect_list(venue).alias("cinemas"))
     body = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("A").alias("letter"), "cinemas")).alias("deep")).alias("result")))
-    return grouped.select(F.lit("api").alias("source_slug"), F.col("s_nationkey").cast("string").alias("url"), body.alias("body"))
+    return grouped.select(F.lit("api").alias("source_slug"), F.col("block").cast("string").alias("url"), body.alias("body"))
 
 
-@query("find_nodes", "SELECT CAST(s_nationkey AS VARCHAR) AS url, s_suppkey AS id FROM supplier")
+@query("find_nodes", "SELECT CAST(s_suppkey // 10 AS VARCHAR) AS url, s_suppkey AS id FROM supplier")
 def _(d: Data) -> DataFrame:
     return pl.find_nodes_with_key(_venues(d), "cinemaId").select("url", F.get_json_object("node", "$.cinemaId").cast("bigint").alias("id"))
 
@@ -204,29 +209,114 @@ def _(d: Data) -> DataFrame:
 
 
 def _cards(d: Data, box: str, item: str, link: str) -> DataFrame:
-    rows = d.table("supplier").select("s_nationkey", F.struct("s_suppkey", "s_name").alias("s"))
-    grouped = rows.groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s")).alias("items"))
+    rows = d.table("supplier").select(_block().alias("block"), F.struct("s_suppkey", "s_name").alias("s"))
+    grouped = rows.groupBy("block").agg(F.array_sort(F.collect_list("s")).alias("items"))
     one = lambda i: F.concat(
         F.lit(f'<li class="{item}"><a href="{link}'), i["s_suppkey"].cast("string"), F.lit('/"><img src="https://h.org/_next/image?url=https%3A%2F%2Fi%2F'), i["s_suppkey"].cast("string"),
         F.lit('.jpg&w=1"></a><h2>'), i["s_name"], F.lit("</h2><p>by A &amp; B</p><span class='showtime'>20:30</span><span class='showtime'>soon</span></li>"),
     )
     body = F.concat(F.lit(f'<ul class="{box}">'), F.array_join(F.transform("items", one), ""), F.lit("</ul>"))
-    return grouped.select(F.col("s_nationkey").cast("string").alias("url"), body.alias("body"))
+    return grouped.select(F.col("block").cast("string").alias("url"), F.col("block").alias("landed_seq"), F.lit("t").alias("source_slug"), F.lit("1998-03-02").cast("date").alias("run_date"), body.alias("body"))
 
 
-@query("page_cards", "SELECT CAST(s_nationkey AS VARCHAR) AS page_id, CAST(s_suppkey AS VARCHAR) AS slug, 'https://i/' || s_suppkey || '.jpg' AS poster, s_name AS title, 'by A & B' AS director FROM supplier")
+@query("page_cards", "SELECT CAST(s_suppkey // 10 AS VARCHAR) AS page_id, CAST(s_suppkey AS VARCHAR) AS slug, 'https://i/' || s_suppkey || '.jpg' AS poster, s_name AS title, 'by A & B' AS director FROM supplier")
 def _(d: Data) -> DataFrame:
     nodes = mk.elements(_cards(d, "movie-container", "movie-item", "/films/"))
     return pg.page_cards(nodes).select("page_id", "slug", "poster", "title", "director")
 
 
-@query("rendered_cards", "SELECT CAST(s_nationkey AS VARCHAR) AS page_id, s_name AS title, 'https://h.org/film/' || s_suppkey || '/' AS source_url, '20:30' AS times, '1998-03-02' AS date FROM supplier")
+@query("rendered_cards", "SELECT CAST(s_suppkey // 10 AS VARCHAR) AS page_id, s_name AS title, 'https://h.org/film/' || s_suppkey || '/' AS source_url, '20:30' AS times, '1998-03-02' AS date FROM supplier")
 def _(d: Data) -> DataFrame:
     nodes = mk.elements(_cards(d, "showing-listing__list", "x", "/film/"))
     cards = pg.rendered_listing_cards(nodes, "https://h.org", "https://h.org/c", "1998-03-02")
     return cards.select("page_id", "title", "source_url", F.array_join("times", ",").alias("times"), "date")
 
 
+# ---- source adapters over many pages ----------------------------------------------------
+
+
+def _supplier_pages(d: Data, body: Column, slug: str = "s", url: Column | None = None) -> DataFrame:
+    """A landed page for each supplier."""
+    address = F.concat(F.lit("https://h.org/films/"), F.col("s_suppkey").cast("string")) if url is None else url
+    return d.table("supplier").select(
+        F.lit(slug).alias("source_slug"), address.alias("url"), F.col("s_suppkey").alias("landed_seq"), F.lit("1998-03-02").cast("date").alias("run_date"), body.alias("body")
+    )
+
+
+def _block_pages(d: Data, item: Column, before: str, after: str) -> DataFrame:
+    """A landed page for each block of suppliers, from one item of text for each."""
+    grouped = d.table("supplier").groupBy(_block().alias("landed_seq")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return grouped.select(
+        F.lit("s").alias("source_slug"), F.concat(F.lit("https://h.org/p/"), "landed_seq").alias("url"), "landed_seq", F.lit("1998-03-02").cast("date").alias("run_date"),
+        F.concat(F.lit(before), F.array_join("items", ","), F.lit(after)).alias("body"),
+    )
+
+
+def _screening(time: str) -> Column:
+    text = f'<div itemscope itemtype="https://schema.org/ScreeningEvent"><h2 itemprop="name">Film %sx</h2><time itemprop="startDate" datetime="1998-03-02T{time}">soon</time></div>'
+    return F.format_string(text, "s_suppkey")
+
+
+@query("two_phase_source", "SELECT 'Film ' || s_suppkey || 'x' AS title, '1998-03-02' AS date, '20:30' AS times FROM supplier")
+def _(d: Data) -> DataFrame:
+    home = _block_pages(d, F.format_string('<a href="/films/%s">x</a><a href="/other/%s">y</a>', "s_suppkey", "s_suppkey"), "<body>", "</body>")
+    films, showings, _ = ad.listing_and_details(home, _supplier_pages(d, _screening("20:30")), "M", "m", "https://h.org", r"^/films/[^/]+/?$", ["1998-03-02"])
+    return _flat(films, showings).select("title", "date", "times")
+
+
+@query("fallback_source", """SELECT 'home' || s_suppkey % 2 AS source_slug, 'Film ' || s_suppkey || 'x' AS title, CASE WHEN s_suppkey % 2 = 0 THEN '20:30' ELSE '18:00' END AS times FROM supplier""")
+def _(d: Data) -> DataFrame:
+    slug = F.concat(F.lit("home"), (F.col("landed_seq") % 2).cast("string"))
+    home = _supplier_pages(d, F.when(F.col("s_suppkey") % 2 == 0, _screening("20:30")).otherwise("<p>closed</p>")).withColumn("source_slug", slug)
+    week = _supplier_pages(d, _screening("18:00")).withColumn("source_slug", slug)
+    return _flat(*ad.page_with_fallback(home, week, "Z", "z", None)[:2]).select("source_slug", "title", "times")
+
+
+def _push_text(times: str) -> Column:
+    shows = f'[{{\\"date\\":\\"19980302\\",\\"orario\\":\\"{times}\\"}}]'
+    text = '{\\"id\\":%s,\\"title\\":\\"Film %sx\\",\\"slug\\":\\"%s\\",\\"permalink\\":\\"https://h.org/films/%s\\",\\"shows\\":' + shows + "}"
+    return F.format_string(text, *["s_suppkey"] * 4)
+
+
+_PUSH_CALL = 'self.__next_f.push([1,"'
+
+
+@query("pushed_source", "SELECT 'Film ' || s_suppkey || 'x' AS title, '1998-03-02' AS date, CASE WHEN s_suppkey % 2 = 0 THEN '22:00' ELSE '20:30' END AS times FROM supplier")
+def _(d: Data) -> DataFrame:
+    home = _block_pages(d, _push_text("20:30"), f"<script>{_PUSH_CALL}[", ']"])</script>')
+    detail = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit(f"<script>{_PUSH_CALL}"), _push_text("22:00"), F.lit('"])</script>'))).otherwise("<p>x</p>")
+    films, showings, _ = ad.pushed_script(home, _supplier_pages(d, detail), "P", "s", ["1998-03-02"])
+    return _flat(films, showings).select("title", "date", "times")
+
+
+@query("long_pushed_films", "SELECT 'https://h.org/films/' || s_suppkey AS permalink, 650 AS shows, 12000 + length(CAST(s_suppkey AS VARCHAR)) AS chars FROM supplier")
+def _(d: Data) -> DataFrame:
+    """Films with hundreds of shows, and texts of thousands of characters between their fields."""
+    day = lambda k: F.struct(F.date_format(F.date_add(F.lit("1998-01-01").cast("date"), k), "yyyyMMdd").alias("date"), F.lit("20:30").alias("orario"))
+    film = F.struct(
+        F.col("s_suppkey").alias("id"), "s_name", F.lit("t").alias("title"), F.lit("s").alias("slug"), F.concat(F.lit("https://h.org/films/"), "s_suppkey").alias("permalink"),
+        F.concat(F.repeat(F.lit("long text "), F.lit(1200)), F.col("s_suppkey").cast("string")).alias("content"), F.transform(F.sequence(F.lit(0), F.lit(649)), day).alias("shows"),
+    )
+    body = F.concat(F.lit(f"<script>{_PUSH_CALL}"), F.replace(F.to_json(film), F.lit('"'), F.lit('\\"')), F.lit('"])</script>'))
+    entries, shows = pg.extract_push_payload(_supplier_pages(d, body))
+    counts = shows.groupBy("permalink").agg(F.count("*").cast("int").alias("shows"))
+    return entries.select("permalink", F.length("content").alias("chars")).join(counts, "permalink")
+
+
+@query("rendered_source", "SELECT s_name AS title, 'https://h.org/film/' || s_suppkey || '/' AS source_url, '20:30' AS times FROM supplier")
+def _(d: Data) -> DataFrame:
+    films, showings, _ = ad.rendered_page(_cards(d, "showing-listing__list", "x", "/film/"), "T", "t", "https://h.org", "https://h.org/c", "1998-03-02")
+    return _flat(films, showings).select("title", "source_url", "times")
+
+
+@query("nested_links", "SELECT s_suppkey, 'https://h.org/x' || s_suppkey AS url FROM supplier")
+def _(d: Data) -> DataFrame:
+    """Links that climb more levels than a page is deep."""
+    link = F.concat(F.repeat(F.lit("../"), (F.col("s_suppkey") % 15 + 9).cast("int")), F.lit("./y/../x"), F.col("s_suppkey").cast("string"))
+    deep = F.concat(F.lit("https://h.org/"), F.repeat(F.lit("d/"), (F.col("s_suppkey") % 15 + 9).cast("int")), F.lit("page"))
+    return d.table("supplier").select("s_suppkey", vl.absolute_url(link, deep).alias("url"))
+
+
 _HREFS = r"""h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)"""
 
 
@@ -354,8 +444,9 @@ def _(d: Data) -> DataFrame:
 def _(d: Data) -> DataFrame:
     root = f"{checkpoint_root(d.spark)}/playbill/{uuid.uuid4().hex}"
     films, showings = _state(d)
-    for version in (1, 2):
-        tb.write_snapshot(tb.export_films(films), tb.export_showings(films, showings), d.cinemas, "1998-01-01", "1998-01-08", root, version)
+    # The second version replaces the first, which had less.
+    for version, rows in ((1, showings.filter("date < '1992-02-01'")), (2, showings)):
+        tb.write_snapshot(tb.export_films(films), tb.export_showings(films, rows), d.cinemas, "1998-01-01", "1998-01-08", root, version)
     snapshot = tb.read_snapshot(d.spark, root)
     return snapshot.showings.select("film_id", "cinema_slug", "date", F.array_join("times", ",").alias("times"), "screen", "language")
 

@@ -78,9 +78,11 @@ def publish(tables: dict[str, DataFrame], root: str, version: int, partition_by:
     if (latest := latest_version(next(iter(tables.values())).sparkSession, root)) is not None and version <= latest:
         raise ValueError(f"version {version} is not after the published {latest}")
     for name, table in tables.items():
-        writer = table.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        if partition_by and name in partition_by:
-            writer = writer.partitionBy(partition_by[name])
+        by = (partition_by or {}).get(name)
+        # Rebalanced by size: few files for small partitions, several for large ones.
+        writer = (table.hint("rebalance", by) if by else table).write.mode("overwrite").option("partitionOverwriteMode", "static")
+        if by:
+            writer = writer.partitionBy(by)
         writer.parquet(f"{root}/{name}/version={version}")
     spark = next(iter(tables.values())).sparkSession
     spark.createDataFrame([(version,)], "version bigint").coalesce(1).write.mode("append").parquet(f"{root}/_commits")

@@ -9,7 +9,7 @@ from tools.check import TABLES, rows_of
 FOLDER = "/root/testdata/sf0.001"
 CHECKED = [
     "films_this_week", "daily_board", "showtimes_by_cinema", "film_details", "consolidate_showings", "normalize_titles", "durations", "absolute_urls",
-    "match_natural_key", "upsert_showings", "reconcile_showings", "slot_collisions", "fills", "lifecycle", "validate_films", "page_links", "push_shows",
+    "match_natural_key", "upsert_showings", "reconcile_showings", "slot_collisions", "fills", "lifecycle", "validate_films", "page_links", "push_shows", "pushed_source", "rendered_source", "two_phase_source", "long_pushed_films", "nested_links",
     "last_known_good", "export_films",
 ]
 
