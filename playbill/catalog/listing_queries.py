@@ -287,3 +287,9 @@ def _(d: Data) -> DataFrame:
  SELECT f.title, g.a, f.id AS b, g.a || ':' || f.id AS pair FROM films f JOIN g ON f.title = g.title AND f.id > g.a""")
 def _(d: Data) -> DataFrame:
     return gr.linked_pairs(d.films, "title")
+
+
+@query("showing_by_id", f"{sql.STORE} SELECT id, film_id, cinema_slug, screen FROM showings WHERE id = (SELECT max(id) FROM showings)")
+def _(d: Data) -> DataFrame:
+    last = d.showings.agg(F.max("id")).first()[0]
+    return d.listing.showing(last).select("id", "film_id", "cinema_slug", "screen")

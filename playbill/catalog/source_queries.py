@@ -451,6 +451,24 @@ def _(d: Data) -> DataFrame:
     return snapshot.showings.select("film_id", "cinema_slug", "date", F.array_join("times", ",").alias("times"), "screen", "language")
 
 
+@query("previous_state", f"{sql.STORE} SELECT id AS arrival_seq, title || ' &amp; co' AS title, CAST(NULL AS VARCHAR) AS wikidata_id, 1 AS version FROM films")
+def _(d: Data) -> DataFrame:
+    """A state that was written before one of its columns existed."""
+    root = f"{checkpoint_root(d.spark)}/playbill/{uuid.uuid4().hex}"
+    films, _ = _state(d)
+    first = tb.read_previous(d.spark, root, "films", lc.STATE_FILMS).withColumn("version", F.lit(0))
+    tb.publish({"films": films.drop("wikidata_id")}, root, 1)
+    later = tb.read_previous(d.spark, root, "films", lc.STATE_FILMS).withColumn("version", F.lit(1))
+    return first.unionByName(later).select("arrival_seq", "title", "wikidata_id", "version")
+
+
+@query("exported_cinemas", "SELECT lower(n_name) AS slug, n_name AS name, r_name AS city FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(d: Data) -> DataFrame:
+    """Locations are configuration: a bounded dictionary."""
+    rows = d.table("nation").join(d.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name").collect()
+    return tb.export_cinemas(d.spark, {r["n_name"].lower(): {"name": r["n_name"], "city": r["r_name"]} for r in rows}).select("slug", "name", "city")
+
+
 @query("nested_state", f"""{sql.STORE}, g AS (SELECT film_id, cinema_slug, date, language, screen FROM showings GROUP BY ALL)
  SELECT f.title_normalized || ' ' || f.id AS title_normalized, (SELECT count(*) FROM g WHERE g.film_id = f.id) AS showings, CASE WHEN year IS NULL THEN 1 ELSE 2 END AS events FROM films f""")
 def _(d: Data) -> DataFrame:

@@ -299,6 +299,16 @@ def _(d: Data) -> DataFrame:
     return dd.report(dd.build_plan(d.films, d.showings))["summary"]
 
 
+@query("dedup_moves", f"{_PLAN} SELECT id, survivor_id FROM seats WHERE rn = 1 AND film_id <> survivor_id")
+def _(d: Data) -> DataFrame:
+    return dd.report(dd.build_plan(d.films, d.showings))["moves"].select("id", "survivor_id")
+
+
+@query("dedup_discards", f"{_PLAN} SELECT id FROM seats WHERE rn > 1")
+def _(d: Data) -> DataFrame:
+    return dd.report(dd.build_plan(d.films, d.showings))["discards"].select("id")
+
+
 @query("dedup_apply", f"""{_PLAN}, mine AS (SELECT survivor_id AS id, arg_min(director, id) FILTER (id <> survivor_id AND director IS NOT NULL) AS director,
  arg_min(year, id) FILTER (id <> survivor_id AND year IS NOT NULL) AS year FROM merged GROUP BY survivor_id),
  after AS (SELECT coalesce(CASE WHEN rn = 1 THEN q.survivor_id END, s.film_id) AS film_id FROM showings s LEFT JOIN seats q ON q.id = s.id AND q.film_id = s.film_id AND q.cinema_slug = s.cinema_slug
