@@ -1,5 +1,7 @@
 """Building blocks of the reference SQL: the same tables and text rules, written for DuckDB."""
 
+from playbill.functions import text as tx
+
 FILMS = """films AS (SELECT p_partkey AS id, p_name || ' ' || p_type AS title, lower(p_name || ' ' || p_type) AS title_normalized,
  CASE WHEN p_size > 30 THEN p_type END AS original_title, CASE WHEN p_size <= 40 THEN 1990 + p_size // 20 END AS year, p_size AS runtime_minutes,
  p_type AS genres, CASE WHEN p_size > 3 THEN p_brand END AS director, CASE WHEN p_retailprice > 920 THEN 'http://img/' || p_brand END AS poster_url,
@@ -21,8 +23,8 @@ STORE_RECURSIVE = f"WITH RECURSIVE {FILMS}, {CINEMAS}, {SHOWINGS}"
 # A showing counts if it is active and its film is.
 ACTIVE = "active AS (SELECT s.* FROM showings s WHERE s.removed_at IS NULL AND EXISTS (SELECT 1 FROM films f WHERE f.id = s.film_id AND f.removed_at IS NULL))"
 
-_FORMATS = "3D|IMAX|HFR|4DX|ScreenX|EPIC|Dolby Atmos|Dolby Cinema|VIP|Gold|OV|VOST|VO|VF|Versione Originale|Sottotitolato|Sub ITA|Live|Event|F&S|Family|Kids|Matinée|Sera|Notte"
-_LEADING = r"STAR WARS:\s*|MARVEL(?:''S)?\s+|DC\s+|PIXAR\s+|Disney\s+|THE\s+|IL\s+|LA\s+"
+_FORMATS = "|".join(tx.FORMAT_SUFFIXES)
+_LEADING = "|".join(tx.LEADING_WORDS).replace("'", "''")
 _EDGE = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 

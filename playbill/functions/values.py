@@ -141,8 +141,8 @@ def without_dots(url: Column) -> Column:
 
     Segments go onto a stack from left to right; a ``..`` takes the last one off again, and does nothing at the root.
     """
-    parts = F.regexp_extract(url, r"^([^:]+://[^/?#]*)(/[^?#]*)?(.*)$", 1), F.regexp_extract(url, r"^([^:]+://[^/?#]*)(/[^?#]*)?(.*)$", 2), F.regexp_extract(url, r"(?s)^[^?#]*(.*)$", 1)
-    segments = F.split(F.substring(parts[1], 2, 2**31 - 1), "/", -1)
+    origin, path, rest = (F.regexp_extract(url, r"(?s)^([^:]+://[^/?#]*)([^?#]*)(.*)$", k) for k in (1, 2, 3))
+    segments = F.split(F.substring(path, 2, 2**31 - 1), "/", -1)
     empty = F.array().cast("array<string>")
 
     def step(stack: Column, segment: Column) -> Column:
@@ -152,8 +152,8 @@ def without_dots(url: Column) -> Column:
     done = F.aggregate(segments, empty, step)
     # A path that ends in a dot segment names a folder.
     folder = F.when(F.element_at(segments, -1).isin(".", "..") & (F.size(done) > 0), F.lit("/")).otherwise(F.lit(""))
-    dotted = parts[1].rlike(r"/\.\.?(?:/|$)")
-    return F.when(dotted, F.concat(parts[0], F.lit("/"), F.array_join(done, "/"), folder, parts[2])).otherwise(url)
+    dotted = url.rlike(r"^[^?#]*/\.\.?(?:[/?#]|$)")
+    return F.when(dotted, F.concat(origin, F.lit("/"), F.array_join(done, "/"), folder, rest)).otherwise(url)
 
 
 def absolute_url(url: Column, base: Column) -> Column:

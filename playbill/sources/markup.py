@@ -81,7 +81,7 @@ def _is_marked(row: dict) -> bool:
     return "itemprop" in attrs or "itemtype" in attrs or (row["tag"] == "script" and "json" in attrs.get("type", "").lower())
 
 
-def _in_frames(rows: Iterator[tuple], columns: list[str], kinds: dict[str, str]) -> Iterator[pd.DataFrame]:
+def in_frames(rows: Iterator[tuple], columns: list[str], kinds: dict[str, str]) -> Iterator[pd.DataFrame]:
     """Rows as frames of bounded size."""
     while held := list(islice(rows, ROWS)):
         yield pd.DataFrame(held, columns=columns).astype(kinds)
@@ -98,7 +98,7 @@ def _element_rows(marked_only: bool):
                 tokens.feed(body or "")
                 yield from ((page_id, *_columns(r)) for r in tokens.finish() if not marked_only or _is_marked(r))
 
-    return lambda batches: _in_frames(tokenised(batches), columns, dict.fromkeys(("parent", "scope", "movie"), "Int32"))
+    return lambda batches: in_frames(tokenised(batches), columns, dict.fromkeys(("parent", "scope", "movie"), "Int32"))
 
 
 def _columns(row: dict) -> tuple:
@@ -192,7 +192,7 @@ def _push_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     details, shows = (json.dumps(film[f]) if isinstance(film.get(f), kind) else None for f, kind in (("details", dict), ("shows", list)))
                     yield (page_id, seq, str(film["id"]), *(film[f] for f in _FILM), content if isinstance(content, str) else None, details, shows)
 
-    return _in_frames(entries(), [c.split()[0] for c in PUSH_ENTRIES.split(", ")], {"seq": "int32"})
+    return in_frames(entries(), [c.split()[0] for c in PUSH_ENTRIES.split(", ")], {"seq": "int32"})
 
 
 def push_entries(pages: DataFrame, page_id: str = "url", body: str = "body") -> DataFrame:

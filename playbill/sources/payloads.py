@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.functions import text as tx, values as vl
 from playbill.schema import SEQ, blank, filled
+from playbill.sources.markup import in_frames
 
 FILM_FIELDS = (
     "source_slug", "seq", "title", "title_normalized", "poster", "description", "genres", "source_poster", "duration", "director", "year",
@@ -101,7 +102,7 @@ def flatten_session_api(payloads: DataFrame, base_url: str, cinema_url: str) ->
         lambda a: F.struct(_text(a, "name", "value").alias("name"), _text(a, "attributeType").alias("kind")),
     )
     read = sessions.select(
-        "source_slug", F.col("seq").alias("film_seq"), position((F.col("seq"), 0), (F.col("g"), 16), (F.col("k"), 16)).alias("seq"), "date",
+        "source_slug", F.col("seq").alias("film_seq"), position((F.col("seq"), 0), (F.col("g"), 24), (F.col("k"), 24)).alias("seq"), "date",
         F.coalesce(vl.start_time(start), plain).alias("time"), _text(session, "screenName").alias("screen"), F.col("url").alias("source_url"),
         F.filter(attributes, lambda a: a["name"].isNotNull()).alias("named"),
     ).filter("time is not null")
@@ -154,7 +155,7 @@ def flatten_programming_api(payloads: DataFrame, base_url: str) -> tuple[DataFra
     )
     starts = F.filter(F.transform(wanted, lambda p: _text(p, "actual_start_at")), lambda t: t.isNotNull())
     showings = variants.select(
-        "source_slug", F.col("seq").alias("film_seq"), position((F.col("seq"), 0), (F.col("g"), 10), (F.col("f"), 10), (F.col("k"), 12)).alias("seq"),
+        "source_slug", F.col("seq").alias("film_seq"), position((F.col("seq"), 0), (F.col("g"), 20), (F.col("f"), 20), (F.col("k"), 20)).alias("seq"),
         F.col("target_date").alias("date"), F.array_sort(starts).alias("times"), screen.alias("screen"), F.col("url").alias("source_url"),
         F.try_variant_get(variant, "$.language.name", "string").alias("language"),
         F.when(~blank(F.col("format")) & ~F.col("format").eqNullSafe(screen), F.array("format")).otherwise(F.array().cast("array<string>")).alias("session_attributes"),
@@ -176,29 +177,28 @@ def find_nodes_with_key(payloads: DataFrame, key: str) -> DataFrame:
     """(source_slug, url, node_seq, node): objects that hold a key, at any depth, as JSON text.
 
     The walk stops at a match. Payload shapes differ in depth, hence one small function per body
-    rather than a fixed number of explodes.
+    rather than a fixed number of explodes. Bodies that are no JSON, or nested too deeply to read, hold no node.
     """
 
-    def walk(node) -> Iterator[dict]:
-        if isinstance(node, dict):
-            if key in node:
+    def walk(tree) -> Iterator[dict]:
+        todo = [tree]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, dict) and key in node:
                 yield node
-                return
-            node = list(node.values())
-        if isinstance(node, list):
-            for child in node:
-                yield from walk(child)
+            elif isinstance(node, (dict, list)):
+                todo += reversed(list(node.values()) if isinstance(node, dict) else node)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
-            found = []
             for slug, url, body in zip(batch["source_slug"], batch["url"], batch["body"]):
                 try:
-                    tree = json.loads(body)
-                except (TypeError, ValueError):
+                    yield from [(slug, url, n, json.dumps(node)) for n, node in enumerate(walk(json.loads(body)))]
+                except (TypeError, ValueError, RecursionError):
                     continue
-                found += [(slug, url, n, json.dumps(node)) for n, node in enumerate(walk(tree))]
-            yield pd.DataFrame(found, columns=["source_slug", "url", "node_seq", "node"])
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return in_frames(found(batches), ["source_slug", "url", "node_seq", "node"], {})
 
     return payloads.select("source_slug", "url", "body").mapInPandas(rows, "source_slug string, url string, node_seq bigint, node string")
 

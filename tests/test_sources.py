@@ -200,3 +200,40 @@ def test_knowledge_base(spark):
     todo = spark.createDataFrame([("dune",), ("nothing",)], "lookup_key string")
     got = rows(pl.build_dimension(todo, hits, dump), "lookup_key", "found", "poster", "director", "duration", "year", "original_title", "description")
     assert got == [("dune", True, pl.IMAGE_FOLDER + "Dune.jpg", "Villeneuve", "155 min", 2021, "Dune", "film"), ("nothing", False, None, None, None, None, None, None)]
+
+
+def test_two_rendered_pages(spark):
+    page = lambda title, at: f"""<ul class="showing-listing__list"><li><h3>{title}</h3><span class="showtime">{at}</span></li></ul>"""
+    films, showings, _ = ad.rendered_page(landed(spark, ("u", page("Dune", "18:30")), ("v", page("Alien", "21:00"))), "T", "t", "https://h.it", "https://h.it/c", "2026-09-25")
+    named = showings.join(films.select(F.col("seq").alias("film_seq"), "title"), "film_seq")
+    assert rows(named, "title", "times") == [("Alien", ["21:00"]), ("Dune", ["18:30"])]
+
+
+def test_two_listing_pages(spark):
+    detail = lambda t: f'<div itemscope itemtype="https://schema.org/ScreeningEvent"><h2 itemprop="name">{t}</h2><time itemprop="startDate" datetime="2026-09-25T20:30">x</time></div>'
+    home = landed(spark, ("https://m.it/a", '<a href="/films/uno">1</a>'), ("https://m.it/b", '<a href="/films/due">2</a>'))
+    details = landed(spark, ("https://m.it/films/uno", detail("Uno")), ("https://m.it/films/due", detail("Due")))
+    films, showings, _ = ad.listing_and_details(home, details, "M", "m", "https://m.it", r"^/films/[^/]+/?$", ["2026-09-25"])
+    assert rows(films, "title") == [("Due",), ("Uno",)] and showings.count() == 2
+
+
+def test_a_film_on_two_pushed_pages_and_slug_matched_details(spark):
+    show = [{"date": "20260925", "orario": "21:00"}]
+    home = landed(spark, ("https://p.it/", push(entry(1, "Uno", "uno", show))), ("https://p.it/b", push(entry(1, "Uno", "uno", [{"date": "20260925", "orario": "23:00"}]), entry(2, "Due", "due", show))))
+    moved = entry(2, "Due", "due", [{"date": "20260925", "orario": "22:00"}], path="archive")
+    details = landed(spark, ("https://p.it/films/due/", push(moved)))
+    films, showings, _ = ad.pushed_script(home, details, "P", "p", ["2026-09-25"])
+    named = showings.join(films.select(F.col("seq").alias("film_seq"), "title"), "film_seq")
+    assert rows(named, "title", "times") == [("Due", ["22:00"]), ("Uno", ["21:00", "23:00"])]
+
+
+def test_long_pushed_films_keep_all_their_shows(spark):
+    shows = [{"date": f"2026{m:02}{d:02}", "orario": f"{h}:00"} for m in range(1, 13) for d in range(1, 29) for h in (18, 21)]
+    film = entry(1, "Uno", "uno", shows, content="x" * 9000, details={"regia": "y" * 9000})
+    entries, found = pg.extract_push_payload(landed(spark, ("u", push(film))))
+    assert found.count() == len(shows) and entries.first().details.regia == "y" * 9000 and len(entries.first().content) == 9000
+
+
+def test_bodies_that_cannot_be_read_hold_no_node(spark):
+    bodies = landed(spark, ("a", "[" * 100_000), ("b", None), ("c", '{"x": [{"k": 1}, {"y": {"k": 2}}]}'))
+    assert rows(pl.find_nodes_with_key(bodies, "k"), "url", "node_seq") == [("c", 0), ("c", 1)]
