@@ -49,18 +49,21 @@ def pre_tokens(text: str) -> list[str]:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+    """Compressed byte by byte: first the lowest bytes of all values, last the highest, which are mostly zero."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpacked(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(block, words, rows): a block's distinct pre-tokens, and its documents with their frequencies.
+    """(block, words, doc, ...): a block's distinct pre-tokens, and its documents with their frequencies.
 
-    ``rows`` packs doc_id, n_bytes and the number of distinct pre-tokens of each document, then all their places
-    in ``words`` and their frequencies. Null ids are marked.
+    Packed are doc_id, n_bytes and the number of distinct pre-tokens of each document, then the steps between their
+    places in ``words``, which ascend, and their frequencies. Null ids are marked.
     """
     names = ["doc", "null", "bytes", "n", "at", "times"]
 
@@ -86,7 +89,8 @@ def blocks(docs: DataFrame) -> DataFrame:
                 words = pre_tokens(text)
                 index = np.array([places.setdefault(w, len(places)) for w in words], np.int64)
                 at, times = np.unique(index, return_counts=True)
-                for name, value in zip(names, (doc or 0, doc is None, len(text.encode()), len(at), at, times), strict=True):
+                steps = np.diff(at, prepend=0)
+                for name, value in zip(names, (doc or 0, doc is None, len(text.encode()), len(at), steps, times), strict=True):
                     held[name].append(value)
                 chars += len(text)
                 if chars >= BLOCK_CHARS:
@@ -146,9 +150,11 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
         columns = []
         for row in left.to_pylist():
             doc, null, n_bytes, n = (_unpacked(row[name], "i8") for name in ("doc", "null", "bytes", "n"))
-            at, times = (_unpacked(row[name], "i4") for name in ("at", "times"))
-            total = np.concatenate([[0], np.cumsum(pieces[at] * times)])
+            steps, times = (_unpacked(row[name], "i4") for name in ("at", "times"))
             ends = np.cumsum(n)
+            places = np.cumsum(steps, dtype=np.int64)
+            places -= np.repeat(np.append(0, places)[ends - n], n)  # steps start anew in each document
+            total = np.concatenate([[0], np.cumsum(pieces[places] * times)])
             columns.append((pa.array(doc, mask=null.astype(bool)), pa.array(n_bytes), pa.array(total[ends] - total[ends - n])))
         return pa.table([pa.chunked_array(c, pa.int64()) for c in zip(*columns, strict=True)] if columns else [pa.array([], pa.int64())] * 3, names=["doc_id", "n_bytes", "n_tokens"])
 
