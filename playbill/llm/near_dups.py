@@ -93,7 +93,7 @@ class Tree:
         at = len(self.nodes)
         self.nodes.append(())
         inside = _distance(sample, cut[0]) <= cut[1]
-        self.nodes[at] = (*cut, self._grow(sample[inside], (shards + 1) // 2), self._grow(sample[~inside], (shards + 1) // 2))
+        self.nodes[at] = (*cut, self._grow(sample[inside], shards - shards // 2), self._grow(sample[~inside], shards // 2))
         return at
 
     def route(self, points: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
