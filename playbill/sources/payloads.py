@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.functions import text as tx, values as vl
 from playbill.schema import SEQ, blank, filled
+from playbill.session import materialise
 from playbill.sources.markup import in_frames
 
 FILM_FIELDS = (
@@ -87,6 +88,8 @@ def flatten_session_api(payloads: DataFrame, base_url: str, cinema_url: str) ->
             "poster": _site_url(F.col("image"), base_url),
         }
     )
+    # Bodies are parsed once: films and showings both come from this table.
+    rows = materialise(rows)
     films_out = rows.withColumns({"source_poster": F.col("poster"), "year": F.lit(None).cast("int")}).select(*FILM_FIELDS)
 
     groups = rows.select("source_slug", "seq", "url", F.posexplode("groups").alias("g", "group"))
