@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.catalog import sql
 from playbill.catalog.bindings import Data
@@ -84,6 +84,37 @@ def _(d: Data) -> DataFrame:
     return records
 
 
+# One part, one case: what is stored as (place, key, year, external id), what arrives likewise, and in the SQL what must follow.
+_STORED = [[(0, "k", 2000, False)], [(0, "k", None, False)], [(1, "o", 2000, True)], [(0, "k", 2000, False), (1, "o", 1999, True)], [], [(0, "k", 1990, False), (1, "k", 1991, False)], []]
+_ARRIVING = [[(0, "k", 2000, True)], [(0, "k", 2001, False)], [(0, "k", 2002, True)], [(0, "k", 2000, True)], [(0, "k", 2003, True)], [(0, "k", None, False)], [(0, "k", None, False), (1, "k", 2004, False)]]
+
+
+def _case_rows(d: Data, cases: list[list[tuple]]) -> DataFrame:
+    part = F.col("p_partkey")
+
+    def row(place: int, key: str, year: int | None, external: bool) -> Column:
+        return F.struct(
+            (part * 2 + place).alias("at"), F.concat(F.lit(key), part.cast("string")).alias("title_normalized"), F.lit(year).cast("int").alias("year"),
+            F.when(F.lit(external), F.concat(F.lit("Q"), part.cast("string"))).alias("wikidata_id"),
+        )
+
+    chosen = F.lit(None)
+    for n, rows in enumerate(cases):
+        if rows:
+            chosen = F.when(part % 7 == n, F.array(*[row(*r) for r in rows])).otherwise(chosen)
+    return d.table("part").select(F.explode(chosen).alias("r")).select("r.*")
+
+
+@query("upsert_case_table", """WITH p AS (SELECT p_partkey AS p, p_partkey % 7 AS c, p_partkey * 2 AS s FROM part)
+ SELECT s AS seq, CASE WHEN c IN (0, 1, 3) THEN 'row ' || s WHEN c = 2 THEN 'row ' || (s + 1) ELSE 'new ' || s END AS target, CASE WHEN c = 2 THEN 'o' ELSE 'k' END || p AS title_normalized,
+ CASE WHEN c IN (0, 2, 3) THEN '2000' WHEN c = 1 THEN '2001' WHEN c = 4 THEN '2003' ELSE '?' END AS year FROM p UNION ALL SELECT s + 1, 'new ' || s, 'k' || p, '2004' FROM p WHERE c = 6""")
+def _(d: Data) -> DataFrame:
+    """Year adopted, external id adopted, row reused, ids in conflict, new, several open years, and a year that a later record brings."""
+    records, _ = up.resolve_identities(_case_rows(d, _STORED).withColumnRenamed("at", "id"), _case_rows(d, _ARRIVING).withColumnRenamed("at", "seq"))
+    target = F.coalesce(F.concat(F.lit("row "), "target_id"), F.concat(F.lit("new "), "target_seq"))
+    return records.select("seq", target.alias("target"), "title_normalized", F.coalesce(F.col("year").cast("string"), F.lit("?")).alias("year"))
+
+
 @query("upsert_cinemas", f"""WITH {sql.CINEMAS}, new AS (SELECT slug, upper(name) AS name, city, lat FROM cinemas WHERE lat < 3000 UNION ALL SELECT 'n' || n_nationkey, n_name, 'x', 1.0 FROM nation)
  SELECT slug, name, city, lat FROM new UNION ALL SELECT slug, name, city, lat FROM cinemas WHERE NOT lat < 3000""")
 def _(d: Data) -> DataFrame:
