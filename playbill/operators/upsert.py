@@ -37,27 +37,33 @@ class _Component:
     """Identity state of one component while its records stream past."""
 
     def __init__(self) -> None:
-        self.by_key: dict[str, list[dict]] = {}
-        self.by_external: dict[str, list[dict]] = {}
+        self.of_year: dict[tuple[str, int | None], dict[int, dict]] = {}
+        self.of_key: dict[str, tuple[int, dict]] = {}
+        self.by_external: dict[str, dict[int, dict]] = {}
         self.changed: list[dict] = []
 
     def add(self, row: dict) -> None:
-        self.by_key.setdefault(row["key"], []).append(row)
+        """Rows of a key by year, and how many there are next to the first: homonyms need not be searched."""
+        self.of_year.setdefault((row["key"], row["year"]), {})[id(row)] = row
+        count, first = self.of_key.get(row["key"], (0, row))
+        self.of_key[row["key"]] = (count + 1, first)
         if row["external"] is not None:
-            self.by_external.setdefault(row["external"], []).append(row)
+            self.by_external.setdefault(row["external"], {})[id(row)] = row
 
     def natural(self, key: str, year: int | None) -> dict | None:
-        rows = self.by_key.get(key, [])
-        exact = next((r for r in rows if r["year"] == year), None)
-        if exact is not None:
-            return exact
-        open_rows = [r for r in rows if year is None or r["year"] is None]
-        return open_rows[0] if len(open_rows) == 1 else None
+        exact = self.of_year.get((key, year))
+        if exact:
+            return next(iter(exact.values()))
+        if year is None:
+            count, first = self.of_key.get(key, (0, None))
+            return first if count == 1 else None
+        open_rows = self.of_year.get((key, None), {})
+        return next(iter(open_rows.values())) if len(open_rows) == 1 else None
 
     def resolve(self, seq: int, key: str, year: int | None, external: str | None) -> dict:
         mine = self.natural(key, year)
         owners = self.by_external.get(external) if external is not None else None
-        owner = owners[0] if owners else None
+        owner = next(iter(owners.values())) if owners else None
         if mine is None and owner is not None:
             return owner
         if mine is None:
@@ -72,11 +78,13 @@ class _Component:
         before = (row["external"], row["year"])
         if external is not None and row["external"] != external:
             if row["external"] is not None:
-                self.by_external[row["external"]].remove(row)
-            self.by_external.setdefault(external, []).append(row)
+                del self.by_external[row["external"]][id(row)]
+            self.by_external.setdefault(external, {})[id(row)] = row
             row["external"] = external
         if row["year"] is None and year is not None:
+            del self.of_year[row["key"], None][id(row)]
             row["year"] = year
+            self.of_year.setdefault((row["key"], year), {})[id(row)] = row
         if before != (row["external"], row["year"]) and not row["touched"]:
             row["touched"] = True
             self.changed.append(row)
