@@ -131,7 +131,7 @@ SPEECH = {"xx": "ka lo mi ren tu sha ve", "yy": "ung ein sch icht ber ver", "zz"
 
 
 def test_language(table, spark):
-    from conftest import prose
+    from samples import prose
 
     rng = random.Random(8)
     rows = [(k, prose(rng, rng.randint(3, 60), SPEECH[lang]), lang) for k, lang in enumerate(rng.choices(list(SPEECH), k=240))]
