@@ -23,6 +23,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Jobs with large rows ask for smaller batches; every job starts from the usual size.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
 }
 
 
