@@ -14,7 +14,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.llm.encoders import word_bpe
 from playbill.llm.tables import map_rows, texts
@@ -23,6 +23,8 @@ from playbill.session import materialise
 #: A hash in so many ends a chunk, but none ends one of fewer bytes.
 MEAN, LEAST = 1024, 256
 WINDOW = 32
+#: Documents that one copy of a shared chunk serves, about.
+BORROWERS = 1000
 NO_ID = -(2**63)
 GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=4).digest() for b in range(256)), "<u4")
 
@@ -94,11 +96,21 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     return map_rows(_keyed(docs), cut, "key long, version long, pos int, h1 long, h2 long, start long, size long")
 
 
-def lent(packed: DataFrame, cuts: DataFrame, tokenizer: str) -> DataFrame:
-    """(h1, h2, head, ids, tail) of every chunk that occurs more than once, encoded by the least of its documents."""
+def shared_chunks(cuts: DataFrame) -> DataFrame:
+    """(h1, h2, n, at) of every chunk that occurs more than once: how often, and the least place it has."""
     place = F.struct("key", "version", "start", "size")
-    shared = cuts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("at")).filter("n > 1")
-    owned = shared.groupBy("at.key", "at.version").agg(F.collect_list(F.struct("h1", "h2", F.col("at.start").alias("start"), F.col("at.size").alias("size"))).alias("owned"))
+    return cuts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("at")).filter("n > 1")
+
+
+def _copies(n: str) -> Column:
+    """Of how many copies of a loan each serves at most about :data:`BORROWERS`."""
+    return F.ceil(F.col(n) / BORROWERS).cast("int")
+
+
+def lent(packed: DataFrame, shared: DataFrame, tokenizer: str) -> DataFrame:
+    """(h1, h2, copy, head, ids, tail) of every shared chunk, encoded by the least of its documents."""
+    chunk = F.struct("h1", "h2", "n", F.col("at.start").alias("start"), F.col("at.size").alias("size"))
+    owned = shared.groupBy("at.key", "at.version").agg(F.collect_list(chunk).alias("owned"))
     owners = packed.join(owned, ["key", "version"]).select("data", "owned")
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -109,13 +121,15 @@ def lent(packed: DataFrame, cuts: DataFrame, tokenizer: str) -> DataFrame:
             for c in owned:
                 chunk = text[c["start"] : c["start"] + c["size"]].decode()
                 head, middle, tail = split(chunk) or (chunk, None, "")
-                found[c["h1"], c["h2"]] = (head, None if middle is None else pack(of(middle)), tail)
-        columns = [[k[0] for k in found], [k[1] for k in found], *([v[i] for v in found.values()] for i in range(3))]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["h1", "h2", "head", "ids", "tail"])
+                found[c["h1"], c["h2"]] = (c["n"], head, None if middle is None else pack(of(middle)), tail)
+        columns = [[k[0] for k in found], [k[1] for k in found], *([v[i] for v in found.values()] for i in range(4))]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["h1", "h2", "n", "head", "ids", "tail"])
 
+    made = map_rows(owners, encode, "h1 long, h2 long, n long, head string, ids binary, tail string")
+    copied = made.select("h1", "h2", F.explode(F.sequence(F.lit(0), _copies("n") - 1)).alias("copy"), "head", "ids", "tail")
     # Rows that repeat a document would lend its chunks twice.
-    return map_rows(owners, encode, "h1 long, h2 long, head string, ids binary, tail string").dropDuplicates(["h1", "h2"])
+    return copied.dropDuplicates(["h1", "h2", "copy"])
 
 
 def encoded(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
@@ -127,7 +141,11 @@ def encoded(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame
     # The filter is one that a join adds on one side; with it both joins read the same exchange of texts.
     packed = _packed(docs).filter("key IS NOT NULL AND version IS NOT NULL")
     cuts = materialise(chunk_rows(docs))
-    loans = cuts.select("h1", "h2", "key", "version", "pos").join(lent(packed, cuts, tokenizer), ["h1", "h2"])
+    # Both are tables, so that a frequent chunk's partition can be split where it meets its count.
+    shared = materialise(shared_chunks(cuts))
+    asks = cuts.select("h1", "h2", "key", "version", "pos").join(shared.select("h1", "h2", "n"), ["h1", "h2"])
+    asks = asks.withColumn("copy", F.pmod(F.xxhash64("key", "version"), _copies("n")).cast("int")).drop("n")
+    loans = asks.join(lent(packed, shared, tokenizer), ["h1", "h2", "copy"])
     # A row that repeats asks twice for the same.
     borrowed = loans.groupBy("key", "version").agg(F.collect_set(F.struct("pos", "head", "ids", "tail")).alias("loans"))
     joined = packed.join(borrowed, ["key", "version"], "left").select("key", "data", "loans")
