@@ -135,7 +135,10 @@ def count_pieces(words: DataFrame, path: str) -> DataFrame:
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row; a null text is empty, and an empty one has no tokens."""
     spark = docs.sparkSession
+    codec = spark.conf.get("spark.sql.parquet.compression.codec")
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
     made = materialise(blocks(docs))
+    spark.conf.set("spark.sql.parquet.compression.codec", codec)
     words = made.select("block", F.posexplode("words").alias("place", "word"))
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(1 << 18))
