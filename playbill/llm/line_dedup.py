@@ -1,9 +1,9 @@
 """Line dedup: lines that several documents share stay in one of them.
 
 The rows of lines hold no text: a 128-bit hash of the line's key, the document and the position. They are dealt out
-by ranges of (hash, document), so that a line found in a third of all documents fills many partitions, and sorted by
-hash, document (latest first) and position. A pass over that order meets each document of a line once; what it finds
-(how many documents, and which comes first) is merged per hash from one row for each partition. The operator's
+by ranges of (hash, document), so that a line found in a third of all documents fills many partitions. Plain aggregates
+then take the place of a sorted pass: one row for each hash and document, and per hash how many documents there are and
+which comes first. Spark drops the positions and the order within partitions, which these do not need. The operator's
 result is a bitmap per document, 64 lines to a word, which names only words in which a line goes; texts are cut by
 joining those bitmaps to the documents once. DataFrame functions only.
 """
