@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from playbill.llm import chunked_bpe, language, line_dedup, near_dups, packing, sketches, token_counts, token_files, top_k, wrappers
+from playbill.llm import chunked_bpe, language, line_dedup, near_dups, packing, periodic, projection_trees, repair, sketches, token_counts, token_files, top_k, wrappers
 from playbill.llm.tables import read, texts
 from playbill.session import checkpoint_root
 
@@ -101,3 +101,29 @@ FROM marked GROUP BY doc_id"""
 def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dups.near_duplicates(read(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    given = read(spark, folder, "conversations")
+    report, repaired = repair.repair(repair.damaged(given))
+    ids = given.select("conv_id").distinct()
+    report, digests = (df.withColumnRenamed("conv_id", name) for df, name in ((report, "found"), (repair.digests(repaired), "hashed")))
+    named = ids.join(report, F.col("conv_id").eqNullSafe(F.col("found")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("hashed")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return named.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query
+def op12_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return projection_trees.nearest(read(spark, folder, "embeddings"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.runs(periodic.with_loops(read(spark, folder, "documents"))).withColumn("longest", periodic.longest())
+    spans = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+        F.expr("(1000 * longest.length) div -longest.period").alias("exponent_milli"), F.sha2(spans, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
