@@ -77,4 +77,13 @@ def materialise(df: DataFrame, *metrics: Column) -> DataFrame | tuple[DataFrame,
     source = df.observe(watch, *metrics) if metrics else df
     source.write.mode("errorifexists").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
+    table.folder = path
     return (table, watch.get) if metrics else table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialise` wrote and that nothing will read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.folder)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
