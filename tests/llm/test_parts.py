@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from playbill.llm import language, near_dups, packing, similar_docs, top_k, wrappers
+from playbill.llm import language, near_dups, packing, top_k, wrappers
 from playbill.llm.encoders import byte_bpe, word_bpe
 
 
@@ -85,17 +85,6 @@ def test_forests_keep_components():
     assert sorted(zip(*(x.tolist() for x in near_dups.forest(a, b)), strict=True)) == [(2, 1), (6, 5), (7, 5), (9, 5), (21, 20)]
 
 
-def test_long_fingerprints_tell_similar_texts(rows):
-    rng = random.Random(2)
-    words = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
-    text, limit = " ".join(words), similar_docs.most_bits(0.8)
-    bits = lambda x, y: int(np.bitwise_count(similar_docs.long_simhash(x).view(np.uint64) ^ similar_docs.long_simhash(y).view(np.uint64)).sum())
-    near, far = " ".join([*words[:390], "new"]), " ".join(words[:200] + words[::-1][:200])
-    assert bits(text, text) == 0 and bits(text, near) <= limit < bits(text, far)
-    prints = np.stack([similar_docs.long_simhash(t) for t in (text, near)])
-    assert any(np.bitwise_count(np.uint64(s[0] ^ s[1])) <= 1 for s in similar_docs.slices(prints))
-
-
 def brute_top(rows, k=20):
     good = {}
     for i, v in rows:
