@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.catalog import sql
@@ -10,6 +12,7 @@ from playbill.catalog.registry import Registry
 from playbill.operators import components as cc, grouping as gr, joins as jn, lifecycle as lc, ranking as rk, similarity as sm, upsert as up
 from playbill.plans import dedup as dd, load as ld
 from playbill.schema import CINEMAS, FILMS, SHOWINGS, conform
+from playbill.session import checkpoint_root
 
 registry = Registry()
 query = registry.query
@@ -223,6 +226,23 @@ def _(d: Data) -> DataFrame:
     return second.report.select("cinemas", "films", "showings", "orphans", "archived_films", "archived_showings", "skipped_cinemas")
 
 
+@query("load_by_months", f"""{sql.STORE}, {_NAMED}, f AS (SELECT id, key, coalesce(year, 1999) AS year, p_size FROM named), owner AS (SELECT f.id, min(f.id) OVER (PARTITION BY key, year) AS film, f.p_size FROM f),
+ slots AS (SELECT o.film, s.cinema_slug, s.date, bool_or(s.language <> 'N' AND o.p_size < 40 AND {_WINDOW}) AS again FROM showings s JOIN owner o ON o.id = s.film_id GROUP BY ALL),
+ w AS (SELECT cinema_slug, count(*) FILTER ({_WINDOW}) AS existing, count(*) FILTER (again) AS imported FROM slots GROUP BY cinema_slug)
+ SELECT strftime(date, '%Y-%m') AS month, count(*) AS showings, count(*) FILTER ({_WINDOW} AND NOT again AND imported >= 0.3 * existing) AS archived, bool_or({_WINDOW}) AS written
+ FROM slots JOIN w USING (cinema_slug) GROUP BY 1""")
+def _(d: Data) -> DataFrame:
+    """Two loads into a versioned store: the second writes the months of its window again and names those of the first."""
+    named, root = _named(d), f"{checkpoint_root(d.spark)}/playbill/{uuid.uuid4().hex}"
+    first, _ = ld.load_version(d.spark, root, _snapshot(d, named, d.showings), _now(), ld.MONTH)
+    inside = d.showings.filter("language <> 'N' AND date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'")
+    second, _ = ld.load_version(d.spark, root, _snapshot(d, named.filter("p_size < 40"), inside), _now(), min_ratio=0.3)
+    old, new = (v.tables["showings"].folders for v in (first, second))
+    written = F.col("month").isin([k for k in new if new[k] != old.get(k)])
+    showings = ld.read_store(d.spark, root, second).showings.withColumn("month", ld.day_key(F.col("date"), ld.MONTH))
+    return showings.groupBy("month").agg(F.count("*").alias("showings"), F.count_if(F.col("removed_at").isNotNull()).alias("archived")).withColumn("written", written)
+
+
 @query("identity_conflicts", f"""WITH {_NAMED}, o AS (SELECT wid, max(id) AS b FROM named WHERE wid IS NOT NULL GROUP BY wid)
  SELECT n.id AS a, o.b, n.id || ':' || o.b AS pair FROM named n JOIN o ON o.wid = n.wid AND o.b <> n.id""")
 def _(d: Data) -> DataFrame:

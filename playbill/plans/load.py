@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from playbill.functions import text as tx, values as vl
 from playbill.operators import grouping as gr, joins as jn
@@ -12,6 +13,7 @@ from playbill.operators.ranking import assign_ids
 from playbill.operators.upsert import upsert_films
 from playbill.schema import CINEMAS, FILMS, SHOWINGS, blank, conform, ensure_columns, filled
 from playbill.session import materialise
+from playbill.sources import manifest as mf
 
 DEFAULT_REGION = "Umbria"
 DEFAULT_MIN_RATIO = 0.5
@@ -30,11 +32,15 @@ class Snapshot:
 
 @dataclass(frozen=True)
 class Store:
-    """The three tables of one version."""
+    """The three tables of one version.
+
+    ``showings`` may be those of some days only, if a load touches no others; ``last_showing`` is then the highest id of all.
+    """
 
     cinemas: DataFrame
     films: DataFrame
     showings: DataFrame
+    last_showing: int | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {"cinemas": self.cinemas, "films": self.films, "showings": self.showings}
@@ -123,7 +129,7 @@ def load_snapshot(
     resolved, orphans = jn.resolve_key(good, lookup.select("json_key", F.col("id").alias("film_id")), "json_key", "film_id")
     merged = materialise(gr.merge_showings_per_key(resolved, *jn.SLOT, seq="seq"))
     upserted = jn.upsert_showings(conform(store.showings, SHOWINGS), merged, now.cast("timestamp"))
-    showings = materialise(_number_showings(materialise(upserted), merged))
+    showings = materialise(_number_showings(materialise(upserted), merged, store.last_showing))
 
     rejected = no_slug.unionByName(no_title).unionByName(bad)
     skipped = showings.select("cinema_slug").limit(0)
@@ -147,9 +153,62 @@ def load_snapshot(
     return LoadResult(Store(cinemas, films, showings), summary, skipped, conflicts, doubles, shared, orphans, rejected)
 
 
-def _number_showings(showings: DataFrame, merged: DataFrame) -> DataFrame:
+def _number_showings(showings: DataFrame, merged: DataFrame, last: int | None) -> DataFrame:
     """Give ids to inserted showings, in arrival order after the highest known one."""
-    last = showings.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id"))
+    highest = F.lit(last).cast("bigint") if last is not None else showings.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id")).scalar()
     born = showings.filter("id is null").drop("id").join(merged.select(*jn.SLOT, "seq"), jn.SLOT)
-    numbered = assign_ids(born, "seq", last.scalar())
+    numbered = assign_ids(born, "seq", highest)
     return showings.filter("id is not null").unionByName(numbered.select(*showings.columns))
+
+
+# ---- loads into a versioned store --------------------------------------------------------
+
+#: Partition keys of showings: days, or months where a store covers many years.
+DAY, MONTH = "yyyy-MM-dd", "yyyy-MM"
+_TEXT = {DAY: "%Y-%m-%d", MONTH: "%Y-%m"}
+
+
+def day_key(day: Column, grain: str = DAY) -> Column:
+    """The partition key of a date."""
+    return F.date_format(day, grain)
+
+
+def touched_keys(snapshot: Snapshot, grain: str = DAY) -> list[str]:
+    """Keys of the showings that a load may change: those of its window, and of the showings it lists outside it.
+
+    They are as many as there are days, whatever the size of the snapshot.
+    """
+    first, last = date.fromisoformat(snapshot.date_from), date.fromisoformat(snapshot.date_to)
+    inside = {(first + timedelta(n)).strftime(_TEXT[grain]) for n in range((last - first).days + 1)}
+    listed = snapshot.showings.select(day_key(F.col("date").cast("string").try_cast("date"), grain).alias("key")).filter("key is not null").distinct()
+    return sorted(inside | {r["key"] for r in listed.collect()})
+
+
+def read_store(spark: SparkSession, root: str, version: mf.Manifest | None, keys: list[str] | None = None) -> Store:
+    """The tables of a version, or with some keys of its showings only; empty ones before the first."""
+    if version is None:
+        return Store(*[spark.createDataFrame([], ddl) for ddl in (CINEMAS, FILMS, SHOWINGS)], last_showing=0)
+    cinemas, films = (mf.read(spark, root, version.tables[name]) for name in ("cinemas", "films"))
+    return Store(cinemas, films, mf.read(spark, root, version.tables["showings"], keys), version.marks.get("last_showing"))
+
+
+def load_version(spark: SparkSession, root: str, snapshot: Snapshot, now: Column, grain: str = DAY, **options) -> tuple[mf.Manifest, LoadResult]:
+    """Load a snapshot into the versioned store under ``root``: the new version and what the load did.
+
+    Showings are kept by day (``grain``). Only the days of the window and those that the snapshot lists are read, changed and
+    written; the new version names the folders of all others again. Films and cinemas, which a load may change anywhere,
+    are written whole. A store keeps the grain of its first load. Another load that commits first makes this one
+    fail with :class:`~playbill.sources.manifest.VersionTaken`, with nothing changed.
+    """
+    base = mf.latest(spark, root)
+    grain = base.marks["grain"] if base else grain
+    keys = touched_keys(snapshot, grain)
+    result = load_snapshot(read_store(spark, root, base, keys), snapshot, now, **options)
+    store = result.store
+    showings = mf.write(store.showings, root, "showings", day_key(F.col("date"), grain))
+    last = store.showings.agg(F.max("id")).first()[0] or 0
+    version = (base or mf.FIRST).next(last_showing=max(last, base.marks["last_showing"] if base else 0), grain=grain)
+    version = version.with_parts("showings", showings, keys)
+    for name, table in (("cinemas", store.cinemas), ("films", store.films)):
+        version = version.with_parts(name, mf.write(table, root, name), [""])
+    return mf.commit(spark, root, version), result

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from playbill.functions import text as tx, values as vl
@@ -16,6 +15,7 @@ from playbill.schema import (
     SEQ, SHOWING_ITEM, SHOWING_RECORD, SHOWINGS_ENVELOPE, conform, ensure_columns, struct_type,
 )
 from playbill.session import materialise
+from playbill.sources import manifest as mf
 
 # ---- reading snapshots ----------------------------------------------------------------
 
@@ -70,50 +70,30 @@ def write_snapshot(films: DataFrame, showings: DataFrame, cinemas: DataFrame, da
 
 
 def publish(tables: dict[str, DataFrame], root: str, version: int, partition_by: dict[str, str] | None = None) -> None:
-    """Write every table of a version, then one commit row.
+    """Write every table of a version, then the manifest that makes it exist.
 
-    Readers only follow committed versions, so a failed write is never seen, and the previous
-    version stays readable. No rename is needed, which object stores do not do atomically.
+    Readers only follow committed versions, so a failed write is never seen, and the previous version stays readable. Of
+    two writers of one version the second is told so, and the first one's tables stay as they are. No rename is
+    needed, which object stores do not do atomically.
     """
-    if (latest := latest_version(next(iter(tables.values())).sparkSession, root)) is not None and version <= latest:
-        raise ValueError(f"version {version} is not after the published {latest}")
-    for name, table in tables.items():
-        by = (partition_by or {}).get(name)
-        # Rebalanced by size: few files for small partitions, several for large ones.
-        writer = (table.hint("rebalance", by) if by else table).write.mode("overwrite").option("partitionOverwriteMode", "static")
-        if by:
-            writer = writer.partitionBy(by)
-        writer.parquet(f"{root}/{name}/version={version}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version,)], "version bigint").coalesce(1).write.mode("append").parquet(f"{root}/_commits")
-
-
-def _read_if_present(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    try:
-        return reader.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    if (last := latest_version(spark, root)) is not None and version <= last:
+        raise ValueError(f"version {version} is not after the published {last}")
+    by = partition_by or {}
+    parts = {name: mf.write(table, root, name, F.col(by[name]) if name in by else None) for name, table in tables.items()}
+    mf.commit(spark, root, mf.Manifest(version, parts))
 
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
     """Highest committed version, null before the first."""
-    commits = _read_if_present(spark, f"{root}/_commits", "version bigint")
-    return None if commits is None else commits.agg(F.max("version")).first()[0]
+    last = mf.latest(spark, root)
+    return None if last is None else last.version
 
 
-def read_table(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
-    """One table of a version, the latest by default."""
-    version = latest_version(spark, root) if version is None else version
-    # Partition values are kept as the text they were written from.
-    before = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    try:
-        return spark.read.parquet(f"{root}/{name}/version={version}")
-    finally:
-        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", before)
+def read_table(spark: SparkSession, root: str, name: str, version: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """One table of a version, the latest by default, or only some of its partition keys."""
+    found = mf.latest(spark, root) if version is None else mf.load(spark, root, version)
+    return mf.read(spark, root, found.tables[name], keys)
 
 
 def read_previous(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
@@ -192,43 +172,34 @@ def make_errors(rows: DataFrame, cinema: Column, exception: Column, phase: str,
 
 
 def replace_errors_for_day(errors: DataFrame, day: str, path: str) -> None:
-    """Replace the errors logged for a day and record how the day went.
+    """Replace the errors logged for a day and record how the day went, in one commit.
 
-    A clean day only touches a log that exists: no log and no errors means nothing ran here yet.
+    A clean day only touches a log that exists: no log and no errors means nothing ran here yet. Other days are named
+    again, not read; a writer of another day that commits first is taken in.
     """
     spark = errors.sparkSession
-    clean = errors.isEmpty()
-    log = _read_if_present(spark, f"{path}/errors")
-    if clean and log is None:
-        return
     rows = conform(errors, ERROR_RECORD).withColumn("day", F.lit(day).cast("date"))
-    if clean:
-        # Dynamic overwrite leaves partitions without new rows alone: a day is emptied by marking
-        # it clean, and readers of the log skip the days that are.
-        _day_status(spark, day, "clean", path)
+    clean = errors.isEmpty()
+    if clean and mf.latest(spark, path) is None:
         return
-    _overwrite_partitions(rows, f"{path}/errors", "day")
-    _day_status(spark, day, "errors", path)
-
-
-def _day_status(spark: SparkSession, day: str, status: str, path: str) -> None:
-    row = spark.createDataFrame([(day, status)], "day string, status string").withColumn("day", F.to_date("day"))
-    _overwrite_partitions(row.coalesce(1), f"{path}/days", "day")
+    part = mf.Part(rows.schema.json(), {}) if clean else mf.write(rows, path, "errors", F.col("day"))
+    mf.amend(spark, path, lambda base: base.next(**{f"day {day}": "clean" if clean else "errors"}).with_parts("errors", part, [day]))
 
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:
-    """Logged errors of every day that is not marked clean."""
-    log, days = _read_if_present(spark, f"{path}/errors"), _read_if_present(spark, f"{path}/days")
-    if log is None or days is None:
+    """Logged errors of all days."""
+    log = mf.latest(spark, path)
+    if log is None:
         return spark.createDataFrame([], f"{ERROR_RECORD}, day date")
-    clean = days.filter("status = 'clean'").select(F.col("day").cast("date").alias("day"))
-    return log.withColumn("day", F.col("day").cast("date")).join(clean, "day", "left_anti")
+    return mf.read(spark, path, log.tables["errors"])
 
 
 def error_summary(spark: SparkSession, path: str) -> DataFrame:
     """One row: last clean day and last day with errors."""
-    days = spark.read.parquet(f"{path}/days")
-    return days.agg(
+    log = mf.latest(spark, path)
+    days = [(name.removeprefix("day "), status) for name, status in (log.marks if log else {}).items()]
+    known = spark.createDataFrame(days, "day string, status string").withColumn("day", F.to_date("day"))
+    return known.agg(
         F.max(F.when(F.col("status") == "clean", F.col("day"))).alias("last_clean_date"),
         F.max(F.when(F.col("status") == "errors", F.col("day"))).alias("last_error_date"),
     )
