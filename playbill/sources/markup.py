@@ -152,18 +152,83 @@ PUSH_ENTRIES = "page_id string, seq int, id string, title string, slug string, p
 _FILM = ("title", "slug", "permalink")
 
 
+_TOKEN = re.compile(r'\s*(?:([{}\[\],:])|("(?:[^"\\]|\\.)*")|(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null))', re.DOTALL)
+
+
+def _broken(text: str, at: int) -> tuple[list, int]:
+    """What is whole inside an object that is not, and the place where it breaks off.
+
+    One token after the other, with the containers that are open on a list: nothing is read twice, and depth is no matter. An
+    object that is whole after all, only too deep for the decoder, is returned as such.
+    """
+    open_: list[tuple] = []  # each container with its key in the one around it, which it joins when it is closed
+    key, wants, last = None, "value", None
+    while True:
+        token, before = _TOKEN.match(text, at), last
+        sign, quoted, plain = token.groups() if token else (None, None, None)
+        inner = open_[-1][0] if open_ else None
+        if sign in ("{", "[") and wants in ("value", "first"):
+            open_.append(({} if sign == "{" else [], key))
+            wants = "key" if sign == "{" else "first"
+        elif sign and (sign, wants) in ((":", "colon"), (",", "next")):
+            wants = "value" if sign == ":" or isinstance(inner, list) else "name"
+        elif quoted and wants in ("key", "name"):
+            key, wants = _text(quoted), "colon"
+        elif (sign == "}" and isinstance(inner, dict) and wants in ("key", "next")) or (sign == "]" and isinstance(inner, list) and wants in ("first", "next")):
+            value, key = open_.pop()
+            if not open_:
+                return [value], token.end()
+            _put(open_[-1][0], key, value)
+            wants = "next"
+        elif (quoted or plain) and wants in ("value", "first"):
+            _put(inner, key, _text(quoted) if quoted else json.loads(plain))
+            wants = "next"
+        else:  # no JSON from here on
+            whole = [v for c, _ in open_ for v in (c.values() if isinstance(c, dict) else c) if isinstance(v, (dict, list))]
+            # What follows an unclosed quote reads as its text, so a text just before is looked into.
+            return whole, at if before is None else before
+        at, last = token.end(), token.start(2) + 1 if quoted else None
+
+
+def _text(quoted: str) -> str:
+    try:
+        return json.loads(quoted, strict=False)
+    except ValueError:  # an escape that JSON does not know
+        return quoted[1:-1]
+
+
+def _put(container, key, value) -> None:
+    if isinstance(container, dict):
+        container[key] = value
+    else:
+        container.append(value)
+
+
 def _objects(text: str) -> Iterator:
-    """The JSON objects of a text that is a mix of JSON and other things, outermost first."""
-    decode, at = json.JSONDecoder().raw_decode, text.find("{")
+    """The JSON objects of a text that is a mix of JSON and other things, outermost first, in time linear in its length."""
+    decode, at = json.JSONDecoder(strict=False).raw_decode, text.find("{")
     while at >= 0:
         try:
             value, at = decode(text, at)
             yield value
-        except (ValueError, RecursionError):  # not an object, cut off, or too deep: what it holds is looked at by itself
-            at += 1
+        except (ValueError, RecursionError):  # cut off, no object, or too deep: what it holds is looked at by itself
+            whole, end = _broken(text, at)
+            yield from whole
+            at = max(end, at + 1)
         at = text.find("{", at)
 
 
+def _stream(body: str) -> str:
+    """The pushed texts of a page, put together in their order: one may go on where another stops."""
+    texts = []
+    for pushed in _PUSH.findall(body):
+        try:
+            texts.append(json.loads(pushed, strict=False))
+        except ValueError:  # a text that cannot be read is a gap in the stream
+            texts.append("\n")
+    return "".join(texts)
+
+
 def _films(value) -> Iterator[dict]:
     """Objects with the fields of a film, in order, at any depth."""
     todo = [value]
@@ -181,12 +246,7 @@ def _push_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def entries() -> Iterator[tuple]:
         for batch in batches:
             for page_id, body in zip(batch["page_id"], batch["body"]):
-                pushed = max(_PUSH.findall(body or ""), key=len, default='""')
-                try:
-                    text = json.loads(pushed, strict=False)
-                except ValueError:
-                    continue
-                films = (film for value in _objects(text) for film in _films(value))
+                films = (film for value in _objects(_stream(body or "")) for film in _films(value))
                 for seq, film in enumerate(films):
                     content = film.get("content")
                     details, shows = (json.dumps(film[f]) if isinstance(film.get(f), kind) else None for f, kind in (("details", dict), ("shows", list)))
@@ -196,6 +256,6 @@ def _push_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def push_entries(pages: DataFrame, page_id: str = "url", body: str = "body") -> DataFrame:
-    """Film entries inside the largest pushed script text of each page: texts as such, details and shows as JSON."""
+    """Film entries inside the pushed script texts of each page, read as one stream: texts as such, details and shows as JSON."""
     source = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(body).alias("body"))
     return source.mapInPandas(_push_rows, PUSH_ENTRIES)

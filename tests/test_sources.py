@@ -1,6 +1,7 @@
 """Flattening of payloads and pages of the shapes the sources publish."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -237,3 +238,51 @@ def test_long_pushed_films_keep_all_their_shows(spark):
 def test_bodies_that_cannot_be_read_hold_no_node(spark):
     bodies = landed(spark, ("a", "[" * 100_000), ("b", None), ("c", '{"x": [{"k": 1}, {"y": {"k": 2}}]}'))
     assert rows(pl.find_nodes_with_key(bodies, "k"), "url", "node_seq") == [("c", 0), ("c", 1)]
+
+
+def chunked(text, *cuts):
+    """A text in several pushed scripts, cut at these places."""
+    ends = [0, *cuts, len(text)]
+    return "".join(f"<script>self.__next_f.push([1,{json.dumps(text[a:b])}])</script>" for a, b in zip(ends, ends[1:]))
+
+
+def film_text(n):
+    return json.dumps({"id": n, "title": f"T{n}", "slug": f"s{n}", "permalink": f"https://p.it/{n}", "content": 'a { b } [ " c', "shows": [{"date": "20260925", "orario": "20:00"}]})
+
+
+def test_pushed_texts_are_one_stream(spark):
+    """Films in a chunk each, a list cut anywhere, also within a film, an escape or a name, and a gap."""
+    three = "".join(chunked(f"{n}:{film_text(n)}\n") for n in (1, 2, 3))
+    whole = "5:[" + ",".join(film_text(n) for n in range(1, 6)) + "]\n"
+    pages = [("three", three)] + [(f"cut {k}", chunked(whole, *cuts)) for k, cuts in enumerate([(40,), (len(whole) // 2,), (7, 60, 200, 201, 500), tuple(range(1, len(whole), 3))])]
+    pages.append(("gap", chunked(film_text(1)) + '<script>self.__next_f.push([1,"\\q"])</script>' + chunked("[" + film_text(2) + "," + film_text(3)[:50])))
+    entries, shows = pg.extract_push_payload(landed(spark, *pages), "url")
+    got = {}
+    for r in entries.collect():
+        got.setdefault(r.page_id, []).append(r.permalink[-1])
+    want = {"three": "123", "gap": "12"} | {f"cut {k}": "12345" for k in range(4)}
+    assert {k: "".join(sorted(v)) for k, v in got.items()} == want
+    assert shows.count() == sum(map(len, want.values()))
+
+
+def test_what_is_whole_in_broken_json():
+    found = lambda text: list(mk._objects(text))
+    assert found('x {"a": [1, {"b": 2}], "c": {"d": 3}, "e": {"f"') == [[1, {"b": 2}], {"d": 3}]
+    assert found('{"a": {"b": 1} oops {"c": 2}') == [{"b": 1}, {"c": 2}]
+    assert json.loads(film_text(1)) in found('{"a": "unclosed {' + film_text(1))
+    deep = "{\"a\":" * 3000 + "{}" + "}" * 3000
+    (value,) = found(deep)
+    for _ in range(3000):
+        value = value["a"]
+    assert value == {}
+
+
+def test_unclosed_braces_take_linear_time():
+    """Every brace of these opens an object that never ends."""
+    seconds = []
+    for size in (20_000, 160_000):
+        text = ('{"a":[' * size) + film_text(7)
+        begin = time.perf_counter()
+        assert [f["id"] for v in mk._objects(text) for f in mk._films(v)] == [7]
+        seconds.append(time.perf_counter() - begin)
+    assert seconds[1] < 40 * max(seconds[0], 0.02)
