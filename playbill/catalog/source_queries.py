@@ -165,7 +165,8 @@ def _(d: Data) -> DataFrame:
     return showings.groupBy("date").agg(F.count("*").alias("showings"))
 
 
-def _push_pages(d: Data) -> DataFrame:
+def _push_pages(d: Data, chunk: int | None = None) -> DataFrame:
+    """A page of pushed films for each order, in one script or cut into scripts of so many characters."""
     show = F.struct(F.date_format(F.col("date").cast("date"), "yyyyMMdd").alias("date"), F.col("time").alias("orario"), F.when(F.col("l_suppkey") == 7, "noprog").alias("opzioni"))
     details = F.struct(F.lit("(Rossi)").alias("regia"), F.lit("a, b").alias("genere"))
     title = F.when(F.col("screen") == "F", F.concat("title", F.lit(" dal vivo"))).otherwise(F.col("title"))
@@ -177,7 +178,19 @@ def _push_pages(d: Data) -> DataFrame:
     def body(items: Column) -> Column:
         return F.concat(F.lit('<script>self.__next_f.push([1,"'), F.replace(F.to_json(items), F.lit('"'), F.lit('\\"')), F.lit('"])</script>'))
 
-    return _bodies(_lines(d), entry, body)
+    def cut(items: Column) -> Column:
+        text = F.to_json(items)
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / chunk)), lambda k: F.to_json(F.array(F.substr(text, (k * chunk + 1).cast("int"), F.lit(chunk)))))
+        return F.array_join(F.transform(pieces, lambda p: F.concat(F.lit("<script>self.__next_f.push([1,"), F.substr(p, F.lit(2), F.length(p) - 2), F.lit("])</script>"))), "")
+
+    return _bodies(_lines(d), entry, cut if chunk else body)
+
+
+@query("pushed_chunks", f"""WITH {_LINES} SELECT 'https://h.org/o/' || o AS page_id, 'https://h.org/films/' || l_partkey || '-' || screen AS permalink, count(DISTINCT date || time) AS shows FROM lines GROUP BY ALL""")
+def _(d: Data) -> DataFrame:
+    """Films that the end of a script cuts in two, wherever it falls."""
+    entries, shows = pg.extract_push_payload(_push_pages(d, 97))
+    return entries.select("page_id", "permalink").join(shows, ["page_id", "permalink"]).groupBy("page_id", "permalink").agg(F.count("*").alias("shows"))
 
 
 @query("push_entries", f"""WITH {_LINES} SELECT DISTINCT 'https://h.org/o/' || o AS page_id, 'https://h.org/films/' || l_partkey || '-' || screen AS permalink, '(Rossi)' AS regia, 'Text' AS content FROM lines WHERE screen <> 'F'""")
