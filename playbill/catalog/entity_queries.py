@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from playbill.catalog import sql
@@ -9,7 +11,9 @@ from playbill.catalog.bindings import Data
 from playbill.catalog.registry import Registry
 from playbill.functions import text as tx
 from playbill.operators import components as cc, fuse as fz, quality as qa, similarity as sm
+from playbill.plans import key_index as ki
 from playbill.schema import FILM_RECORD, conform
+from playbill.session import checkpoint_root
 
 registry = Registry()
 query = registry.query
@@ -29,6 +33,17 @@ def _(d: Data) -> DataFrame:
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+@query("similar_over_nights", f"""WITH {_KEYS} SELECT 'near' AS reason, a.key AS a, b.key AS b FROM k a JOIN k b ON a.key <> b.key
+ AND abs(length(a.key) - length(b.key)) <= greatest(2, length(a.key) // 4) AND levenshtein(a.key, b.key) <= greatest(2, length(a.key) // 4)
+ UNION ALL SELECT 'inside', a.key, b.key FROM k a JOIN k b ON a.key <> b.key AND contains(b.key, a.key)""")
+def _(d: Data) -> DataFrame:
+    """Keys of every second page on one night and of all pages on the next, which probes the index with those it does not know."""
+    root = f"{checkpoint_root(d.spark)}/playbill/{uuid.uuid4().hex}"
+    keys = d.page_titles.select(tx.title_key(F.col("title")).alias("key"), "arrival_seq")
+    first = ki.add_keys(keys.filter("arrival_seq % 2 = 0"), root)
+    return first.unionByName(ki.add_keys(keys, root))
+
+
 @query("title_components", f"{_COMPONENTS} SELECT node, root FROM l")
 def _(d: Data) -> DataFrame:
     return cc.connected_components(sm.similarity_self_join(d.page_titles, "title", "arrival_seq"))

@@ -8,9 +8,13 @@ join condition, so a false candidate is never written out:
   least half the needle, far rarer than a fixed short n-gram) among the windows of that length of
   every key;
 * edit distance: the earlier key is cut into (budget + 1) segments, one of which must survive in
-  the other key close to its place (Li, Deng, Wang, Feng, "Pass-Join", VLDB 2011).
+  the other key close to its place (Li, Deng, Wang, Feng, "Pass-Join", VLDB 2011). Segments of short keys have one or
+  two letters and would select nothing, so keys of fewer than ``SHORT`` characters meet in their deletion neighbourhoods
+  instead: two keys within t edits have a string in common after up to t deletions in each (Bocek, Hunt, Stiller, "Fast
+  Similarity Search in Large Dictionaries", 2007).
 
-Both are complete: nothing is capped or dropped.
+All are complete: nothing is capped or dropped. What a key is looked up by depends on that key alone, so an index of
+it can be kept and only new keys need be probed (``playbill.plans.key_index``).
 """
 
 from __future__ import annotations
@@ -20,6 +24,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from playbill.functions import text as tx
 from playbill.session import materialise
 
+#: Keys below this length, and of no more edits than these, are found by their deletion neighbourhoods.
+SHORT, DELETIONS = 12, 2
+
 
 def _windows(key: Column, width: Column) -> Column:
     """Distinct substrings of a given width, hashed with the width."""
@@ -35,21 +42,34 @@ def _widths(key: Column) -> Column:
 
 def containment_pairs(keys: DataFrame, min_length: int = 1) -> DataFrame:
     """(needle, hay): distinct non-empty keys contained in another, longer key."""
-    key = F.col("key")
+    windows = window_rows(keys, min_length)
+    return contained(needle_rows(keys, windows, min_length), windows)
+
+
+def window_rows(keys: DataFrame, min_length: int = 1) -> DataFrame:
+    """(hay, gram): what a key can be found by as the longer one."""
     # Windows narrower than those of the shortest needle are never probed.
     lowest = 1 << max(min_length.bit_length() - 1, 0)
-    wide = F.filter(_widths(key), lambda w: w >= lowest)
-    windows = keys.select(key, F.explode(wide).alias("width")).select(key, F.explode(_windows(key, F.col("width"))).alias("gram"))
-    frequency = windows.groupBy("gram").agg(F.count("*").alias("df"))
-    own = F.element_at(_widths(key), -1)
-    probes = keys.filter(F.length(key) >= min_length).select(key, F.explode(_windows(key, own)).alias("gram"))
-    rarest = probes.join(frequency, "gram").groupBy("key").agg(F.min(F.struct("df", "gram"))["gram"].alias("gram"))
-    needles = rarest.select(key.alias("needle"), "gram")
-    hay = windows.select(key.alias("hay"), "gram")
+    wide = F.filter(_widths(F.col("key")), lambda w: w >= lowest)
+    windows = keys.select("key", F.explode(wide).alias("width"))
+    return windows.select(F.col("key").alias("hay"), F.explode(_windows(F.col("key"), F.col("width"))).alias("gram"))
+
+
+def needle_rows(keys: DataFrame, windows: DataFrame, min_length: int = 1) -> DataFrame:
+    """(needle, gram): what a key looks longer ones up by, its rarest window among ``windows``."""
+    key = F.col("key")
+    probes = keys.filter(F.length(key) >= min_length).select(key, F.explode(_windows(key, F.element_at(_widths(key), -1))).alias("gram"))
+    frequency = windows.join(probes.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = probes.join(frequency, "gram", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))["gram"].alias("gram"))
+    return rarest.select(key.alias("needle"), "gram")
+
+
+def contained(needles: DataFrame, windows: DataFrame) -> DataFrame:
+    """(needle, hay) of needles that are inside a longer key."""
     inside = (F.length("hay") > F.length("needle")) & F.contains(F.col("hay"), F.col("needle"))
     # One probe window per needle, distinct windows per key: a pair can only appear twice if two
     # widths collide in the hash.
-    return needles.join(hay, "gram").filter(inside).select("needle", "hay").distinct()
+    return needles.join(windows, "gram").filter(inside).select("needle", "hay").distinct()
 
 
 def _segments(length: Column, budget: Column) -> Column:
@@ -77,35 +97,64 @@ def _slot(key: Column, length: Column, segment: Column, start: Column) -> Column
     return F.xxhash64(length, segment["i"], F.substr(key, start, segment["size"]))
 
 
-def near_pairs(keys: DataFrame, budget=tx.typo_budget) -> DataFrame:
-    """(a, b): ordered pairs of distinct keys with distance(a, b) <= budget(length of a).
+def _is_short(length: Column, budget) -> Column:
+    return (length < SHORT) & (budget(length) <= DELETIONS)
 
-    ``budget`` maps the length of the *first* key of a pair to its tolerated edits. A length that another can reach
-    is found by asking the budget of each up to the longest key.
-    """
-    base = keys.select("key", F.length("key").alias("m"))
-    left = base.select(F.col("key").alias("a"), F.col("m").alias("n"), budget(F.col("m")).alias("t"))
-    left = left.select("a", "n", "t", F.explode(_segments(F.col("n"), F.col("t"))).alias("s"))
-    left = left.select("a", "t", _slot(F.col("a"), F.col("n"), F.col("s"), F.col("s.start")).alias("slot"))
 
-    # Each key visits the segments of every length that can reach it, all within its own row.
+def _deletions(key: Column) -> Column:
+    """Hashes of a key and of all that is left of it after up to ``DELETIONS`` deletions."""
+    fewer = lambda text: F.transform(F.filter(F.sequence(F.lit(0), F.length(text)), lambda p: p > 0), lambda p: F.concat(F.substr(text, F.lit(1), p - 1), F.substr(text, p + 1)))
+    levels = [F.array(key)]
+    for _ in range(DELETIONS):
+        levels.append(F.array_distinct(F.flatten(F.transform(levels[-1], fewer))))
+    return F.array_distinct(F.transform(F.flatten(F.array(*levels)), lambda text: F.xxhash64(F.lit(-1), text)))
+
+
+def first_rows(keys: DataFrame, budget=tx.typo_budget) -> DataFrame:
+    """(a, t, slot): where a key waits as the first of a pair, with the edits that it tolerates."""
+    base = keys.select(F.col("key").alias("a"), F.length("key").alias("n")).withColumn("t", budget(F.col("n")))
+    slots = F.transform(_segments(F.col("n"), F.col("t")), lambda s: _slot(F.col("a"), F.col("n"), s, s["start"]))
+    short = _is_short(F.col("n"), budget)
+    long_rows = base.filter(~short).select("a", "t", F.explode(slots).alias("slot"))
+    return long_rows.unionByName(base.filter(short).select("a", "t", F.explode(_deletions(F.col("a"))).alias("slot")))
+
+
+def second_rows(keys: DataFrame, lengths: DataFrame, budget=tx.typo_budget) -> DataFrame:
+    """(b, slot): where a key looks for the first of a pair; ``lengths`` (n) are those that a first key may have.
+
+    There are no more of them than characters in the longest key.
+    """
+    base = keys.select(F.col("key").alias("b"), F.length("key").alias("m"))
+    # Each key visits the segments of every length that can reach it.
     m = F.col("m")
-    longest = base.agg(F.coalesce(F.max("m"), F.lit(0))).scalar()
-    visits = base.select(F.col("key").alias("b"), m, longest.alias("longest")).select("b", m, F.explode(F.sequence(F.lit(0), "longest")).alias("n"))
-    visits = visits.filter(F.abs(m - F.col("n")) <= budget(F.col("n")))
-    # Only lengths that occur are worth a visit; there are no more of them than characters in the longest key.
-    visits = visits.join(base.select(m.alias("n")).distinct(), "n", "left_semi").withColumn("t", budget(F.col("n")))
-    visits = visits.select("b", m, "n", "t", F.explode(_segments(F.col("n"), F.col("t"))).alias("s"))
+    longest = lengths.agg(F.coalesce(F.max("n"), F.lit(0))).scalar()
+    pairs = base.select("m").distinct().withColumn("longest", longest).select("m", F.explode(F.sequence(F.lit(0), "longest")).alias("n"))
+    pairs = pairs.withColumn("t", budget(F.col("n"))).filter((F.abs(m - F.col("n")) <= F.col("t")) & ~_is_short(F.col("n"), budget))
+    pairs = pairs.join(lengths, "n", "left_semi")
+    visits = base.join(pairs, "m").select("b", m, "n", "t", F.explode(_segments(F.col("n"), F.col("t"))).alias("s"))
     # Multi-match-aware range of the places where segment i can have moved.
     gap, i, start, size = m - F.col("n"), F.col("s.i"), F.col("s.start"), F.col("s.size")
     low = F.greatest(start - i, start + gap - (F.col("t") - i), F.lit(1))
     high = F.least(start + i, start + gap + (F.col("t") - i), m - size + 1)
     places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
     slots = F.array_distinct(F.transform(places, lambda p: _slot(F.col("b"), F.col("n"), F.col("s"), p)))
-    right = visits.select("b", F.explode(slots).alias("slot"))
+    moved = visits.select("b", F.explode(slots).alias("slot"))
+    return moved.unionByName(base.filter(m < SHORT + DELETIONS).select("b", F.explode(_deletions(F.col("b"))).alias("slot")))
+
 
+def within(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(a, b) of different keys that meet in a slot and are as near as ``a`` tolerates."""
     near = (F.col("a") != F.col("b")) & tx.within_distance(F.col("a"), F.col("b"), F.col("t"))
-    return left.join(right, "slot").filter(near).select("a", "b").distinct()
+    return first.join(second, "slot").filter(near).select("a", "b").distinct()
+
+
+def near_pairs(keys: DataFrame, budget=tx.typo_budget) -> DataFrame:
+    """(a, b): ordered pairs of distinct keys with distance(a, b) <= budget(length of a).
+
+    ``budget`` maps the length of the *first* key of a pair to its tolerated edits.
+    """
+    lengths = materialise(keys.select(F.length("key").alias("n")).distinct())
+    return within(first_rows(keys, budget), second_rows(keys, lengths, budget))
 
 
 def alias_table(spark, pairs: list[tuple[str, str]]) -> DataFrame:
