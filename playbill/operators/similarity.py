@@ -59,8 +59,8 @@ def needle_rows(keys: DataFrame, windows: DataFrame, min_length: int = 1) -> Dat
     """(needle, gram): what a key looks longer ones up by, its rarest window among ``windows``."""
     key = F.col("key")
     probes = keys.filter(F.length(key) >= min_length).select(key, F.explode(_windows(key, F.element_at(_widths(key), -1))).alias("gram"))
-    frequency = windows.join(probes.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
-    rarest = probes.join(frequency, "gram", "left").groupBy("key").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))["gram"].alias("gram"))
+    frequency = windows.groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = probes.join(frequency, "gram").groupBy("key").agg(F.min(F.struct("df", "gram"))["gram"].alias("gram"))
     return rarest.select(key.alias("needle"), "gram")
 
 
@@ -153,7 +153,7 @@ def near_pairs(keys: DataFrame, budget=tx.typo_budget) -> DataFrame:
 
     ``budget`` maps the length of the *first* key of a pair to its tolerated edits.
     """
-    lengths = materialise(keys.select(F.length("key").alias("n")).distinct())
+    lengths = keys.select(F.length("key").alias("n")).distinct()
     return within(first_rows(keys, budget), second_rows(keys, lengths, budget))
 
 
