@@ -16,7 +16,7 @@ from playbill.functions import text as tx, values as vl
 from playbill.operators import lifecycle as lc
 from playbill.plans import nightly as ny
 from playbill.schema import SHOWING_RECORD, conform, ensure_columns
-from playbill.session import checkpoint_root
+from playbill.session import checkpoint_root, materialise
 from playbill.sources import adapters as ad, markup as mk, pages as pg, payloads as pl, tables as tb
 
 registry = Registry()
@@ -142,7 +142,8 @@ def _microdata_pages(d: Data) -> DataFrame:
 
 
 def _screenings(pages: DataFrame) -> DataFrame:
-    films, showings = pg.build_entities(pg.extract_screenings(pages))
+    landed = materialise(pages)  # pages are landed before they are read
+    films, showings = pg.build_entities(pg.extract_screenings(landed))
     flat = _flat(films, showings)
     # The high bits of an order number are the landing number of the page.
     order = F.floor(F.col("film_seq") / F.lit(2**56).cast("decimal(20,0)")).cast("bigint")
@@ -475,11 +476,11 @@ def _(d: Data) -> DataFrame:
     return first.unionByName(later).select("arrival_seq", "title", "wikidata_id", "version")
 
 
-@query("exported_cinemas", "SELECT lower(n_name) AS slug, n_name AS name, r_name AS city FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("exported_cinemas", "SELECT s_suppkey AS seq, lower(s_name) AS slug, s_name AS name, n_name AS city FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def _(d: Data) -> DataFrame:
-    """Locations are configuration: a bounded dictionary."""
-    rows = d.table("nation").join(d.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name").collect()
-    return tb.export_cinemas(d.spark, {r["n_name"].lower(): {"name": r["n_name"], "city": r["r_name"]} for r in rows}).select("slug", "name", "city")
+    places = d.table("supplier").join(d.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    located = places.select(F.col("s_suppkey").alias("seq"), F.lower("s_name").alias("slug"), F.col("s_name").alias("name"), F.col("n_name").alias("city"))
+    return tb.cinema_rows(located).select("seq", "slug", "name", "city")
 
 
 @query("nested_state", f"""{sql.STORE}, g AS (SELECT film_id, cinema_slug, date, language, screen FROM showings GROUP BY ALL)

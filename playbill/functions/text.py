@@ -201,6 +201,18 @@ def _unescape_code_units(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: html.unescape(unit.sub(lambda m: chr(int(m[1], 16)), text)), na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _unescape_lists(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda texts: [None if t is None else html.unescape(t) for t in texts], na_action="ignore")
+
+
+def decode_entities_of(texts: list[Column]) -> Column:
+    """The texts as one list with HTML entities decoded: many columns of a row cross to the function at once."""
+    listed = F.array(*texts)
+    marked = F.exists(listed, lambda t: F.coalesce(F.contains(t, F.lit("&")), F.lit(False)))
+    return F.when(marked, _unescape_lists(F.when(marked, listed))).otherwise(listed)
+
+
 def decode_entities(text: Column, code_units: bool = False) -> Column:
     """Decode HTML entities, and before them literal ``\\uXXXX`` sequences when asked."""
     marked = F.contains(text, F.lit("&")) | (F.contains(text, F.lit("\\u")) if code_units else F.lit(False))

@@ -8,7 +8,8 @@ wrote, so rows that share a key or an id depend on each other. The work is split
 2. components in which no record can change an identity (every record already has its exact row,
    the steady state) and components that are copies of one new film are resolved with joins;
 3. the rest streams through a fold in arrival order that carries four small columns per record.
-   Components are spread by shuffle and sorted on disk; a component is never gathered in memory.
+   Components are spread by shuffle and sorted on disk. One task reads a component; its stored and new
+   rows stay in memory, its records do not.
 
 Metadata never takes part in the fold: "last known value wins" and "fullest synopsis" are
 aggregates over the resolved records.

@@ -16,6 +16,8 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from playbill.session import materialise
+
 ELEMENTS = (
     "page_id string, eid int, end int, parent int, tag string, classes array<string>, attrs map<string,string>, scope int, movie int, "
     "above array<int>, text string, spaced string"
@@ -123,6 +125,60 @@ def elements(pages: DataFrame, page_id: str = "url", body: str = "body", marked_
     return source.mapInPandas(_element_rows(marked_only), ELEMENTS)
 
 
+# Comments and elements whose content is no markup, up to the end of the page if they are left open.
+_CONTENT = r"[^<]*+(?:<(?!/(?:script|style)\s*+>)[^<]*+)*+"
+_OPAQUE = rf"(?is)<!--.*?(?:-->|\z)|<(?:script|style)(?=[\s/>])[^>]*+>{_CONTENT}(?:</(?:script|style)\s*+>)?+"
+_ATTRIBUTE = r"""(?:\s+[\w:.-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=`]+))?)"""
+_START = rf"(?is)^(<(script|style){_ATTRIBUTE}*+\s*>)"
+_TYPE = r"""(?is)^<script(?:(?!\s+type[\s=>])""" + _ATTRIBUTE + r""")*+\s+type\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>=`]+))"""
+# What is left of a page without them and can't be told from a tag, an attribute or another such element for certain.
+_DOUBTFUL = (
+    r"(?i)<(?:script|style)[\s/>]|<!--|<!\[|<\?|<(?:iframe|noembed|noframes|plaintext|xmp)[\s/>]"
+    r"|<[a-zA-Z/!][^<>]*\x00|<(?:title|textarea)\b[^>]*>[^<]*\x00"
+    r"|=\s*\"[^\">]*>|=\s*'[^'>]*>"
+)
+
+
+def linked_scripts(pages: DataFrame, page_id: str = "url", body: str = "body") -> DataFrame:
+    """(page_id, eid, text): linked-data scripts of the pages; ``eid`` orders those of a page.
+
+    Comments, scripts and styles are cut out by a pattern. Where that could go wrong (unclosed or nested ones, quotes that
+    hold brackets, start tags that are not plain lists of attributes) the page is tokenised instead.
+    """
+    source = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(body).alias("body"))
+    listing = source.filter(F.contains(F.lower("body"), F.lit("json")))
+
+    def started(cut: Column) -> Column:
+        return F.struct(cut.alias("cut"), F.regexp_extract(cut, _START, 1).alias("start"))
+
+    def read(part: Column) -> Column:
+        kind = F.concat(*[F.regexp_extract(part["start"], _TYPE, k) for k in (1, 2, 3)])
+        text = F.regexp_extract(F.substr(part["cut"], F.length(part["start"]) + 1), f"(?is)^{_CONTENT}", 0)
+        return F.struct(part["cut"].alias("cut"), part["start"].alias("start"), F.lower(kind).alias("kind"), text.alias("text"))
+
+    def certain(part: Column) -> Column:
+        comment = part["cut"].rlike(r"(?s)^<!--.*-->$") & ~part["cut"].rlike(r"^<!--+>|--\s+>|--!>")
+        closed = (part["start"] != "") & ~part["start"].endswith("/>") & (F.length(part["cut"]) > F.length(part["start"]) + F.length(part["text"]))
+        # The pattern ends either element at either end tag; that must be its own.
+        own = F.lower(F.regexp_extract(part["start"], _START, 2)) == F.lower(F.regexp_extract(F.substr(part["cut"], F.length(part["start"]) + F.length(part["text"]) + 1), r"(?i)</(script|style)", 1))
+        bracket = F.contains(part["text"], F.lit("<"))
+        plain = F.when(bracket, ~part["text"].rlike(r"(?i)</\s*(?:script|style)|<script")).otherwise(True) & ~F.contains(part["kind"], F.lit("&"))
+        return F.when(part["cut"].startswith("<!--"), comment).otherwise(closed & own & plain)
+
+    cut = listing.select("page_id", F.regexp_extract_all("body", F.lit(_OPAQUE), 0).alias("cuts"), F.regexp_replace("body", _OPAQUE, "\x00").alias("rest"))
+    parts = cut.select("page_id", "rest", F.transform(F.transform("cuts", started), read).alias("parts"))
+    regular = F.forall("parts", certain) & ~F.col("rest").rlike(_DOUBTFUL)
+    numbered = F.transform("parts", lambda p, k: F.struct(k.alias("eid"), p["kind"].alias("kind"), p["text"].alias("text")))
+    wanted = F.filter(numbered, lambda p: p["kind"] == "application/ld+json")
+    # Small next to the pages, which are read for it once.
+    told = parts.select("page_id", regular.alias("regular"), wanted.alias("scripts"))
+    found = materialise(told.select("page_id", "regular", F.when(F.col("regular"), F.col("scripts")).alias("scripts")))
+    plain = found.filter("regular").select("page_id", F.inline("scripts")).select("page_id", "eid", "text")
+    doubtful = elements(source.join(found.filter("not regular"), "page_id", "left_semi"), "page_id", marked_only=True)
+    kind = F.lower(F.coalesce(attr("type"), F.lit("")))
+    return plain.unionByName(doubtful.filter((F.col("tag") == "script") & (kind == "application/ld+json")).select("page_id", "eid", "text"))
+
+
 def attr(name: str) -> Column:
     """An attribute, null when absent or empty."""
     return F.nullif(F.try_element_at("attrs", F.lit(name)), F.lit(""))

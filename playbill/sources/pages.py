@@ -22,51 +22,71 @@ EVENT_HINTS = ["presentano", "ospiti", "rassegna", "ospite", "dal vivo", "live",
 # ---- linked data ----------------------------------------------------------------------
 
 
-def _types(item: Column) -> Column:
-    many = F.try_variant_get(item, "$['@type']", "array<string>")
-    return F.coalesce(many, F.array(F.try_variant_get(item, "$['@type']", "string")))
+_FILM_KEYS = ("name", "@id", "url", "image", "description", "director", "duration", "dateCreated", "datePublished")
+#: An object is read once, as a struct of the texts that matter; what is a list or an object within it is looked into afterwards.
+_TEXT_KEYS = (*_FILM_KEYS, "workPresented", "location", "startDate")
+_NODE = "struct<`@type`:variant,genre:variant," + ",".join(f"`{key}`:string" for key in _TEXT_KEYS) + ">"
+
+
+def _string(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
+
+
+def _types(kind: Column) -> Column:
+    return F.coalesce(F.try_variant_get(kind, "$", "array<string>"), F.array(_string(kind)))
+
 
+def _opens(text: Column) -> Column:
+    """Whether a text may be a list or an object."""
+    return F.coalesce(text.startswith("[") | text.startswith("{"), F.lit(False))
 
-def _texts(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+
+def _texts(rows: DataFrame, values: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Adds the text of each value, which may be a text, a list or an object with a name or link.
 
-    Done in steps over named columns: nested in one expression, every step would be repeated for
-    each use of the one before.
+    A value comes as text and as variant. Most are texts; only what reads as a list or object is looked into. Done in steps
+    over named columns: nested in one expression, every step would be repeated for each use of the one before.
     """
-    listed = rows.withColumns({f"_l_{n}": F.try_variant_get(v, "$", "array<variant>") for n, v in values.items()} | {f"_v_{n}": v for n, v in values.items()})
-    single = listed.withColumns({f"_v_{n}": F.when(F.col(f"_l_{n}").isNull(), F.col(f"_v_{n}")).otherwise(F.try_element_at(f"_l_{n}", F.lit(1))) for n in values})
+    inner = lambda n, then: F.when(_opens(F.col(f"_s_{n}")), then)
+    told = rows.withColumns({f"_s_{n}": text for n, (text, _) in values.items()})
+    told = told.withColumns({f"_v_{n}": inner(n, value) for n, (_, value) in values.items()})
+    listed = told.withColumns({f"_l_{n}": inner(n, F.try_variant_get(F.col(f"_v_{n}"), "$", "array<variant>")) for n in values})
+    single = listed.withColumns({f"_v_{n}": inner(n, F.when(F.col(f"_l_{n}").isNull(), F.col(f"_v_{n}")).otherwise(F.try_element_at(f"_l_{n}", F.lit(1)))) for n in values})
 
     def spoken(name: str) -> Column:
         value = F.col(f"_v_{name}")
         field = lambda f: filled(F.try_variant_get(value, f"$.{f}", "string"))
         is_object = F.schema_of_variant(value).startswith("OBJECT")
-        return F.when(is_object, F.coalesce(field("name"), field("url"))).otherwise(F.try_variant_get(value, "$", "string"))
+        return inner(name, F.when(is_object, F.coalesce(field("name"), field("url"))).otherwise(_string(value))).otherwise(F.col(f"_s_{name}"))
 
-    said = single.withColumns({n: tx.strip(spoken(n)) for n in values}).drop(*[f"_{k}_{n}" for k in "lv" for n in values])
-    return said.withColumns({n: filled(tx.decode_entities(F.col(n))) for n in values})
+    said = single.withColumns({n: tx.strip(spoken(n)) for n in values}).drop(*[f"_{k}_{n}" for k in "lsv" for n in values])
+    decoded = said.withColumn("_decoded", tx.decode_entities_of([F.col(n) for n in values]))
+    return decoded.withColumns({n: filled(F.col("_decoded")[k]) for k, n in enumerate(values)}).drop("_decoded")
 
 
-def extract_jsonld(nodes: DataFrame) -> DataFrame:
-    """(page_id, seq, item, types): objects of every linked-data script that lists a screening.
+def extract_jsonld(scripts: DataFrame) -> DataFrame:
+    """(page_id, seq, node, raw, types): entries of every linked-data script that lists a screening.
 
-    Lists and graphs are flattened; malformed scripts are skipped.
+    ``scripts`` is (page_id, eid, text). Lists and graphs are flattened; malformed scripts are skipped. ``types`` is null for
+    entries that are neither films nor screenings; ``raw`` is only there if a text of the node is a list or object.
     """
-    kind = F.lower(F.coalesce(mk.attr("type"), F.lit("")))
-    scripts = nodes.filter((F.col("tag") == "script") & (kind == "application/ld+json"))
-    parsed = scripts.select("page_id", "eid", F.try_parse_json("text").alias("root")).filter("root is not null")
+    parsed = scripts.filter(F.contains("text", F.lit("ScreeningEvent"))).select("page_id", "eid", F.try_parse_json("text").alias("root"))
     root = F.col("root")
     listed = F.coalesce(
         F.try_variant_get(root, "$", "array<variant>"), F.try_variant_get(root, "$['@graph']", "array<variant>"), F.array(root)
     )
-    objects = F.filter(listed, lambda i: F.try_variant_get(i, "$", "map<string,variant>").isNotNull())
-    kept = parsed.withColumn("items", objects).filter(F.exists("items", lambda i: F.array_contains(_types(i), "ScreeningEvent")))
-    exploded = kept.select("page_id", "eid", F.posexplode("items").alias("i", "item"))
+    items = parsed.select("page_id", "eid", listed.alias("items"))
+    wanted = F.exists("items", lambda i: F.array_contains(_types(F.try_variant_get(i, "$['@type']", "variant")), "ScreeningEvent"))
+    # The outer form of explode: for the other one the planner adds a filter that would read every list again.
+    exploded = items.select("page_id", "eid", F.posexplode_outer(F.when(wanted, F.col("items"))).alias("i", "raw"))
+    read = exploded.select("page_id", "eid", "i", "raw", F.try_variant_get("raw", "$", _NODE).alias("node"))
+    node = F.col("node")
     # Scripts in page order, then items in script order.
     seq = F.shiftleft(F.col("eid").cast("bigint"), 24) + F.col("i")
-    return exploded.select("page_id", seq.alias("seq"), "item", _types(F.col("item")).alias("types"))
-
-
-_FILM_KEYS = ("name", "@id", "url", "image", "description", "director", "duration", "dateCreated", "datePublished")
+    compound = F.exists(F.array(*[node[key] for key in _TEXT_KEYS]), _opens)
+    kinds = _types(node["@type"])
+    kept = F.when(F.array_contains(kinds, "ScreeningEvent") | F.array_contains(kinds, "Movie"), kinds)
+    return read.select("page_id", seq.alias("seq"), node.alias("node"), F.when(compound, F.col("raw")).alias("raw"), kept.alias("types"))
 
 
 def jsonld_events(items: DataFrame, bases: DataFrame) -> DataFrame:
@@ -76,20 +96,20 @@ def jsonld_events(items: DataFrame, bases: DataFrame) -> DataFrame:
     name of the event; events without a readable start are skipped.
     """
     get = lambda value, key, kind="variant": F.try_variant_get(value, f"$['{key}']", kind)
-    item = F.col("item")
-    film = items.filter(F.array_contains("types", "Movie")).withColumn("work_id", get(item, "@id", "string")).filter("work_id is not null")
-    films = film.groupBy("page_id", "work_id").agg(F.max_by(F.struct("item"), "seq")["item"].alias("film"))
-    events = items.filter(F.array_contains("types", "ScreeningEvent")).select(
-        "page_id", "seq", get(item, "workPresented").alias("work"), get(item, "name").alias("event_name"), get(item, "location").alias("place"), get(item, "startDate", "string").alias("start")
-    )
-    is_object = lambda c: F.coalesce(F.schema_of_variant(c).startswith("OBJECT"), F.lit(False))
-    events = events.withColumns({"date": vl.start_date(F.col("start")), "time": vl.start_time(F.col("start")), "inline": is_object("work")}).filter("date is not null")
-    events = events.withColumn("work_id", F.when(F.col("inline"), get(F.col("work"), "@id", "string")))
+    node, raw = F.col("node"), F.col("raw")
+    film = items.filter(F.array_contains("types", "Movie")).withColumn("work_id", node["@id"]).filter("work_id is not null")
+    films = film.groupBy("page_id", "work_id").agg(F.max_by(F.struct("node", "raw"), "seq").alias("film"))
+    place = get(raw, "location", "struct<name:variant>")["name"]
+    events = items.filter(F.array_contains("types", "ScreeningEvent")).withColumns({"date": vl.start_date(node["startDate"]), "time": vl.start_time(node["startDate"])}).filter("date is not null")
+    events = events.select("page_id", "seq", "date", "time", node["name"].alias("event_name"), node["workPresented"].alias("work"), "raw", get(raw, "workPresented", _NODE).alias("inline"), place.alias("place"))
+    events = events.withColumn("work_id", F.col("inline")["@id"])
     joined = events.join(films, ["page_id", "work_id"], "left").join(bases, "page_id", "left")
-    shown = joined.withColumn("shown", F.coalesce("film", F.when(F.col("inline"), F.col("work"))))
-    values = {f"f_{key}": get(F.col("shown"), key) for key in _FILM_KEYS}
-    values |= {"work_text": F.when(~F.col("inline"), F.col("work")), "event_text": F.col("event_name"), "location_name": F.when(is_object("place"), get(F.col("place"), "name"))}
-    read = _texts(shown.withColumn("genre", get(F.col("shown"), "genre")), values)
+    inline = F.struct(F.col("inline").alias("node"), get(raw, "workPresented").alias("raw"))
+    shown = joined.withColumn("shown", F.coalesce("film", F.when(F.col("inline").isNotNull(), inline)))
+    values = {f"f_{key}": (F.col("shown.node")[key], get(F.col("shown.raw"), key)) for key in _FILM_KEYS}
+    values["work_text"] = (F.when(F.col("inline").isNull(), F.col("work")), get(raw, "workPresented"))
+    values |= {"event_text": (F.col("event_name"), get(raw, "name")), "location_name": (_string(F.col("place")), F.col("place"))}
+    read = _texts(shown.withColumn("genre", F.col("shown.node")["genre"]), values)
     text = {key: F.col(f"`f_{key}`") for key in _FILM_KEYS}
     return read.select(
         "page_id", "seq", F.coalesce(text["name"], "work_text", "event_text").alias("title"),
@@ -220,12 +240,11 @@ def extract_screenings(pages: DataFrame, base_url: Column | None = None) -> Data
     """
     numbered = pages.withColumn("page_id", F.col("landed_seq").cast("string"))
     bases = numbered.select("page_id", (F.col("url") if base_url is None else base_url).alias("base_url"))
-    # Several steps below read the elements: pages are tokenised once, and only the elements that
-    # carry structured data are kept.
-    nodes = materialise(mk.elements(numbered, "page_id", marked_only=True))
-    linked = extract_jsonld(nodes)
-    linked_pages = linked.select("page_id").distinct()
-    plain = microdata_events(nodes.join(linked_pages, "page_id", "left_anti"), bases)
+    linked = materialise(extract_jsonld(mk.linked_scripts(numbered, "page_id"))).filter("types is not null")
+    # Other pages are tokenised, once, if they have microdata at all; only elements that carry some are kept.
+    marked = numbered.select("page_id", "body").filter(F.contains(F.lower("body"), F.lit("itemprop")) | F.contains(F.lower("body"), F.lit("itemtype")))
+    nodes = materialise(mk.elements(marked.join(linked.select("page_id"), "page_id", "left_anti"), "page_id", marked_only=True))
+    plain = microdata_events(nodes, bases)
     events = jsonld_events(linked, bases).unionByName(plain)
     origin = numbered.select("page_id", "source_slug", "landed_seq", "url")
     joined = events.join(origin, "page_id")
@@ -239,7 +258,8 @@ def build_entities(events: DataFrame, cinema: str | None = None) -> tuple[DataFr
     """(films, showings) of screenings, one film per source, page and normalised title: first
     filled value of each field in page order, distinct sorted times per date."""
     keyed = events.withColumn("title", tx.strip(F.col("title"))).withColumn("title_normalized", tx.normalize_title(F.col("title")))
-    keyed = keyed.filter("title <> '' and title_normalized <> ''")
+    # Titles are normalised once: films, days and the films of the days are all derived from these rows.
+    keyed = materialise(keyed.filter("title <> '' and title_normalized <> ''"))
     order = F.col("seq")
     first = lambda c: gr.first_filled(F.col(c), order).alias(c)
     films = keyed.groupBy("source_slug", "page_id", "title_normalized").agg(

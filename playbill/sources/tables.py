@@ -238,6 +238,11 @@ def export_showings(films: DataFrame, showings: DataFrame) -> DataFrame:
     )
 
 
+def cinema_rows(locations: DataFrame) -> DataFrame:
+    """Published location rows of a table of locations; columns it lacks are null, others are left out."""
+    return conform(locations, f"seq bigint, {CINEMAS}")
+
+
 def export_cinemas(spark: SparkSession, locations: dict[str, dict]) -> DataFrame:
     """A configured dictionary of locations as rows with their slug."""
     names = [f.name for f in struct_type(CINEMAS).fields]

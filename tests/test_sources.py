@@ -3,6 +3,7 @@
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from playbill.schema import PAYLOADS
@@ -286,3 +287,51 @@ def test_unclosed_braces_take_linear_time():
         assert [f["id"] for v in mk._objects(text) for f in mk._films(v)] == [7]
         seconds.append(time.perf_counter() - begin)
     assert seconds[1] < 40 * max(seconds[0], 0.02)
+
+
+LD = 'type="application/ld+json"'
+
+
+@pytest.mark.parametrize(
+    "body, found",
+    [
+        (f'<script {LD}>1</script><script async {LD.upper()} id="x>y">"<b>"</ScRipt ><p>"</p>', ["1", '"<b>"']),
+        (f"<!-- <script {LD}>1</script> --><script type=application/ld+json>2</script>", ["2"]),
+        (f'<script>var a = "<!--";</script><script {LD}>1</script><!-- b -->', ["1"]),
+        (f'<div data-x="<!--"><script {LD}>1</script></div><!-- a -->', ["1"]),
+        (f'<script src="json"/><script {LD}>1</script>', ["1"]),
+        (f"<script {LD}>1", None),  # left open: whatever the tokeniser makes of it
+        (f"<!-- <script {LD}>1</script>", []),
+        (f'<script data-{LD} type="text/json">1</script><script type="text/json" {LD}>2</script>', []),
+        (f"<style>a > b <script {LD}>1</script></style><script {LD}>2</script>", ["2"]),
+        (f"<style>a</script><script {LD}>1</script></style><script {LD}>2</script>", ["2"]),
+        ('<script type="application/ld&#43;json">1</script>', ["1"]),
+        (f"a < b <script {LD}></script> <script-x {LD}>1</script-x><script\n {LD}\n>2</script\n>", ["", "2"]),
+        (f"<p title='x\"y'><script {LD} \"junk\">1</script>", ["1"]),
+        ("json", []),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_linked_scripts_equal_those_of_the_tokeniser(spark, body, found):
+    pages = spark.createDataFrame([("p", body)], "url string, body string")
+    kind = F.lower(F.coalesce(mk.attr("type"), F.lit("")))
+    tokenised = mk.elements(pages, marked_only=True).filter((F.col("tag") == "script") & (kind == "application/ld+json"))
+    told = [r["text"] for r in tokenised.orderBy("eid").collect()]
+    assert found is None or told == found
+    assert [r["text"] for r in mk.linked_scripts(pages).orderBy("eid").collect()] == told
+
+
+def test_linked_values_that_are_lists_or_objects(spark):
+    film = {"@type": ["Thing", "Movie"], "@id": "#f", "name": "[REC] &amp; co", "director": [{"name": "A"}, {"name": "B"}], "image": {"url": "/i.jpg"}, "genre": ["Drama"], "dateCreated": 1999}
+    event = {"@type": "ScreeningEvent", "startDate": "2026-09-25T21:00:00", "workPresented": {"@id": "#f"}, "location": {"name": ["Sala"]}}
+    inline = {"@type": "ScreeningEvent", "startDate": "2026-09-26T20:00:00", "workPresented": {"name": "Solo", "director": {"name": "C"}}, "location": "x"}
+    spoken = {"@type": "ScreeningEvent", "startDate": "2026-09-27T20:00:00", "workPresented": ["Detto"], "name": "E"}
+    body = f"<script {LD}>{json.dumps({'@graph': [film, event, inline, spoken, 3, {}]})}</script>"
+    pages = spark.createDataFrame([(1, "s", "https://m.it/p", body)], "landed_seq bigint, source_slug string, url string, body string")
+    got = pg.extract_screenings(pages).orderBy("date").collect()
+    assert [(r["title"], r["director"], r["poster"], r["year"], r["genres"], r["location_name"]) for r in got] == [
+        ("[REC] & co", "A", "https://m.it/i.jpg", 1999, ["Drama"], "Sala"),
+        ("Solo", "C", None, None, [], None),
+        ("Detto", None, None, None, [], None),
+    ]
