@@ -9,18 +9,21 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 from itertools import islice
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from playbill.session import materialise
 
 ELEMENTS = (
     "page_id string, eid int, end int, parent int, tag string, classes array<string>, attrs map<string,string>, scope int, movie int, "
-    "above array<int>, text string, spaced string"
+    "text string, spaced string"
 )
 #: Rows handed back to Spark at once, so that a worker never holds the elements of a whole batch of pages.
 ROWS = 5000
@@ -38,6 +41,8 @@ class _Tokeniser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[dict] = []
+        self.keepers: list[dict] = []  # open elements whose text is kept
+        self.tags: Counter[str] = Counter()  # of open elements
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         for closed in SELF_CLOSING.get(tag, ()):
@@ -51,25 +56,31 @@ class _Tokeniser(HTMLParser):
             "scope": None if parent is None else parent["eid"] if "itemscope" in parent["attrs"] else parent["scope"],
             "movie": None if parent is None else parent["eid"] if "Movie" in parent["types"] else parent["movie"],
             "keeps": tag in TEXT_TAGS or "itemprop" in known or any("title" in k or "time" in k or "synopsis" in k or "description" in k for k in (known.get("class", ""), known.get("data-test", ""))),
-            "above": [open_["eid"] for open_ in self.open], "parts": [],
+            "parts": [],
         }
         self.rows.append(row)
         if tag not in VOID:
             self.open.append(row)
+            self.tags[tag] += 1
+            if row["keeps"]:
+                self.keepers.append(row)
 
     def handle_endtag(self, tag: str) -> None:
-        if any(row["tag"] == tag for row in self.open):
-            while self.open and self.open[-1]["tag"] != tag:
+        if self.tags[tag]:
+            while self.open[-1]["tag"] != tag:
                 self._close()
             self._close()
 
     def handle_data(self, data: str) -> None:
-        for row in self.open:
-            if row["keeps"]:
-                row["parts"].append(data)
+        for row in self.keepers:
+            row["parts"].append(data)
 
     def _close(self) -> None:
-        self.open.pop()["end"] = len(self.rows) - 1
+        row = self.open.pop()
+        row["end"] = len(self.rows) - 1
+        self.tags[row["tag"]] -= 1
+        if row["keeps"]:
+            self.keepers.pop()
 
     def finish(self) -> list[dict]:
         self.close()
@@ -91,7 +102,7 @@ def in_frames(rows: Iterator[tuple], columns: list[str], kinds: dict[str, str])
 
 def _element_rows(marked_only: bool):
     """Tokenising function over batches of pages."""
-    columns = ["page_id", "eid", "end", "parent", "tag", "classes", "attrs", "scope", "movie", "above", "text", "spaced"]
+    columns = ["page_id", "eid", "end", "parent", "tag", "classes", "attrs", "scope", "movie", "text", "spaced"]
 
     def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
@@ -110,14 +121,14 @@ def _columns(row: dict) -> tuple:
         text = "".join(row["parts"] if row["tag"] == "script" else pieces)
         spaced = " ".join(filter(None, pieces))
     classes = row["attrs"].get("class", "").split()
-    return (row["eid"], row["end"], row["parent"], row["tag"], classes, row["attrs"], row["scope"], row["movie"], row["above"], text, spaced)
+    return (row["eid"], row["end"], row["parent"], row["tag"], classes, row["attrs"], row["scope"], row["movie"], text, spaced)
 
 
 def elements(pages: DataFrame, page_id: str = "url", body: str = "body", marked_only: bool = False) -> DataFrame:
-    """One row per element: (page_id, eid, end, parent, tag, classes, attrs, scope, movie, above,
+    """One row per element: (page_id, eid, end, parent, tag, classes, attrs, scope, movie,
     text, spaced).
 
-    ``eid`` to ``end`` spans the element and its descendants; ``above`` lists the elements around it; ``scope`` is the nearest enclosing
+    ``eid`` to ``end`` spans the element and its descendants; ``scope`` is the nearest enclosing
     ``itemscope``, ``movie`` the nearest enclosing item of that type. ``marked_only`` keeps the
     elements that carry structured data.
     """
@@ -192,14 +203,52 @@ def class_like(text: str) -> Column:
     return F.contains(F.coalesce(F.try_element_at("attrs", F.lit("data-test")), F.lit("")), F.lit(text))
 
 
+# Elements are intervals (eid, end) that nest and never cross, so one ordered pass over a page tells what lies in what.
+
+
+def _along(order: Column | str) -> WindowSpec:
+    return Window.partitionBy("page_id").orderBy(order)
+
+
 def inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """Inner elements with each outer element of the same page that contains them.
 
-    ``outer`` columns are prefixed ``o_``. Every element names those around it (``above``), so this is an equi-join.
+    ``outer``, which has ``eid`` and ``end``, is prefixed ``o_``. The inner elements of a page are numbered in order, those in an outer
+    one have consecutive numbers, and an equi-join on the numbers takes as many rows as there are pairs.
     """
+    numbered = inner.withColumn("_n", F.row_number().over(_along("eid")))
+    starts = outer.select("page_id", "eid", F.col("eid").alias("at"), F.lit(0).alias("side"))
+    ends = outer.select("page_id", "eid", F.col("end").alias("at"), F.lit(1).alias("side"))
+    points = inner.select("page_id", F.lit(None).cast("int").alias("eid"), F.col("eid").alias("at"), F.lit(None).cast("int").alias("side"))
+    # How many inner elements there are up to the start and up to the end of each outer one.
+    passed = F.sum(F.when(F.col("side").isNull(), 1).otherwise(0)).over(_along("at").rangeBetween(Window.unboundedPreceding, 0))
+    counted = starts.unionByName(ends).unionByName(points).withColumn("passed", passed).filter("side is not null")
+    spans = counted.groupBy("page_id", "eid").agg(F.min("passed").alias("before"), F.max("passed").alias("last")).filter("before < last")
+    held = spans.select("page_id", F.col("eid").alias("o_eid"), F.explode(F.sequence(F.col("before") + 1, F.col("last"))).alias("_n"))
     around = outer.select(*[F.col(c).alias(c if c == "page_id" else f"o_{c}") for c in outer.columns])
-    named = inner.withColumn("o_eid", F.explode("above")).drop("above")
-    return named.join(around, ["page_id", "o_eid"])
+    pairs = held.join(numbered, ["page_id", "_n"]).drop("_n")
+    return pairs if set(outer.columns) <= {"page_id", "eid", "end"} else pairs.join(around, ["page_id", "o_eid"])
+
+
+def first_inside(outer: DataFrame, inner: DataFrame, parts: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(page_id, eid, a column for each part): of every outer element, the value of the first inner element in it for which the
+    part's condition holds; null if there is none.
+
+    One pass from the end of a page to its start: the first element after an outer one is in it, or none is.
+    """
+    seen = [F.when(condition, F.struct("eid", value.alias("value"))).alias(name) for name, (condition, value) in parts.items()]
+    candidates = inner.filter(reduce(or_, (condition for condition, _ in parts.values()))).select("page_id", "eid", *seen)
+    rows = candidates.unionByName(outer.select("page_id", "eid", "end"), allowMissingColumns=True)
+    later = _along(F.desc("eid")).rangeBetween(Window.unboundedPreceding, -1)
+    nearest = rows.withColumns({name: F.last(name, ignorenulls=True).over(later) for name in parts}).filter("end is not null")
+    return nearest.select("page_id", "eid", *[F.when(F.col(name)["eid"] <= F.col("end"), F.col(name)["value"]).alias(name) for name in parts])
+
+
+def within_any(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Inner elements that at least one outer element of their page contains, in one pass over the page."""
+    rows = inner.withColumn("_end", F.lit(None).cast("int")).unionByName(outer.select("page_id", "eid", F.col("end").alias("_end")), allowMissingColumns=True)
+    reach = F.max("_end").over(_along("eid").rangeBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_reach", reach).filter("_end is null and _reach >= eid").drop("_end", "_reach")
 
 
 #: A call that pushes a text; the text is a JSON string.

@@ -394,8 +394,7 @@ def detail_text(pages: DataFrame, nodes: DataFrame, page_id: str = "url") -> Dat
     block = (F.col("tag") == "article") | mk.has_class("film-content") | mk.has_class("description")
     mark = mk.class_like("synopsis") | mk.has_class("synopsis") | mk.has_class("film-description")
     nodes = materialise(nodes.filter(block | mark | F.col("tag").isin("p", "meta")))
-    blocks = nodes.filter(block).select("page_id", "eid")
-    inner = mk.inside(nodes.filter("tag = 'p'").select("page_id", "eid", "above", "text"), blocks)
+    inner = mk.within_any(nodes.filter("tag = 'p'").select("page_id", "eid", "text"), nodes.filter(block))
     paragraphs = inner.groupBy("page_id").agg(F.min_by("text", "eid").alias("paragraph"))
     metas = nodes.filter((F.col("tag") == "meta") & (mk.attr("name") == "description")).groupBy("page_id").agg(F.min_by(tx.strip(mk.attr("content")), "eid").alias("meta"))
     marked = nodes.filter(mark).groupBy("page_id").agg(F.min_by("text", "eid").alias("marked"))
@@ -409,23 +408,18 @@ def detail_text(pages: DataFrame, nodes: DataFrame, page_id: str = "url") -> Dat
 # ---- cards -----------------------------------------------------------------------------
 
 
-def _within(cards: DataFrame, parts: DataFrame, value: Column, name: str) -> DataFrame:
-    """First value of some inner element per card."""
-    found = mk.inside(parts.select("page_id", "eid", "above", value.alias("value")), cards.select("page_id", "eid"))
-    return found.groupBy("page_id", F.col("o_eid").alias("eid")).agg(F.min_by("value", "eid").alias(name))
-
-
 def page_cards(nodes: DataFrame) -> DataFrame:
     """Cards of a listing page, first per slug: (page_id, slug, poster, title, director, link)."""
     # Pages are tokenised once: everything below reads the elements that cards are made of.
     nodes = materialise(nodes.filter(F.col("tag").isin("ul", "li", "a", "img", "h2", "p")))
     boxes = nodes.filter((F.col("tag") == "ul") & mk.has_class("movie-container")).select("page_id", F.col("eid").alias("parent"))
     cards = nodes.filter((F.col("tag") == "li") & mk.has_class("movie-item")).join(boxes, ["page_id", "parent"], "left_semi")
-    links = nodes.filter((F.col("tag") == "a") & F.contains(mk.attr("href"), F.lit("/films/")))
-    read = cards.select("page_id", "eid").join(_within(cards, links, mk.attr("href"), "link"), ["page_id", "eid"])
-    images = nodes.filter("tag = 'img'")
-    for parts, value, name in ((images, mk.attr("src"), "image"), (nodes.filter("tag = 'h2'"), F.col("text"), "title"), (nodes.filter("tag = 'p'"), F.col("text"), "director")):
-        read = read.join(_within(cards, parts, value, name), ["page_id", "eid"], "left")
+    tag, href = F.col("tag"), mk.attr("href")
+    parts = {
+        "link": ((tag == "a") & F.contains(href, F.lit("/films/")), href), "image": (tag == "img", mk.attr("src")),
+        "title": (tag == "h2", F.col("text")), "director": (tag == "p", F.col("text")),
+    }
+    read = mk.first_inside(cards, nodes, parts).filter("link is not null")
     slug = F.regexp_extract(F.regexp_replace("link", "/+$", ""), r"([^/]+)$", 1)
     read = read.select("page_id", "eid", slug.alias("slug"), vl.clean_image_url(F.col("image")).alias("poster"), F.coalesce("title", slug).alias("title"), "director", "link")
     rest = ["poster", "title", "director", "link"]
@@ -442,13 +436,11 @@ def rendered_listing_cards(nodes: DataFrame, base_url: str, page_url: str, day:
     lists = nodes.filter(mk.has_class("showing-listing__list")).select("page_id", F.col("eid").alias("parent"))
     items = nodes.filter("tag = 'li'").join(lists, ["page_id", "parent"], "left_semi")
     cards = items.unionByName(nodes.filter(card)).dropDuplicates(["page_id", "eid"])
-    titles = nodes.filter(title)
-    links = nodes.filter((F.col("tag") == "a") & F.contains(mk.attr("href"), F.lit("/film/")))
-    read = cards.select("page_id", "eid").join(_within(cards, titles, F.col("text"), "title"), ["page_id", "eid"]).filter(~blank(F.col("title")))
-    read = read.join(_within(cards, links, mk.attr("href"), "href"), ["page_id", "eid"], "left")
-    read = read.join(_within(cards, nodes.filter("tag = 'img'"), mk.attr("src"), "src"), ["page_id", "eid"], "left")
+    link = (F.col("tag") == "a") & F.contains(mk.attr("href"), F.lit("/film/"))
+    parts = {"title": (title, F.col("text")), "href": (link, mk.attr("href")), "src": (F.col("tag") == "img", mk.attr("src"))}
+    read = mk.first_inside(cards, nodes, parts).filter(~blank(F.col("title")))
     clocks = nodes.filter(clock & F.col("text").rlike(r"^\d{1,2}:\d{2}"))
-    shown = mk.inside(clocks.select("page_id", "eid", "above", "text"), cards.select("page_id", "eid"))
+    shown = mk.inside(clocks.select("page_id", "eid", "text"), cards.select("page_id", "eid", "end"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("eid", "text"))), lambda t: t["text"])
     times = shown.groupBy("page_id", F.col("o_eid").alias("eid")).agg(ordered.alias("times"))
     site = lambda c: F.when(c.startswith("http"), c).otherwise(vl.absolute_url(c, F.lit(base_url)))

@@ -1,6 +1,7 @@
 """Flattening of payloads and pages of the shapes the sources publish."""
 
 import json
+import random
 import time
 
 import pytest
@@ -335,3 +336,41 @@ def test_linked_values_that_are_lists_or_objects(spark):
         ("Solo", "C", None, None, [], None),
         ("Detto", None, None, None, [], None),
     ]
+
+
+def spans(spark, seed):
+    """Random nested elements (eid, end) of four pages, some outer, some inner, some both."""
+    dice, rows = random.Random(seed), []
+    for page in "abcd":
+        open_, n = [], dice.randrange(1, 40)
+        ends = {}
+        for eid in range(n):
+            while open_ and dice.random() < 0.4:
+                ends[open_.pop()] = eid - 1
+            open_.append(eid)
+        ends |= dict.fromkeys(open_, n - 1)
+        rows += [(page, eid, ends[eid], dice.random() < 0.4, dice.random() < 0.4, dice.choice([None, "x", "y"])) for eid in range(n)]
+    return rows, spark.createDataFrame(rows, "page_id string, eid int, end int, outer boolean, inner boolean, value string")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_elements_in_elements_equal_all_pairs(spark, seed):
+    rows, table = spans(spark, seed)
+    outer, inner = table.filter("outer").select("page_id", "eid", "end"), table.filter("inner").select("page_id", "eid", "value")
+    pairs = [(o[0], o[1], i[1], i[5]) for o in rows for i in rows if o[3] and i[4] and o[0] == i[0] and o[1] < i[1] <= o[2]]
+    assert sorted(tuple(r)[:3] for r in mk.inside(inner, outer).select("page_id", "o_eid", "eid").collect()) == sorted(p[:3] for p in pairs)
+    assert {(r.page_id, r.eid) for r in mk.within_any(inner, outer).collect()} == {(p[0], p[2]) for p in pairs}
+    found = mk.first_inside(outer, table, {"any": (F.col("inner"), F.col("value")), "x": (F.col("inner") & F.expr("value <=> 'x'"), F.col("eid"))}).collect()
+    wanted = []
+    for page, eid, *_ in (r for r in rows if r[3]):
+        mine = sorted((p[2], p[3]) for p in pairs if p[:2] == (page, eid)) if any(p[:2] == (page, eid) for p in pairs) else []
+        wanted.append((page, eid, mine[0][1] if mine else None, next((e for e, v in mine if v == "x"), None)))
+    assert sorted(map(tuple, found), key=lambda r: r[:2]) == sorted(wanted, key=lambda r: r[:2])
+
+
+def test_deep_pages_take_linear_time(spark):
+    deep = 100_000
+    body = "<ul class='movie-container'><li class='movie-item'>" + "<div><!-- -->t" * deep + "<a href='/films/x'>X</a></i>" * 3 + "</div>" * deep + "</li></ul>"
+    started = time.monotonic()
+    cards = pg.page_cards(mk.elements(spark.createDataFrame([("u", body)], "url string, body string"))).collect()
+    assert [(r.slug, r.link) for r in cards] == [("x", "/films/x")] and time.monotonic() - started < 30
