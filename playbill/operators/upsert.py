@@ -20,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from playbill.functions import text as tx
 from playbill.operators.components import connected_components
@@ -29,6 +29,8 @@ from playbill.schema import filled
 from playbill.session import materialise
 
 METADATA = ("original_title", "runtime_minutes", "genres", "director", "poster_url")
+#: Arrival numbers counted together where records of one key are put in order.
+BLOCK = 65536
 FOLD_OUTPUT = (
     "kind string, seq bigint, target_id bigint, target_seq bigint, title_normalized string, year int, wikidata_id string"
 )
@@ -136,6 +138,85 @@ def _with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(known, "title_normalized", "left").withColumn("component", F.coalesce("root", "title_normalized")).drop("root")
 
 
+def _kept(records: DataFrame, stored: DataFrame) -> DataFrame:
+    """(wikidata_id, kept, first_at): external ids, whether a row that has one can lose it, and the record that brings it.
+
+    A row loses its id only to a record of its own key with another one. ``first_at`` is null if a stored row has the id.
+    """
+    bearing = records.filter("wikidata_id is not null")
+    rivals = bearing.groupBy("title_normalized").agg(F.min("wikidata_id").alias("lowest"), F.max("wikidata_id").alias("highest"))
+    holders = bearing.select("wikidata_id", "title_normalized").unionByName(stored.filter("wikidata_id is not null").select("wikidata_id", "title_normalized"))
+    alone = F.col("lowest").isNull() | ((F.col("lowest") == F.col("wikidata_id")) & (F.col("highest") == F.col("wikidata_id")))
+    kept = holders.distinct().join(rivals, "title_normalized", "left").groupBy("wikidata_id").agg(F.bool_and(alone).alias("kept"))
+    first = bearing.groupBy("wikidata_id").agg(F.when(F.max("owner_id").isNull(), F.min("seq")).alias("first_at"))
+    return first.join(kept, "wikidata_id")
+
+
+def _since(records: DataFrame, by: list[str], known: Column) -> DataFrame:
+    """Records with ``settled`` and what they follow, given that nothing within a group of ``by`` takes its natural match away.
+
+    From the first record on that certainly leaves a match (one without an external id, or the first with it), or from the start if a
+    stored row matches (``known``), every record of the group that cannot move an external id goes where that one went.
+    """
+    leads = materialise(records.groupBy(*by).agg(F.min(F.when(F.col("leads"), F.col("seq"))).alias("lead")))
+    later = F.coalesce(F.col("seq") > F.col("lead"), F.lit(False))
+    marked = records.join(leads, by).withColumn("settled", F.col("harmless") & (known | later))
+    return marked.withColumns({"target_id": F.when(known, F.col("exact_id")), "follows": F.when(~known, F.col("lead"))}).drop("lead")
+
+
+def _with_segment(undated: DataFrame, acting: DataFrame) -> DataFrame:
+    """Undated records with ``segment``, the number of acting records of their key before them.
+
+    Counted by blocks of arrival numbers first, so no task orders all records of a key.
+    """
+    block = F.floor(F.col("seq") / BLOCK).alias("block")
+    rows = undated.select("*", block, F.lit(0).alias("acts")).unionByName(acting.select("title_normalized", "seq", block, F.lit(1).alias("acts")), allowMissingColumns=True)
+    rows = materialise(rows)
+    earlier = Window.partitionBy("title_normalized").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("title_normalized", "block").agg(F.sum("acts").alias("n"))
+    blocks = materialise(blocks.select("title_normalized", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")))
+    within = Window.partitionBy("title_normalized", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumn("here", F.sum("acts").over(within)).filter("acts = 0").join(blocks, ["title_normalized", "block"])
+    return counted.withColumn("segment", F.col("before") + F.col("here")).drop("block", "acts", "before", "here")
+
+
+def settle(records: DataFrame, stored: DataFrame) -> DataFrame:
+    """Records with ``settled``, and for those ``target_id`` or the earlier record whose target they share (``follows``).
+
+    A settled record changes no identity, and its target is certain without reading the records in sequence. Once a dated key has
+    a match, it has that match for good. An undated key keeps its match until a dated record of the same title acts, so it
+    is settled within each segment between those. ``records`` has ``exact_id`` and ``owner_id``, the stored matches.
+    """
+    externals = materialise(_kept(records, stored))
+    known = records.join(externals, "wikidata_id", "left")
+    harmless = F.col("wikidata_id").isNull() | (F.col("kept") & (F.col("first_at").isNull() | (F.col("seq") > F.col("first_at"))))
+    known = known.withColumns({"harmless": harmless, "leads": F.col("wikidata_id").isNull() | F.col("seq").eqNullSafe(F.col("first_at"))})
+    known = materialise(known.drop("kept", "first_at", "owner_id"))
+    matched = F.col("exact_id").isNotNull()
+    dated = materialise(_since(known.filter("year is not null"), ["title_normalized", "year"], matched))
+    placed = _with_segment(known.filter("year is null"), dated.filter("not settled").select("title_normalized", "seq"))
+    undated = _since(placed, ["title_normalized", "segment"], matched & (F.col("segment") == 0))
+    return dated.unionByName(undated.drop("segment")).drop("harmless", "leads", "exact_id")
+
+
+def _fold(stored: DataFrame, records: DataFrame) -> DataFrame:
+    """The rule in sequence, for records that are not settled and the stored rows that they can reach, by groups of these alone."""
+    identity = ["title_normalized", "year", "wikidata_id"]
+    keys = records.select("title_normalized").distinct().withColumn("by_key", F.lit(True))
+    ids = records.select("wikidata_id").filter("wikidata_id is not null").distinct().withColumn("by_id", F.lit(True))
+    reached = materialise(stored.join(keys, "title_normalized", "left").join(ids, "wikidata_id", "left").filter("by_key or by_id").select("id", *identity))
+    links = _linked_keys(reached.select(*identity).unionByName(records.select(*identity)))
+    if links.isEmpty():
+        labels = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    else:
+        labels = connected_components(links)
+    rows = reached.select(F.lit(True).alias("stored"), F.col("id").alias("position"), *identity).unionByName(
+        records.select(F.lit(False).alias("stored"), F.col("seq").alias("position"), *identity)
+    )
+    ordered = _with_component(rows, labels).repartition("component").sortWithinPartitions("component", F.col("stored").desc(), "position")
+    return ordered.select("component", "stored", "position", *identity).mapInPandas(_fold_identities, FOLD_OUTPUT)
+
+
 def resolve_identities(state: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, rows): where every incoming record goes, and the identity rows that change.
 
@@ -184,17 +265,17 @@ def resolve_identities(state: DataFrame, incoming: DataFrame) -> tuple[DataFrame
     fresh_rows = copies.filter("seq = first_seq").select(none.alias("target_id"), F.col("seq").alias("target_seq"), *identity)
 
     folding = summary.filter("route = 'fold'").select("component")
-    stream = (
-        placed.join(folding, "component", "left_semi")
-        .select("component", F.lit(True).alias("stored"), F.col("id").alias("position"), *identity)
-        .unionByName(
-            marked.join(folding, "component", "left_semi").select("component", F.lit(False).alias("stored"), F.col("seq").alias("position"), *identity)
-        )
-    )
-    ordered = stream.repartition("component").sortWithinPartitions("component", F.col("stored").desc(), "position")
-    folded = materialise(ordered.mapInPandas(_fold_identities, FOLD_OUTPUT))
+    mixed = marked.join(folding, "component", "left_semi").select("seq", *identity, "exact_id", "owner_id")
+    kept_rows = placed.join(folding, "component", "left_semi").select("id", *identity)
+    judged = materialise(settle(mixed, kept_rows))
+    rest = judged.filter("not settled").select("seq", *identity)
+    folded = materialise(_fold(kept_rows, rest))
     columns = ["seq", "target_id", "target_seq", "title_normalized", "year"]
-    all_records = still.unionByName(fresh).unionByName(folded.filter("kind = 'record'").select(*columns))
+    stays = judged.filter("settled and target_id is not null").select("seq", "target_id", none.alias("target_seq"), "title_normalized", "year")
+    led = folded.filter("kind = 'record'").select(F.col("seq").alias("follows"), *columns[1:])
+    followers = judged.filter("settled and target_id is null").select("seq", "follows").join(led, "follows").select(*columns)
+    settled = stays.unionByName(followers)
+    all_records = still.unionByName(fresh).unionByName(settled).unionByName(folded.filter("kind = 'record'").select(*columns))
     all_rows = fresh_rows.unionByName(folded.filter("kind = 'row'").select("target_id", "target_seq", *identity))
     return all_records, all_rows
 

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from playbill.operators import upsert as up
 from playbill.operators.upsert import resolve_identities
 from playbill.plans import dedup as dd, load as ld
 from playbill.schema import CINEMAS, FILMS, SHOWINGS, conform
@@ -152,6 +153,46 @@ def test_upsert_routes_equal_the_sequential_rule(spark, seed):
     assert touched <= moved and {m[0] for m in moved} >= {t[0] for t in touched}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_settled_records_follow_the_sequential_rule(spark, seed, monkeypatch):
+    """Two hundred small worlds at once, in blocks of a few arrival numbers: keys and ids of a world touch no other."""
+    import random
+
+    monkeypatch.setattr(up, "BLOCK", 5)
+    rnd, state, batch, want, final = random.Random(seed), [], [], [], []
+    for world in range(200):
+        keys, ids = [f"w{world}k{n}" for n in range(rnd.choice((1, 1, 2, 3)))], [f"w{world}Q{n}" for n in range(rnd.choice((1, 1, 2, 4)))]
+        year = lambda: rnd.choice([None, 1990, 2000, 2010])
+        ext = lambda: rnd.choice([None, None, *ids])
+        own = [(world * 10 + n, rnd.choice(keys), year(), ext()) for n in range(rnd.randrange(4))]
+        # Stored rows never share an external id.
+        own = [r for n, r in enumerate(own) if r[3] is None or r[3] not in {o[3] for o in own[:n]}]
+        mine = [(world * 100 + n, rnd.choice(keys), year(), ext()) for n in range(rnd.randrange(1, 25))]
+        got, rows_ = sequential(own, mine)
+        state, batch, want, final = state + own, batch + mine, want + got, final + rows_
+    ddl = "title_normalized string, year int, wikidata_id string"
+    records, changed = resolve_identities(spark.createDataFrame(state, "id long, " + ddl), spark.createDataFrame(batch, "seq long, " + ddl))
+    got = sorted((r.seq, r.target_id if r.target_id is not None else ("new", r.target_seq), r.title_normalized, r.year) for r in records.collect())
+    assert got == sorted(want)
+    before = {s[0]: s for s in state}
+    touched = {(r["id"], r["key"], r["year"], r["ext"]) for r in final if before.get(r["id"]) != (r["id"], r["key"], r["year"], r["ext"])}
+    moved = {(r.target_id if r.target_id is not None else ("new", r.target_seq), r.title_normalized, r.year, r.wikidata_id) for r in changed.collect()}
+    assert touched <= moved and {m[0] for m in moved} >= {t[0] for t in touched}
+
+
+def test_a_large_mixed_group_leaves_little_to_fold(spark):
+    """One film with a million records, with and without year and id: no more than its forms are read in sequence."""
+    n = 1_000_000
+    seq, none = F.col("id").alias("seq"), F.lit(None)
+    year = F.when(F.col("id") % 3 > 0, 1950 + F.floor(F.col("id") / 40_000) + F.col("id") % 5).cast("int").alias("year")
+    ext = F.when(F.col("id") % 2 == 0, F.lit("Q1")).otherwise(none).alias("wikidata_id")
+    batch = spark.range(n).select(seq, F.lit("film").alias("title_normalized"), year, ext, none.cast("long").alias("exact_id"), none.cast("long").alias("owner_id"))
+    stored = spark.createDataFrame([], "id long, title_normalized string, year int, wikidata_id string")
+    judged = up.settle(batch, stored)
+    counts = judged.agg(F.count("*"), F.sum(F.col("settled").cast("int"))).first()
+    assert counts[0] == n and n - counts[1] < 400
+
+
 def store_films(spark, items):
     return conform(rows(spark, [{"title_normalized": i["title"].lower(), **i} for i in items], "id long, title string, title_normalized string, year int, director string, wikidata_id string, poster_url string"), FILMS)
 
