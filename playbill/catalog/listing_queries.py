@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.catalog import sql
 from playbill.catalog.bindings import Data
 from playbill.catalog.registry import Registry
 from playbill.operators import grouping as gr, joins as jn
+from playbill.plans import search_index as si
+from playbill.session import checkpoint_root
 
 DAY, QUERY = "1998-03-02", "bolt"
 registry = Registry()
@@ -123,6 +129,21 @@ def _(d: Data) -> DataFrame:
     return d.listing.search(f" {QUERY.upper()}! ").select(*FILM)
 
 
+_NEEDLES = [QUERY, "blue bolt", "bo", "no such film", "steel"]
+
+
+@query("search_films_indexed", f"""{sql.STORE}, n AS (SELECT unnest({_NEEDLES}) AS needle)
+ SELECT needle, id, title, year FROM (SELECT *, row_number() OVER (PARTITION BY needle ORDER BY title, id) AS k FROM films, n
+  WHERE removed_at IS NULL AND contains(title_normalized, needle)) WHERE k <= 20""")
+def _(d: Data) -> DataFrame:
+    root = f"{checkpoint_root(d.spark)}/playbill/{uuid.uuid4().hex}"
+    si.update_index(d.films.filter("id % 2 = 0"), root)
+    si.update_index(d.films, root)
+    listing = replace(d.listing, index=root)
+    found = [listing.search(n).select(F.lit(n).alias("needle"), "id", "title", "year") for n in _NEEDLES]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("search_with_cinemas", f"""{sql.STORE}, {sql.ACTIVE}, found AS (SELECT * FROM films WHERE removed_at IS NULL AND contains(title_normalized, 'blue {QUERY}')
  ORDER BY title, id LIMIT 50) SELECT f.id, f.title, coalesce(string_agg(DISTINCT c.name, '|' ORDER BY c.name), '') AS cinema_names FROM found f
  LEFT JOIN active s ON s.film_id = f.id AND s.date BETWEEN DATE '{DAY}' AND DATE '{DAY}' + 7 LEFT JOIN cinemas c ON c.slug = s.cinema_slug GROUP BY f.id, f.title""")

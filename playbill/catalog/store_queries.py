@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,7 +11,7 @@ from playbill.catalog import sql
 from playbill.catalog.bindings import Data
 from playbill.catalog.registry import Registry
 from playbill.operators import components as cc, grouping as gr, joins as jn, lifecycle as lc, ranking as rk, similarity as sm, upsert as up
-from playbill.plans import dedup as dd, load as ld
+from playbill.plans import dedup as dd, history as hs, load as ld
 from playbill.schema import CINEMAS, FILMS, SHOWINGS, conform
 from playbill.session import checkpoint_root
 
@@ -473,3 +474,21 @@ def _(d: Data) -> DataFrame:
 def _(d: Data) -> DataFrame:
     shows = d.table("orders").select("o_custkey", F.col("o_orderpriority").alias("cinema_slug"), F.to_date("o_orderdate").alias("date"), F.array("o_orderstatus").alias("times"), "o_orderstatus")
     return lc.changed_keys(shows.filter("o_orderstatus <> 'P'"), shows.filter("o_orderstatus <> 'F'"), "o_custkey")
+
+
+@query("history_of_days", """WITH o AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, CAST(o_orderdate AS DATE) AS d FROM orders),
+ days AS (SELECT unnest([DATE '1995-01-31', DATE '1996-01-31', DATE '1997-01-31']) AS day),
+ s AS (SELECT day, o_orderpriority, CASE WHEN d > day - 365 AND o_orderstatus = 'O' THEN 'P' ELSE o_orderstatus END AS status FROM o, days WHERE d <= day AND (o_orderkey % 5 <> 0 OR d > day - 365))
+ SELECT CAST(day AS VARCHAR) AS day, o_orderpriority, status, count(*) AS orders FROM s GROUP BY ALL""")
+def _(d: Data) -> DataFrame:
+    # A table as it is on four days: orders come, change their status after a year, and some go. The first two days are folded later.
+    root = f"{checkpoint_root(d.spark)}/playbill/{uuid.uuid4().hex}"
+    orders = d.table("orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", F.to_date("o_orderdate").alias("d"))
+    days = ("1995-01-31", "1996-01-31", "1997-01-31", "1998-01-31")
+    for day in days:
+        new = F.col("d") > F.date_sub(F.lit(day).cast("date"), 365)
+        there = orders.filter((F.col("d") <= F.lit(day).cast("date")) & ((F.col("o_orderkey") % 5 != 0) | new))
+        hs.record_day(there.withColumn("status", F.when(new & (F.col("o_orderstatus") == "O"), "P").otherwise(F.col("o_orderstatus"))), day, root)
+    hs.compact(d.spark, root, days[1])
+    past = [hs.as_of(d.spark, root, day).select(F.lit(day).alias("day"), "o_orderpriority", "status") for day in days[:3]]
+    return reduce(DataFrame.unionByName, past).groupBy("day", "o_orderpriority", "status").agg(F.count("*").alias("orders"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.functions import text as tx
 from playbill.operators import grouping as gr, joins as jn
+from playbill.plans import search_index as si
 
 FILM_OUT = ("id", "title", "original_title", "year", "runtime_minutes", "genres", "director", "poster_url", "synopsis")
 MIN_QUERY_LENGTH = 2
@@ -24,11 +25,15 @@ def _date(value) -> Column:
 
 @dataclass(frozen=True)
 class Listing:
-    """Queries over one version of the three store tables."""
+    """Queries over one version of the three store tables.
+
+    ``index`` names an index of the films' keys (:mod:`playbill.plans.search_index`) that is up to date with them.
+    """
 
     films: DataFrame
     showings: DataFrame
     cinemas: DataFrame
+    index: str | None = None
 
     def films_between(self, date_from, date_to) -> DataFrame:
         """Films in programming in a range, both ends included."""
@@ -45,7 +50,10 @@ class Listing:
         needle = tx.store_key(F.lit(query))
         found = (needle != "") & F.contains(F.col("title_normalized"), needle)
         wanted = F.lit(len(query.strip()) >= MIN_QUERY_LENGTH)
-        return jn.active_films(self.films).filter(wanted & found)
+        films = self.films
+        if self.index is not None:
+            films = si.only_candidates(films, self.index, films.sparkSession.range(1).select(needle).first()[0])
+        return jn.active_films(films).filter(wanted & found)
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
         """Active films whose key contains the query, by title; a top-k, not a full sort."""

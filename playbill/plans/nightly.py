@@ -8,6 +8,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 
 from playbill.operators import fuse as fz, lifecycle as lc
+from playbill.plans import history as hs
 from playbill.schema import FILM_RECORD, SHOWING_RECORD, conform
 from playbill.session import materialise
 from playbill.sources import tables as tb
@@ -73,11 +74,22 @@ def run_nightly(
     )
 
 
-def publish_run(result: NightlyResult, cinemas: DataFrame, window: list[str], state_root: str, snapshot_root: str, version: int, today: str) -> None:
-    """Write the state, its dated copy, the snapshot and the errors of the day."""
+def publish_run(
+    result: NightlyResult, cinemas: DataFrame, window: list[str], state_root: str, snapshot_root: str, version: int, today: str, nested_copy: bool = True
+) -> None:
+    """Write the state, what changed in it that day, the snapshot and the errors of the day.
+
+    ``nested_copy`` also writes the exchange form of the whole state for the day. Large states go without: any past day of theirs is read
+    with :func:`past_state`.
+    """
     tb.publish({"films": result.state_films, "showings": result.state_showings}, state_root, version, {"showings": "date"})
     tb.write_snapshot(result.films, result.showings, cinemas, window[0], window[-1], snapshot_root, version)
-    tb.archive_snapshot(tb.nest_state(result.state_films, result.state_showings), today, f"{state_root}/history")
+    keys = result.state_films.select("arrival_seq", "title_normalized")
+    # Numbers of a run are no part of what is listed: with them every row would be another one each night.
+    hs.record_day(result.state_films.drop("arrival_seq"), today, f"{state_root}/days/films")
+    hs.record_day(result.state_showings.join(keys, "arrival_seq").drop("arrival_seq", "showing_seq"), today, f"{state_root}/days/showings")
+    if nested_copy:
+        tb.archive_snapshot(tb.nest_state(result.state_films, result.state_showings), today, f"{state_root}/history")
     tb.replace_errors_for_day(result.errors, today, f"{state_root}/log")
 
 
@@ -86,6 +98,11 @@ def previous_state(spark, state_root: str) -> tuple[DataFrame, DataFrame]:
     return tb.read_previous(spark, state_root, "films", lc.STATE_FILMS), tb.read_previous(spark, state_root, "showings", SHOWING_RECORD)
 
 
+def past_state(spark, state_root: str, day: str) -> tuple[DataFrame, DataFrame]:
+    """(films, showings) of the state as it was after the run of a day; showings name their film by ``title_normalized``."""
+    return hs.as_of(spark, f"{state_root}/days/films", day), hs.as_of(spark, f"{state_root}/days/showings", day)
+
+
 def run_window(today: str, days: int = 8) -> list[str]:
     """ISO dates a run covers: today and the following days."""
     first = date.fromisoformat(today)

@@ -111,22 +111,28 @@ def commit(spark: SparkSession, root: str, manifest: Manifest) -> Manifest:
     return manifest
 
 
-def write(table: DataFrame, root: str, name: str, key: Column | None = None) -> Part:
-    """Write rows into a new folder, by partition key if one is given. No version names it yet."""
+def write(table: DataFrame, root: str, name: str, key: Column | None = None, order: Iterable[str] = ()) -> Part:
+    """Write rows into a new folder, by partition key if one is given, then in some order within files. No version names it yet."""
     spark, folder = table.sparkSession, f"{name}/{uuid.uuid4().hex}"
     if key is None:
         table.write.mode("errorifexists").parquet(f"{root}/{folder}")
         return Part(table.schema.json(), {"": folder})
     # Rebalanced by size: few files for small partitions, several for large ones. The columns stay in the files.
     keyed = table.withColumn(KEY, key.cast("string")).hint("rebalance", KEY)
+    if order:
+        keyed = keyed.sortWithinPartitions(KEY, *order)
     keyed.write.mode("errorifexists").partitionBy(KEY).parquet(f"{root}/{folder}")
     found = [n for n in _children(spark, f"{root}/{folder}") if n.startswith(f"{KEY}=")]
     return Part(table.schema.json(), {n.removeprefix(f"{KEY}="): f"{folder}/{n}" for n in found})
 
 
+def schema_of(text: str) -> StructType:
+    return StructType.fromJson(json.loads(text))
+
+
 def read(spark: SparkSession, root: str, part: Part, keys: Iterable[str] | None = None) -> DataFrame:
     """The rows of a table, or those of some partition keys; other folders are neither listed nor opened."""
-    schema = StructType.fromJson(json.loads(part.schema))
+    schema = schema_of(part.schema)
     wanted = part.folders if keys is None else {k: part.folders[k] for k in keys if k in part.folders}
     if not wanted:
         return spark.createDataFrame([], schema)
