@@ -80,6 +80,9 @@ def test_two_runs_end_to_end(spark, tmp_path):
     assert (snapshot.date_from, snapshot.date_to) == ("2026-09-26", "2026-10-03")
     assert rows(ny.previous_state(spark, state)[0], "title", "status")[0] == ("Alien", lc.ACTIVE)
     assert spark.read.parquet(f"{state}/history").select("run_date").distinct().count() == 2
+    now, before = ny.past_state(spark, state, "2026-09-26"), ny.past_state(spark, state, "2026-09-25")
+    assert rows(now[0], "title", "history") == rows(ny.previous_state(spark, state)[0], "title", "history") != rows(before[0], "title", "history")
+    assert rows(now[1], "cinema_slug", "date", "times") == rows(ny.previous_state(spark, state)[1], "cinema_slug", "date", "times")
     empty = ld.Store(*[spark.createDataFrame([], ddl) for ddl in (CINEMAS, FILMS, SHOWINGS)])
     loaded = ld.load_snapshot(empty, snapshot, F.lit("2026-09-26").cast("timestamp"))
     assert rows(loaded.store.films, "title_normalized", "year") == [("dune 3d", 2021)] and loaded.store.showings.count() == 3
