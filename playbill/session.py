@@ -82,8 +82,13 @@ def materialise(df: DataFrame, *metrics: Column) -> DataFrame | tuple[DataFrame,
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that :func:`materialise` wrote and that nothing will read any more."""
+    """Delete tables that :func:`materialise` wrote and that nothing will read any more.
+
+    Spark deletes shuffle files when the driver's memory of them is collected, which a small plan may not cause for long: ask for it.
+    """
     for table in tables:
         spark = table.sparkSession
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.folder)
         folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
