@@ -341,17 +341,20 @@ def extract_push_payload(pages: DataFrame, page_id: str = "url") -> tuple[DataFr
     An entry may appear several times in the stream: details come from the first that has them,
     the synopsis is the fullest, and shows add up without repeating a date and time.
     """
-    raw = mk.push_entries(pages, page_id).filter(~F.contains("permalink", F.lit("/eventi/")))
+    # Pages are read once: entries and shows both come from this table.
+    raw = materialise(mk.push_entries(pages, page_id).filter(~F.contains("permalink", F.lit("/eventi/"))))
     details = F.from_json("details", DETAILS)
     read = raw.withColumns({"details": F.when(F.col("details") != "{}", details), "shows": F.from_json("shows", SHOWS)})
     key = ["page_id", "permalink"]
     shows = read.select(*key, "seq", F.posexplode("shows").alias("i", "show")).select(*key, "seq", "i", "show.*")
     shows = shows.groupBy(*key, "date", "orario").agg(F.min_by("opzioni", F.struct("seq", "i")).alias("opzioni"))
-    entries = read.groupBy(*key).agg(
+    # Entries without any show are left out, which their own rows tell; those of a page without address belong to none.
+    entries = read.filter("page_id is not null").groupBy(*key).agg(
         F.min("seq").alias("seq"), F.min_by("title", "seq").alias("title"), F.min_by("slug", "seq").alias("slug"),
         gr.first_value(F.col("details"), F.col("seq")).alias("details"), tx.fullest(F.col("content"), F.col("seq")).alias("content"),
+        F.max(F.coalesce(F.size("shows"), F.lit(0))).alias("_shows"),
     )
-    return entries.join(shows.select(*key), key, "left_semi"), shows
+    return entries.filter("_shows > 0").drop("_shows"), shows
 
 
 def drop_event_stubs(entries: DataFrame) -> DataFrame:
