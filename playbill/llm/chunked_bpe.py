@@ -10,6 +10,7 @@ to find a space on either side. The ids are then exactly those of the whole text
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ MEAN, LEAST = 1024, 256
 WINDOW = 32
 #: Documents that one copy of a shared chunk serves, about.
 BORROWERS = 1000
+#: Rows that are Python objects at once: what a text has borrowed or lends may be many times its own size.
+HELD = 64
 NO_ID = -(2**63)
 GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=4).digest() for b in range(256)), "<u4")
 
@@ -79,6 +82,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("version"), "text")
 
 
+def _held(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, few of them as Python objects at a time."""
+    for at in range(0, batch.num_rows, HELD):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, HELD).columns), strict=True)
+
+
 def chunk_rows(docs: DataFrame) -> DataFrame:
     """(key, version, pos, h1, h2, start, size) of every chunk of every row."""
 
@@ -116,7 +125,7 @@ def lent(packed: DataFrame, shared: DataFrame, tokenizer: str) -> DataFrame:
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         of, unpack, pack = word_bpe(tokenizer).encode, zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         found: dict[tuple[int, int], tuple] = {}
-        for data, owned in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for data, owned in _held(batch):
             text = unpack(data)
             for c in owned:
                 chunk = text[c["start"] : c["start"] + c["size"]].decode()
@@ -154,7 +163,7 @@ def encoded(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame
         bpe, unpack = word_bpe(tokenizer), zstandard.ZstdDecompressor().decompress
         of = bpe.encode
         rows = []
-        for key, data, loans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, data, loans in _held(batch):
             text = unpack(data)
             if loans:
                 known = {x["pos"]: x for x in loans}

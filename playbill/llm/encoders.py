@@ -1,7 +1,7 @@
 """Fast, exact encoders for two kinds of public BPE vocabularies.
 
-Both give the ids that the ``tokenizers`` library gives for the same file. Their speed comes from a cache
-of encoded words and from ``tiktoken`` for words not seen before, with merge ranks read from the same file.
+Both give the ids that the ``tokenizers`` library gives for the same file. Their speed comes from ``tiktoken``, with merge
+ranks read from the same file, and for byte-level vocabularies from a cache of encoded words.
 What that path does not cover with certainty (special strings, characters whose Unicode class or case may
 differ between libraries, control characters) is encoded by ``tokenizers`` itself, text by text.
 """
@@ -13,6 +13,7 @@ import re
 from array import array
 from functools import cache
 
+import numpy as np
 import regex
 import tiktoken
 from tokenizers import Tokenizer
@@ -101,36 +102,28 @@ class WordBpe:
         end = "\0"
         of_byte = {b: c for c, b in to_byte.items()}
         ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 0]): 256 + b for b in range(1, 256)}
-        self.id_of = {b: vocab[of_byte[b]] for b in range(256)} | {256 + b: vocab[of_byte[b] + END] for b in range(1, 256)}
+        id_of = {b: vocab[of_byte[b]] for b in range(256)} | {256 + b: vocab[of_byte[b] + END] for b in range(1, 256)}
         for k, pair in enumerate(model["model"]["merges"]):
             token = "".join(pair) if isinstance(pair, list) else pair.replace(" ", "")
             stem = token.removesuffix(END)
             ranks[bytes(to_byte[c] for c in stem) + (b"\0" if stem != token else b"")] = 512 + k
-            self.id_of[512 + k] = vocab[token]
+            id_of[512 + k] = vocab[token]
+        self.id_of = np.zeros(max(id_of) + 1, "<u4")
+        self.id_of[list(id_of)] = list(id_of.values())
         # The fixed pattern of this pre-tokenizer.
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.fast = tiktoken.Encoding("word-bpe", pat_str=rf"[^{end}]+{end}", mergeable_ranks=ranks, special_tokens={})
         self.exact = Tokenizer.from_file(path)
         self.exact.no_truncation()
         self.exact.no_padding()
-        self.words = _Words(self._word)
         self.tokens = {k: t for t, k in self.exact.get_vocab(with_added_tokens=True).items()}
 
-    def _word(self, word: str) -> bytes:
-        stem, last = word[:-1], word[-1]
-        if word.isalpha():
-            marked = word + "\0"
-        elif last in ".," and stem.isalpha():
-            marked = f"{stem}\0{last}\0"
-        else:
-            marked = "".join(f"{part}\0" for part in self.pattern.findall(word))
-        id_of = self.id_of
-        return ids_bytes([id_of[k] for k in self.fast.encode_ordinary(marked)])
-
     def encode(self, text: str) -> bytes:
+        """All words at once; most are letters with or without a stop."""
         if not sure(text):
             return ids_bytes(self.exact.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.words.__getitem__, text.lower().split()))
+        parts = [w if w.isalpha() else f"{w[:-1]}\0{w[-1]}" if w[-1] in ".," and w[:-1].isalpha() else "\0".join(self.pattern.findall(w)) for w in text.lower().split()]
+        return self.id_of[self.fast.encode_ordinary("\0".join([*parts, ""]))].tobytes() if parts else b""
 
     def decode(self, ids: bytes) -> str:
         """The file names no decoder, so the library joins tokens with spaces."""
