@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from playbill.llm.encoders import word_bpe
 from playbill.llm.tables import map_rows, partitions, texts
+from playbill.session import materialise
 
 END_ID = 1
 #: Settings of the writer: bytes of a stripe, rows of a row group, share of wrong answers of the Bloom filter.
@@ -66,7 +67,8 @@ def index(files: DataFrame) -> DataFrame:
 
     # Files are named by their place in the order; a row's number tells rows apart that share a doc_id.
     named = files.select("doc_id", "ids", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("file"), F.monotonically_increasing_id().alias("row"))
-    return located(map_rows(named, figures, "doc_id long, n_tokens long, ids_crc32 long, file int, row long"))
+    # A table, as both the sums per file and the rows come from it.
+    return located(materialise(map_rows(named, figures, "doc_id long, n_tokens long, ids_crc32 long, file int, row long")))
 
 
 def located(rows: DataFrame) -> DataFrame:
