@@ -14,19 +14,19 @@ from __future__ import annotations
 import html
 import json
 import re
+import zlib
 from dataclasses import dataclass, field
 from functools import cache
 from os.path import commonprefix
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from playbill.llm.tables import map_rows
+from playbill.session import materialise
 
-#: Pages of a host that its wrapper is inferred from, drawn by a hash of the page. They are aligned whole.
+#: Pages of a host that one wrapper is inferred from, at least and on average at most twice as many. They are aligned whole.
 PAGES = 6
-#: Tasks among which a host's pages are divided.
-SALTS = 32
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 #: Elements whose content is never text of the page, and those that end with their own tag whatever they hold.
@@ -207,6 +207,18 @@ def _square(line: list[str], at: int, before: list[str]) -> int | None:
     return None
 
 
+def _ahead(wrapper: list[Node], at: int, before: list[str]) -> list[str]:
+    """The signs from ``at`` on, parts aside, as far as :func:`_square` looks at them."""
+    line, depth = [], 0
+    for k in range(at, len(wrapper)):
+        if wrapper[k].kind in "<>#*":
+            line.append(wrapper[k].sign)
+            depth += {"<": 1, ">": -1}.get(line[-1][0], 0)
+            if depth < 0 or depth == 0 and len(line) > 1 and before and line[-1] == before[-1]:
+                break
+    return line
+
+
 def _matching(before: list[str], square: list[str]) -> int | None:
     """How many signs at the end of ``before`` the square repeats, texts aside."""
     k, j = len(before) - 1, len(square) - 1
@@ -222,11 +234,11 @@ def _matching(before: list[str], square: list[str]) -> int | None:
     return len(before) - 1 - k
 
 
-def _repeated(wrapper: list[Node], square: list[str]) -> bool:
-    """Make the end of ``wrapper`` that the square repeats a repeated part."""
+def _repeated(wrapper: list[Node], before: list[str], square: list[str]) -> bool:
+    """Make the end of ``wrapper``, whose signs are ``before``, that the square repeats a repeated part."""
     if wrapper and wrapper[-1].kind == "+" and _matching(_flat(wrapper[-1]), square):
         return True
-    size = _matching([s for n in wrapper for s in _flat(n)], square)
+    size = _matching(before, square)
     count, k = 0, len(wrapper)
     while k > 0 and count < (size or 0):
         k -= 1
@@ -257,15 +269,15 @@ def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
             continue
         # Does the page repeat the square before? Then so does the wrapper.
         end = _square(signs, j, before)
-        if end is not None and _repeated(out, signs[j:end]):
+        if end is not None and _repeated(out, before, signs[j:end]):
             while (more := _take(out[-1], page, j)) is not None and more > j:
                 j = more
             if j >= end:
                 continue
         # Or does the wrapper, where the page has fewer?
-        line = [s for n in wrapper[i:] for s in _flat(n)[:1] if n.kind in "<>#*"] if node.kind in "<>#*" else []
+        line = _ahead(wrapper, i, before) if node.kind in "<>#*" else []
         end = _square(line, 0, before) if line and all(n.kind in "<>#*" for n in wrapper[i : i + 1]) else None
-        if end is not None and all(n.kind in "<>#*" for n in wrapper[i : i + end]) and _repeated(out, line[:end]):
+        if end is not None and all(n.kind in "<>#*" for n in wrapper[i : i + end]) and _repeated(out, before, line[:end]):
             i += end
             continue
         # Otherwise one side has a part that the other lacks: whichever is over sooner.
@@ -422,19 +434,23 @@ def host(url: str | Column) -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, path): where each host's main text lies, from up to :data:`PAGES` of its pages.
+    """(host, path): where each host's main text lies, from all of its pages.
 
-    A few pages per host and task are kept before anything is moved, and a few per host in the end.
+    A host's pages are dealt by a hash to groups of a few; each group is aligned to a wrapper, and the path that the wrappers of most
+    different pages give is the host's. Of equal paths in number the shortest wins, as it holds most.
     """
-    given = pages.select(host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    order = Window.partitionBy("host").orderBy(F.xxhash64("html"), "html")
-    drawn = given.filter("html <> ''").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PAGES)
+    given = pages.select(host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html"), F.xxhash64("page_id", "url", "html").alias("deal")).filter("html <> ''")
+    # A row for each host, whose size is known once it is written.
+    groups = materialise(given.groupBy("host").agg(F.greatest(F.lit(1), F.floor(F.count("*") / PAGES)).alias("groups")))
+    dealt = given.join(groups, "host").select("host", F.pmod("deal", "groups").alias("group"), "html")
 
     def learn(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        found = sorted(zip(group["place"].to_pylist(), group["html"].to_pylist(), strict=True))
-        return pa.table({"host": [key[0].as_py()], "path": [json.dumps(main_path(infer([h for _, h in found])))]})
+        found = sorted(set(group["html"].to_pylist()), key=lambda h: (zlib.crc32(h.encode()), h))
+        return pa.table({"host": [key[0].as_py()], "path": [json.dumps(main_path(infer(found)))], "votes": pa.array([len(found)], pa.int64())})
 
-    return drawn.groupBy("host").applyInArrow(learn, "host string, path string")
+    told = dealt.groupBy("host", "group").applyInArrow(learn, "host string, path string, votes long")
+    votes = told.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    return votes.groupBy("host").agg(F.max_by("path", F.struct("votes", -F.length("path"), "path")).alias("path"))
 
 
 @cache
@@ -445,12 +461,10 @@ def _path(text: str) -> list[str]:
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row: its main text by its host's wrapper; empty for a null or empty page.
 
-    Pages are moved by host and a salt, so that a host with a third of all pages fills many tasks.
+    Pages are not moved while the paths of all hosts are few enough to be sent to them; more are joined by host.
     """
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    given = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host("url").alias("host"), salt.alias("salt"))
-    known = wrappers(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = given.join(known, ["host", "salt"], "left").select("page_id", "url", "html", "path")
+    given = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host("url").alias("host"))
+    joined = given.join(materialise(wrappers(pages)), "host", "left").select("page_id", "url", "html", "path")
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [extract(h, _path(p or "[]")) if h else "" for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
