@@ -91,6 +91,11 @@ def parse_minutes(text: Column) -> Column:
 _ISO_START = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}:?\d{2}(?::?\d{2})?)?)?$"
 
 
+# Stamps that are certain to be right, as they stand: a day that exists in every year, hours and minutes in range.
+_DAY = r"[1-9]\d{3}-(?:(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8])|(?:0[13-9]|1[0-2])-(?:29|30)|(?:0[13578]|1[02])-31)"
+_CLOCK = r"[T ](?:[01]\d|2[0-3]):[0-5]\d(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?"
+
+
 def _start_text(text: Column) -> Column:
     text = strip(text)
     day = F.substring(text, 1, 10).try_cast("date")
@@ -101,16 +106,18 @@ def _start_text(text: Column) -> Column:
 
 def start_date(text: Column) -> Column:
     """Calendar date (ISO text) of a start stamp, as written: the offset is never applied."""
-    return F.substring(_start_text(text), 1, 10)
+    day = F.substring(text, 1, 10)
+    return F.when(text.rlike(rf"^{_DAY}(?:{_CLOCK})?\z"), day).otherwise(F.substring(_start_text(text), 1, 10))
 
 
 def start_time(text: Column) -> Column:
     """Wall-clock ``HH:MM`` of a start stamp, as written; a bare date starts at 00:00."""
+    usual = F.when(text.rlike(rf"^{_DAY}{_CLOCK}\z"), F.substring(text, 12, 5))
     text = _start_text(text)
     hour = F.regexp_extract(text, r"^.{11}(\d{2})", 1)
     minute = F.regexp_extract(text, r"^.{11}\d{2}:?(\d{2})", 1)
     padded = F.concat_ws(":", *[F.when(part == "", "00").otherwise(part) for part in (hour, minute)])
-    return F.when(text.isNotNull(), padded)
+    return F.coalesce(usual, F.when(text.isNotNull(), padded))
 
 
 def compact_date(text: Column) -> Column:
@@ -174,7 +181,9 @@ def absolute_url(url: Column, base: Column) -> Column:
         .when(url.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), url))
         .otherwise(F.concat(folder, url))
     )
-    joined = without_dots(joined)
+    # No dot segment comes from elsewhere; telling so is cheaper than reading the address once more.
+    dots = F.contains(url, F.lit("/.")) | url.startswith(".") | F.contains(base, F.lit("/."))
+    joined = F.when(dots, without_dots(joined)).otherwise(joined)
     return (
         F.when(blank(url), None)
         .when(url.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), url)

@@ -29,8 +29,8 @@ def position(*parts: tuple[Column, int]) -> Column:
 
     A decimal has room for any number of landed bodies with any number of items.
     """
-    number = F.lit(0).cast(SEQ)
-    for part, bits in parts:
+    number = parts[0][0].cast(SEQ)  # nothing is before the first part
+    for part, bits in parts[1:]:
         number = (number * F.lit(2**bits).cast("decimal(20,0)") + part.cast(SEQ)).cast(SEQ)
     return number
 
@@ -55,31 +55,42 @@ def _site_url(url: Column, base_url: str) -> Column:
     return F.when(url.startswith("http"), url).otherwise(vl.absolute_url(url, F.lit(base_url)))
 
 
+#: What is read of a session payload, in one pass over it; what has another shape is null.
+_SESSION = "struct<startTime:string,showTime:string,screenName:string,attributes:array<struct<name:string,value:string,attributeType:string>>>"
+_SESSION_FILM = (
+    "struct<filmUrl:string,filmId:string,runningTime:string,isDurationUnknown:boolean,filmTitle:string,title:string,posterImageSrc:string,panelImageUrl:string,"
+    f"synopsisShort:string,synopsis:string,genres:variant,director:string,showingGroups:array<struct<date:string,sessions:array<{_SESSION}>>>>"
+)
+
+
 def flatten_session_api(payloads: DataFrame, base_url: str, cinema_url: str) -> tuple[DataFrame, DataFrame]:
     """Films → groups by date → sessions → attributes. One showing per session with a time."""
     # Intermediate values get columns of their own, so that each is computed once per row.
-    parsed = payloads.select("source_slug", "landed_seq", F.try_parse_json("body").alias("root"))
-    root = F.col("root")
-    films = F.coalesce(_list(root, "result"), _list(root, "films"), *[_list(root, f"{a}.{b}") for a in ("result", "films") for b in ("films", "items")])
-    rows = parsed.select("source_slug", "landed_seq", films.alias("films")).select("source_slug", "landed_seq", F.posexplode("films").alias("i", "film"))
+    listed = payloads.select("source_slug", "landed_seq", F.try_parse_json("body").alias("root"), F.lit(None).cast(f"array<{_SESSION_FILM}>").alias("films"))
+    for path in ("result", "films", "result.films", "result.items", "films.films", "films.items"):
+        # The first list with items counts; the next path is only read if there was none.
+        tried = F.when(F.size("films") > 0, F.col("films")).otherwise(F.try_variant_get("root", f"$.{path}", f"array<{_SESSION_FILM}>"))
+        listed = listed.withColumn("films", tried)
+    # The outer forms of explode: for the others the planner adds filters that would read every list again.
+    rows = listed.select("source_slug", "landed_seq", F.posexplode_outer("films").alias("i", "film"))
+    said = lambda row, *fields: F.coalesce(*[filled(F.col(row)[f]) for f in fields])
     film = F.col("film")
-    url = _text(film, "filmUrl")
-    film_id = _text(film, "filmId")
+    film_id = said("film", "filmId")
     fallback = F.when(film_id.isNotNull(), F.concat(F.lit(f"{base_url}/film/"), film_id)).otherwise(F.lit(cinema_url))
-    minutes = _text(film, "runningTime")
-    unknown = F.coalesce(F.try_variant_get(film, "$.isDurationUnknown", "boolean"), F.lit(False))
+    minutes = said("film", "runningTime")
+    unknown = F.coalesce(film["isDurationUnknown"], F.lit(False))
     rows = rows.select(
         "source_slug",
         position((F.col("landed_seq"), 0), (F.col("i"), 24)).alias("seq"),
-        _text(film, "filmTitle", "title").alias("title"),
-        url.alias("link"),
+        said("film", "filmTitle", "title").alias("title"),
+        said("film", "filmUrl").alias("link"),
         fallback.alias("fallback"),
-        _text(film, "posterImageSrc", "panelImageUrl").alias("image"),
-        _text(film, "synopsisShort", "synopsis").alias("description"),
+        said("film", "posterImageSrc", "panelImageUrl").alias("image"),
+        said("film", "synopsisShort", "synopsis").alias("description"),
         F.when((minutes != "0") & ~unknown, F.concat(minutes, F.lit(" min"))).alias("duration"),
-        vl.variant_genres(F.try_variant_get(film, "$.genres", "variant")).alias("genres"),
-        filled(tx.strip(_text(film, "director"))).alias("director"),
-        F.try_variant_get(film, "$.showingGroups", "array<variant>").alias("groups"),
+        vl.variant_genres(film["genres"]).alias("genres"),
+        filled(tx.strip(said("film", "director"))).alias("director"),
+        film["showingGroups"].alias("groups"),
     ).filter("title is not null")
     rows = rows.withColumns(
         {
@@ -92,21 +103,20 @@ def flatten_session_api(payloads: DataFrame, base_url: str, cinema_url: str) ->
     rows = materialise(rows)
     films_out = rows.withColumns({"source_poster": F.col("poster"), "year": F.lit(None).cast("int")}).select(*FILM_FIELDS)
 
-    groups = rows.select("source_slug", "seq", "url", F.posexplode("groups").alias("g", "group"))
-    groups = groups.withColumn("day", _text(F.col("group"), "date")).withColumn("date", vl.start_date(F.col("day"))).filter("date is not null")
-    sessions = groups.select("source_slug", "seq", "url", "g", "date", F.posexplode(F.try_variant_get("group", "$.sessions", "array<variant>")).alias("k", "session"))
-    session = F.col("session")
-    sessions = sessions.withColumn("start", _text(session, "startTime", "showTime"))
+    groups = rows.select("source_slug", "seq", "url", F.posexplode_outer("groups").alias("g", "group"))
+    groups = groups.select("source_slug", "seq", "url", "g", vl.start_date(said("group", "date")).alias("date"), F.col("group")["sessions"].alias("sessions"))
+    sessions = groups.select("source_slug", "seq", "url", "g", "date", F.posexplode_outer("sessions").alias("k", "session")).filter("date is not null")
+    sessions = sessions.withColumn("start", said("session", "startTime", "showTime"))
     start = F.col("start")
     plain = F.when(start.rlike(r"^\d{1,2}:\d{2}"), F.substring(start, 1, 5))
     # Anything but an object has no name and is left out below.
     attributes = F.transform(
-        F.coalesce(F.try_variant_get(session, "$.attributes", "array<variant>"), F.array().cast("array<variant>")),
-        lambda a: F.struct(_text(a, "name", "value").alias("name"), _text(a, "attributeType").alias("kind")),
+        F.coalesce(F.col("session")["attributes"], F.array().cast("array<struct<name:string,value:string,attributeType:string>>")),
+        lambda a: F.struct(F.coalesce(filled(a["name"]), filled(a["value"])).alias("name"), filled(a["attributeType"]).alias("kind")),
     )
     read = sessions.select(
         "source_slug", F.col("seq").alias("film_seq"), position((F.col("seq"), 0), (F.col("g"), 24), (F.col("k"), 24)).alias("seq"), "date",
-        F.coalesce(vl.start_time(start), plain).alias("time"), _text(session, "screenName").alias("screen"), F.col("url").alias("source_url"),
+        F.coalesce(vl.start_time(start), plain).alias("time"), said("session", "screenName").alias("screen"), F.col("url").alias("source_url"),
         F.filter(attributes, lambda a: a["name"].isNotNull()).alias("named"),
     ).filter("time is not null")
     languages = F.filter("named", lambda a: a["kind"] == "Language")
