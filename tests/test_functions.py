@@ -174,3 +174,14 @@ def test_times_codec(apply):
 def test_entity_decoder_is_the_standard_one(apply):
     words = ["&agrave;", "&#39;", "&notit;", "&amp;amp;", "&CounterClockwiseContourIntegral;", "no"]
     assert apply(tx.decode_entities(F.col("x")), [(w,) for w in words], "x string") == [html.unescape(w) for w in words]
+
+
+def test_plain_values_equal_the_whole_rule(apply):
+    words = ["Film 12x", "Alien 3", "Film 1999", "Alien1984", "Fish and Chips", "Andorra", "The Wall", "Theory", "IL Sole", "LA  X", "Dc Comics", "Marvel", "a  b", " a", "a ", "", "Dune - 3D", "Pixar X"]
+    # A closing letter outside ASCII sends the same title through every pattern.
+    told = apply(F.struct(tx.normalize_title(F.col("t")), tx.normalize_title(F.concat("t", F.lit("\u2003")))), [(w,) for w in words], "t string")
+    assert all(fast == whole for fast, whole in told)
+    stamps = ["2024-02-29", "2023-02-29", "2024-04-31", "2024-12-31T23:59", "2024-12-31T24:00", "2024-01-01T20:61", "2024-01-01T20:15:00.5+01:00", "2024-01-01 09:05Z", "2024-01-01T2015", "2024-01-01T20+01:00", "x", None]
+    read = apply(F.struct(vl.start_date(F.col("s")), vl.start_time(F.col("s")), vl.start_date(F.concat("s", F.lit("\n"))), vl.start_time(F.concat("s", F.lit("\n")))), [(s,) for s in stamps], "s string")
+    assert [tuple(r[:2]) for r in read] == [tuple(r[2:]) for r in read]
+    assert tuple(read[0][:2]) == ("2024-02-29", "00:00") and read[1][0] is None and read[3][1] == "23:59"

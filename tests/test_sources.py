@@ -374,3 +374,39 @@ def test_deep_pages_take_linear_time(spark):
     started = time.monotonic()
     cards = pg.page_cards(mk.elements(spark.createDataFrame([("u", body)], "url string, body string"))).collect()
     assert [(r.slug, r.link) for r in cards] == [("x", "/films/x")] and time.monotonic() - started < 30
+
+
+def test_a_payload_is_read_in_one_pass(spark):
+    payloads = landed(spark, ("u", json.dumps(SESSION)), ("v", json.dumps({"result": [], "films": {"items": ["x", {"title": 7, "showingGroups": "no"}]}})))
+    films, showings = pl.flatten_session_api(payloads, "https://h.it", "https://h.it/c")
+    assert rows(films, "title") == [("7",), ("Alien",), ("Dune - 3D",)]
+    # A list that is taken apart is not filtered by its size first, which would read it twice.
+    plan = showings._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_variant_get" not in plan and "size(" not in plan
+
+
+def test_properties_are_read_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(pg, "materialise", lambda frame: written.append(frame.columns) or frame)
+    page = '<div itemscope itemtype="https://schema.org/Movie"><b itemprop="name">A &amp; B</b><div itemscope itemtype="https://schema.org/ScreeningEvent"><time itemprop="startDate" datetime="2024-01-31T20:00">x</time></div></div>'
+    events = pg.extract_screenings(landed(spark, ("u", page)))
+    assert ["page_id", "eid", "end", "scope", "name", "value", "is_item", "is_movie"] in written
+    films, showings = pg.build_entities(events)
+    assert rows(films, "title") == [("A & B",)] and rows(showings, "date", "times") == [("2024-01-31", ["20:00"])]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_plain_start_tags_equal_the_standard_parser(monkeypatch, seed):
+    rng = random.Random(seed)
+    pieces = ["<div>", "<DIV Class=\"a b\">", "<p itemprop>", "<p a=\"1\"b=\"2\">", "<b x='1'>", "<br/>", "<a href=\"?a=1&amp;b\">", "<i a=\"<>\">", "<li\n id=\"x\" ID=\"y\">", "<title>", "</title>",
+              "<script>", "</script>", "<div", "<span a=\"", "\"", ">", "text &amp; more", "</div>", "</p>", "<!-- x -->", "<div a = \"1\">", "<h2 itemtype=\"http://s.org/Movie/\" itemscope>", "<td >", "<x-y>", "<time class=\"showtime\">"]
+
+    def read(body):
+        tokens = mk._Tokeniser()
+        tokens.feed(body)
+        return [mk._columns(r) for r in tokens.finish()]
+
+    bodies = ["".join(rng.choices(pieces, k=30)) for _ in range(300)]
+    fast = [read(body) for body in bodies]
+    monkeypatch.delattr(mk._Tokeniser, "parse_starttag")
+    assert fast == [read(body) for body in bodies]
