@@ -386,8 +386,8 @@ def test_a_payload_is_read_in_one_pass(spark):
 
 
 def test_properties_are_read_once(spark, monkeypatch):
-    written = []
-    monkeypatch.setattr(pg, "materialise", lambda frame: written.append(frame.columns) or frame)
+    written, write = [], pg.materialise
+    monkeypatch.setattr(pg, "materialise", lambda frame: written.append(frame.columns) or write(frame))
     page = '<div itemscope itemtype="https://schema.org/Movie"><b itemprop="name">A &amp; B</b><div itemscope itemtype="https://schema.org/ScreeningEvent"><time itemprop="startDate" datetime="2024-01-31T20:00">x</time></div></div>'
     events = pg.extract_screenings(landed(spark, ("u", page)))
     assert ["page_id", "eid", "end", "scope", "name", "value", "is_item", "is_movie"] in written
