@@ -80,18 +80,20 @@ def fill_conflicts(members: DataFrame, fills: DataFrame) -> DataFrame:
     return long.join(clash, ["group", "field"]).filter("id <> survivor_id and value is not null and value <> kept")
 
 
-def assign_ids(rows: DataFrame, seq: str, start: Column | int = 0, name: str = "id") -> DataFrame:
-    """Consecutive ids from ``start + 1`` in the order of a unique ``seq``.
+def assign_ids(rows: DataFrame, seq: str, start: Column | int = 0, name: str = "id", keep_seq: bool = True) -> DataFrame:
+    """Consecutive ids from ``start + 1`` in the order of a unique ``seq``, which need not be kept.
 
-    Rows are range-partitioned and numbered inside each partition; only one count per partition
-    is summed up globally.
+    Rows are range-partitioned and numbered inside each partition as they are written, so they are shuffled once;
+    only one count per partition is summed up globally.
     """
-    spread = materialise(rows.repartitionByRange(seq).withColumn("_part", F.spark_partition_id()))
+    placed = rows.repartitionByRange(seq).sortWithinPartitions(seq).withColumn("_at", F.monotonically_increasing_id())
+    # The partition in the upper bits, the place inside it in the lower 33.
+    spread = materialise(placed if keep_seq else placed.drop(seq)).withColumn("_part", F.shiftright("_at", 33))
     counts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     # One row per partition of the job.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(seq))
-    numbered = spread.withColumn("_row", inside).join(offsets, "_part")
+    numbered = spread.join(F.broadcast(offsets), "_part")
     base = start if isinstance(start, Column) else F.lit(start)
-    return numbered.withColumn(name, (base + F.col("_before") + F.col("_row")).cast("bigint")).drop("_part", "_row", "_before")
+    place = F.col("_at").bitwiseAND(F.lit(2**33 - 1)) + 1
+    return numbered.withColumn(name, (base + F.col("_before") + place).cast("bigint")).drop("_part", "_at", "_before")

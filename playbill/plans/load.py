@@ -12,7 +12,7 @@ from playbill.operators import grouping as gr, joins as jn
 from playbill.operators.ranking import assign_ids
 from playbill.operators.upsert import upsert_films
 from playbill.schema import CINEMAS, FILMS, SHOWINGS, blank, conform, ensure_columns, filled
-from playbill.session import materialise
+from playbill.session import groups_of_sorted_rows, materialise
 from playbill.sources import manifest as mf
 
 DEFAULT_REGION = "Umbria"
@@ -127,11 +127,16 @@ def load_snapshot(
     bad = raw.filter("day is null or cinema_slug is null").select(F.lit("showing without date or location").alias("reason"), "seq")
     good = raw.filter("day is not null and cinema_slug is not null").withColumnRenamed("day", "date")
     resolved, orphans = jn.resolve_key(good, lookup.select("json_key", F.col("id").alias("film_id")), "json_key", "film_id")
-    merged = materialise(gr.merge_showings_per_key(resolved, *jn.SLOT, seq="seq"))
-    upserted = jn.upsert_showings(conform(store.showings, SHOWINGS), merged, now.cast("timestamp"))
-    showings = materialise(_number_showings(materialise(upserted), merged, store.last_showing))
+    # Nearly every slot is listed once, so partial groups would only be larger than the rows: one exchange and one sort
+    # serve both the groups and the join with the store. Ids, guard and reconciliation need no other pass over the slots.
+    merged = gr.merge_showings_per_key(resolved.repartition(*jn.SLOT).sortWithinPartitions(*jn.SLOT), *jn.SLOT, seq="seq")
+    upserted = jn.upsert_showings(conform(store.showings, SHOWINGS), merged, now.cast("timestamp"), "seq")
+    with groups_of_sorted_rows(upserted.sparkSession):
+        upserted, highest = materialise(upserted, F.max("id").alias("id"))
+    numbered = _number_showings(upserted, highest["id"] if store.last_showing is None else store.last_showing)
 
     rejected = no_slug.unionByName(no_title).unionByName(bad)
+    showings = numbered.drop("listing")
     skipped = showings.select("cinema_slug").limit(0)
     counted = {"archived_films": 0, "reactivated_films": 0, "archived_showings": 0, "reactivated_showings": 0}
     moves = {}
@@ -139,25 +144,34 @@ def load_snapshot(
         keep_films = records.select("title_normalized", "year").distinct()
         done_films = jn.reconcile_rows(films, keep_films, ["title_normalized", "year"], now.cast("timestamp"))
         window = [F.lit(d).cast("date") for d in (snapshot.date_from, snapshot.date_to)]
-        done_showings, skipped = jn.reconcile_showings(showings, merged, cinemas_in, *window, min_ratio, now.cast("timestamp"))
+        tally = materialise(jn.tally_locations(upserted.filter(_STAYS), *window))
+        # A row changes only if it is active and no longer listed, or listed again: the others pass as they are.
+        doubt = F.coalesce(F.col("date").between(*window) & (F.col("listing").isNull() == F.col("removed_at").isNull()), F.lit(False))
+        doubtful = numbered.filter(doubt)
+        keep = doubtful.filter("listing is not null")
+        done_showings, skipped = jn.reconcile_showings(doubtful.drop("listing"), keep, cinemas_in, *window, min_ratio, now.cast("timestamp"), tally)
         actions = [F.count_if(F.col("action") == a).alias(a) for a in ("archived", "reactivated")]
         films, moves["films"] = materialise(done_films, *actions)
-        showings, moves["showings"] = materialise(done_showings, *actions)
-        films, showings = films.drop("action"), showings.drop("action")
+        done_showings, moves["showings"] = materialise(done_showings, *actions)
+        films = films.drop("action")
+        showings = numbered.filter(~doubt).drop("listing").unionByName(done_showings.drop("action"))
         counted = {f"{a}_{t}": moves[t][a] for t in moves for a in ("archived", "reactivated")}
 
     conflicts = identity_conflicts(films_in, films, lookup)
     doubles, shared = duplicate_titles(films), shared_external_ids(films)
-    counts = gr.table_counts(cinemas=cinemas_in, films=films_in, showings=merged, orphans=orphans, skipped_cinemas=skipped, identity_conflicts=conflicts, duplicate_titles=doubles, shared_external_ids=shared)
+    counts = gr.table_counts(cinemas=cinemas_in, films=films_in, showings=upserted.filter("listing = 1"), orphans=orphans, skipped_cinemas=skipped, identity_conflicts=conflicts, duplicate_titles=doubles, shared_external_ids=shared)
     summary = counts.withColumns({name: F.lit(value).cast("bigint") for name, value in counted.items()})
     return LoadResult(Store(cinemas, films, showings), summary, skipped, conflicts, doubles, shared, orphans, rejected)
 
 
-def _number_showings(showings: DataFrame, merged: DataFrame, last: int | None) -> DataFrame:
+#: Upserted rows that have an id or get one.
+_STAYS = "id is not null or listing is not null"
+
+
+def _number_showings(upserted: DataFrame, last: int | None) -> DataFrame:
     """Give ids to inserted showings, in arrival order after the highest known one."""
-    highest = F.lit(last).cast("bigint") if last is not None else showings.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last_id")).scalar()
-    born = showings.filter("id is null").drop("id").join(merged.select(*jn.SLOT, "seq"), jn.SLOT)
-    numbered = assign_ids(born, "seq", highest)
+    showings = upserted.drop("seq")
+    numbered = assign_ids(upserted.filter("id is null and listing is not null").drop("id"), "seq", last or 0, keep_seq=False)
     return showings.filter("id is not null").unionByName(numbered.select(*showings.columns))
 
 

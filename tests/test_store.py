@@ -1,11 +1,12 @@
 """Snapshot loads, identity, reconciliation and duplicate maintenance on the store tables."""
 
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from playbill.operators import upsert as up
+from playbill import session
+from playbill.operators import grouping as gr, joins as jn, ranking as rk, upsert as up
 from playbill.operators.upsert import resolve_identities
 from playbill.plans import dedup as dd, load as ld
 from playbill.schema import CINEMAS, FILMS, SHOWINGS, conform
@@ -256,3 +257,68 @@ def test_unknown_year_with_several_known_years_is_undecided(spark):
     plan = dd.build_plan(films, spark.createDataFrame([], SHOWINGS))
     assert {r.id for r in plan.merged.collect()} == {1, 5}
     assert {r.id for r in plan.undecided.collect()} == {3, 4}
+
+
+def test_ids_are_numbered_where_they_are_sorted(spark):
+    """Over several partitions, with the sequence kept or not; rows are not shuffled again to be numbered."""
+    given = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000 * 3).alias("seq"), F.col("id").alias("v"))
+    for keep in (True, False):
+        numbered = rk.assign_ids(given, "seq", 100, keep_seq=keep)
+        assert numbered.columns == (["seq", "v", "id"] if keep else ["v", "id"])
+        assert sorted((r.v, r.id) for r in numbered.collect()) == [(v, 101 + v * 7919 % 5000) for v in range(5000)]
+        assert numbered._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1  # over one row per partition
+    assert rk.assign_ids(given.limit(0), "seq").count() == 0
+
+
+def test_a_load_writes_its_showings_twice(spark, monkeypatch):
+    """Once as upserted, once in the order of their ids, and a third time only those that it archives."""
+    written = []
+
+    def counting(df, *metrics):
+        done = session.materialise(df, *metrics)
+        if {"cinema_slug", "date"} <= set(df.columns):
+            written.append((done[0] if metrics else done).count())
+        return done
+
+    for module in (ld, rk):
+        monkeypatch.setattr(module, "materialise", counting)
+    week = [show("Dune", f"2026-09-{25 + n}", "20:00") for n in range(5)]
+    first = load(spark, empty(spark), [{"title": "Dune"}], week)
+    assert first.store.showings.count() == 5 and written == [5, 5, 0]
+    written.clear()
+    second = load(spark, first.store, [{"title": "Dune"}], [*week[:4], show("Dune", "2026-10-01", "20:00")])
+    assert counters(second) == {"cinemas": 1, "films": 1, "showings": 5, "archived_showings": 1} and written == [6, 1, 1]
+    assert table(second.store.showings, "id", "date", "removed_at")[-2:] == [(5, date(2026, 9, 29), datetime(2026, 9, 25, 3)), (6, date(2026, 10, 1), None)]
+
+
+def test_slots_are_grouped_and_joined_in_one_exchange(spark):
+    """Sorted once: neither a hash table of groups nor a second shuffle of the snapshot."""
+    state = spark.createDataFrame([], SHOWINGS)
+    raw = rows(spark, [show(1, "2026-09-25", "20:00"), show(1, "2026-09-25", "18:00")], SHOW_DDL).withColumns({"film_id": F.col("film_id").cast("bigint"), "date": F.col("date").cast("date")})
+    with session.groups_of_sorted_rows(spark):
+        merged = gr.merge_showings_per_key(raw.repartition(*jn.SLOT).sortWithinPartitions(*jn.SLOT), *jn.SLOT, seq="seq")
+        done = jn.upsert_showings(state, merged, now(), "seq")
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in done.select("times", "seq", "listing").collect()] == [(["18:00", "20:00"], 0, 1)]
+    assert plan.count("Exchange hashpartitioning") == 2 and "ObjectHashAggregate" not in plan
+    assert spark.conf.get("spark.sql.execution.replaceHashWithSortAgg") == "false"
+
+
+def test_a_load_over_odd_rows_of_the_store(spark):
+    """Two rows of one slot count as one listed slot; rows without a location, a date or an id that nothing lists do not move."""
+    films = conform(spark.createDataFrame([(1, "Dune", "dune")], "id long, title string, title_normalized string"), FILMS)
+    day, gone = date(2026, 9, 26), datetime(2026, 1, 1)
+    stored = [(1, 1, "c1", day, None), (2, 1, "c1", day, gone), (3, 1, None, day, None), (4, 1, "c1", None, None), (5, 1, "c1", date(2026, 9, 27), None), (None, 1, "c1", date(2026, 9, 28), None), (None, 1, "c1", date(2026, 9, 29), gone)]
+    showings = conform(spark.createDataFrame(stored, "id long, film_id long, cinema_slug string, date date, removed_at timestamp"), SHOWINGS)
+    store = ld.Store(spark.createDataFrame([], CINEMAS), films, showings)
+    listed = [show("Dune", "2026-09-26", "20:00"), show("Dune", "2026-09-29", "21:00")]
+    # Two slots listed against three active rows (1, 5 and none of the others), a ratio of 2 to 2 after row 2 was archived before.
+    result = load(spark, store, [{"title": "Dune"}], listed, min_ratio=1.0)
+    assert counters(result) == {"cinemas": 1, "films": 1, "showings": 2, "archived_showings": 1, "reactivated_showings": 2}
+    stamp = datetime(2026, 9, 25, 3)
+    assert table(result.store.showings, "id", "cinema_slug", "date", "removed_at") == sorted(
+        [(1, "c1", day, None), (2, "c1", day, None), (3, None, day, None), (4, "c1", None, None), (5, "c1", date(2026, 9, 27), stamp), (6, "c1", date(2026, 9, 29), None)], key=str
+    )
+    skipped = load(spark, store, [{"title": "Dune"}], listed, min_ratio=1.5)
+    assert table(skipped.skipped_cinemas, "cinema_slug", "existing", "imported") == [("c1", 2, 2)]
+    assert counters(skipped) == {"cinemas": 1, "films": 1, "showings": 2, "skipped_cinemas": 1}
