@@ -220,7 +220,7 @@ def load_version(spark: SparkSession, root: str, snapshot: Snapshot, now: Column
     result = load_snapshot(read_store(spark, root, base, keys), snapshot, now, **options)
     store = result.store
     showings = mf.write(store.showings, root, "showings", day_key(F.col("date"), grain))
-    last = store.showings.agg(F.max("id")).first()[0] or 0
+    last = mf.read(spark, root, showings).agg(F.max("id")).first()[0] or 0
     version = (base or mf.FIRST).next(last_showing=max(last, base.marks["last_showing"] if base else 0), grain=grain)
     version = version.with_parts("showings", showings, keys)
     for name, table in (("cinemas", store.cinemas), ("films", store.films)):
