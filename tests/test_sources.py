@@ -1,12 +1,14 @@
 """Flattening of payloads and pages of the shapes the sources publish."""
 
 import json
+import pathlib
 import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from playbill.catalog.bindings import Data
 from playbill.schema import PAYLOADS
 from playbill.sources import adapters as ad, markup as mk, pages as pg, payloads as pl
 
@@ -410,3 +412,35 @@ def test_plain_start_tags_equal_the_standard_parser(monkeypatch, seed):
     fast = [read(body) for body in bodies]
     monkeypatch.delattr(mk._Tokeniser, "parse_starttag")
     assert fast == [read(body) for body in bodies]
+
+
+def test_programmed_films_of_any_shape(spark):
+    """What has another shape than a field's is as if it were not there."""
+    at = lambda **more: {"performances": [{"actual_start_at": "20:30"}, "x", {"actual_start_at": ""}], **more}
+    lists = [at(screen="Sala 1"), at(screen={"name": "Sala 2"}, language="IT"), at(screen={}), at(screen=""), {"screen": ["x"], "performances": "none"}, "no variant", None]
+    films = ["no film", None, {"title": 7, "not_today": "no", "screens": [{"3D": lists, "IMAX": "x"}, "x", None]}, {"title": "Gone", "not_today": True, "screens": [{"3D": lists}]}, {"title": "Bare", "screens": {}}]
+    payloads = landed(spark, ("u", json.dumps({"data": films})), ("v", json.dumps({"data": {}})), ("w", "not json"))
+    found, showings = pl.flatten_programming_api(payloads, "https://u.it")
+    assert rows(found, "title") == [("7",)]
+    assert rows(showings, "times", "screen", "language", "session_attributes") == [
+        (["20:30"], "3D", None, []), (["20:30"], "Sala 2", None, ["3D"]), (["20:30"], None, None, ["3D"]), (["20:30"], None, None, ["3D"]), ([], "3D", None, []),
+    ]
+    # Bodies are parsed once, for both.
+    assert "try_parse_json" not in "".join(frame._jdf.queryExecution().optimizedPlan().toString() for frame in (found, showings))
+
+
+def test_elements_are_deleted_once_their_events_are_written(spark, monkeypatch):
+    written, write = [], pg.materialise
+    monkeypatch.setattr(pg, "materialise", lambda frame: written.append(write(frame)) or written[-1])
+    page = '<script type="application/ld+json">{"@type":"ScreeningEvent","name":"A","startDate":"2024-01-31T20:00"}</script>'
+    assert pg.extract_screenings(landed(spark, ("u", page))).count() == 1
+    left = lambda table: any(pathlib.Path(table.folder.removeprefix("file://")).glob("*.parquet"))
+    assert {"raw", "attrs"} <= {c for table in written if not left(table) for c in table.columns}
+    assert left(written[-1])
+
+
+def test_pages_made_of_small_rows_are_dealt_to_all_tasks(spark, tmp_path):
+    spark.range(4).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    data = Data(spark, str(tmp_path))
+    assert data.table("supplier").rdd.getNumPartitions() == 1 and data.spread("supplier").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert data.spread("supplier").count() == 4
